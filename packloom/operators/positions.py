@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,19 +19,25 @@ def _offsets(counts: DataFrame, bucket: str, name: str) -> DataFrame:
     return counts.select(bucket, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(name))
 
 
-def dense_positions(df: DataFrame, *order: Column | str, name: str = "pos") -> DataFrame:
+def dense_positions(
+    df: DataFrame,
+    *order: Column | str,
+    name: str = "pos",
+    then: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+) -> DataFrame:
     """Number rows 0..n-1 in ``order``, which must be a total order.
 
     One range shuffle, then the sorted table is staged: range bounds come from a sample, so the
     partitions must not be computed a second time. Offsets have one row per partition.
+
+    ``then`` adds columns to the sorted rows before they are stored. Costly ones belong here: what
+    comes before the shuffle runs for the sample as well, and is shuffled.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    staged = stage(
-        ranged.withColumn("__part", F.spark_partition_id()).withColumn(
-            "__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
-        ),
-        "positions",
+    numbered = ranged.withColumn("__part", F.spark_partition_id()).withColumn(
+        "__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
     )
+    staged = stage(then(numbered), "positions")
     offsets = _offsets(staged.groupBy("__part").count(), "__part", "__offset")
     return (
         staged.join(F.broadcast(offsets), "__part")

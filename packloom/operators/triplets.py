@@ -63,7 +63,8 @@ def rejected(triplets: DataFrame, num_negatives: int = 1) -> DataFrame:
 
 
 def tokenize_slots(triplets: DataFrame, tokenizer: Tokenizer, config: PackConfig) -> DataFrame:
-    """Add ``slots``: the token arrays of anchor, positive and each negative, EOS at each end.
+    """Add ``slots``: the token arrays of anchor, positive and each negative, EOS at each end, and
+    ``slot_sizes``.
 
     The slot code (0 anchor, 1 positive, 2+ negatives) is the array index, so tokens and labels
     cannot get out of step.
@@ -74,11 +75,14 @@ def tokenize_slots(triplets: DataFrame, tokenizer: Tokenizer, config: PackConfig
     if config.add_special_tokens:
         eos = F.array(F.lit(config.eos_token_id))
         slots = [F.concat(s, eos) for s in slots]
-    return triplets.withColumn("slots", F.array(*slots)).drop("anchor", "positive", "negatives")
+    tokenized = triplets.withColumn("slots", F.array(*slots)).withColumn(
+        "slot_sizes", sizes_of("slots")
+    )
+    return tokenized.drop("anchor", "positive", "negatives")
 
 
-def token_count(slots: Column | str = "slots") -> Column:
-    return F.aggregate(slots, F.lit(0), lambda total, slot: total + F.size(slot))
+def sizes_of(slots: Column | str) -> Column:
+    return F.transform(slots, F.size)
 
 
 def cut_slots(slots: Column, limit: int, num_slots: int) -> Column:
@@ -95,15 +99,17 @@ def cut_slots(slots: Column, limit: int, num_slots: int) -> Column:
 def limit_length(samples: DataFrame, config: PackConfig) -> DataFrame:
     """Drop samples whose anchor and positive leave no room for a negative, cut the rest.
 
-    Adds ``n_tokens`` and leaves out samples without any token.
+    Adds ``n_tokens`` and leaves out samples without any token. Only ``slot_sizes`` decides, so over
+    a staged table the lengths can be read without the tokens.
     """
-    slots = F.col("slots")
+    sizes, slots = F.col("slot_sizes"), F.col("slots")
+    total = F.aggregate(sizes, F.lit(0), lambda so_far, size: so_far + size)
     limit = config.max_sample_length
-    if limit is not None:
-        samples = samples.where(F.size(slots[0]) + F.size(slots[1]) < limit).withColumn(
-            "slots", cut_slots(slots, limit, config.num_slots)
-        )
-    return samples.withColumn("n_tokens", token_count()).where(F.col("n_tokens") > 0)
+    if limit is None:
+        return samples.withColumn("n_tokens", total).where(F.col("n_tokens") > 0).drop("slot_sizes")
+    cut = F.when(total > limit, cut_slots(slots, limit, config.num_slots)).otherwise(slots)
+    kept = samples.where((total > 0) & (sizes[0] + sizes[1] < limit))
+    return kept.withColumns({"n_tokens": F.least(total, F.lit(limit)), "slots": cut}).drop("slot_sizes")
 
 
 def slot_labels(slots: Column | str = "slots") -> Column:
