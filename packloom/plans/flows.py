@@ -18,7 +18,7 @@ EOS = 1
 FIRST_WORD_ID = 2
 
 CHAT = PackConfig(eos_token_id=EOS, seq_length=8192, max_samples=None, max_sample_length=1600, shuffle=False)
-CHAT_CAPPED = CHAT.with_(max_samples=5)
+CHAT_CAPPED = CHAT.with_(seq_length=6144, max_samples=5)
 DOCS = PackConfig(eos_token_id=EOS, seq_length=8192, max_samples=8, max_sample_length=None, shuffle=False)
 
 

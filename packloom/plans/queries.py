@@ -186,7 +186,7 @@ def _token_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def _rounded_dims(vectors: DataFrame, *keys: str) -> DataFrame:
     dims = vectors.select(*keys, F.posexplode("vec").alias("dim", "x"))
-    return dims.select(*keys, "dim", F.round("x", 6).alias("x"))
+    return dims.select(*keys, "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def _new_rows(spark: SparkSession, folder: str, strategy: str, **options) -> DataFrame:
@@ -377,17 +377,17 @@ def _collated(spark: SparkSession, folder: str, mode: str, length: int) -> DataF
 
 @query
 def collate_keep_end(spark: SparkSession, folder: str) -> DataFrame:
-    return _collated(spark, folder, "keep_end", 6000)
+    return _collated(spark, folder, "keep_end", 5000)
 
 
 @query
 def collate_keep_start(spark: SparkSession, folder: str) -> DataFrame:
-    return _collated(spark, folder, "keep_start", 6000)
+    return _collated(spark, folder, "keep_start", 5000)
 
 
 @query
 def collate_pad(spark: SparkSession, folder: str) -> DataFrame:
-    return _collated(spark, folder, "keep_end", 9000)
+    return _collated(spark, folder, "keep_end", 7000)
 
 
 # --- unpacking ----------------------------------------------------------------------------------
@@ -882,7 +882,9 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Triplet files read as a stream, two files at a time, into a table."""
     texts = document_triplets(load(spark, folder, "documents"), load(spark, folder, "labels"))
     path, sink = new_path(spark, "feed"), new_path(spark, "ingested")
-    select_fields(texts).select("doc_id", "anchor", "positive", F.col("negatives")[0].alias("negative")).write.json(path)
+    select_fields(texts).select("doc_id", "anchor", "positive", F.col("negatives")[0].alias("negative")).write.json(
+        path, ignoreNullFields=False
+    )
     run_available(stream_triplets(spark, path, 2, extras=DOC_ID), new_path(spark, "feed-state"), sink)
     rows = spark.read.parquet(sink)
     return usable(rows).select("doc_id", F.length("anchor").alias("anchor_chars"), F.length(F.col("negatives")[0]).alias("negative_chars"))
