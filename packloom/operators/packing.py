@@ -28,9 +28,11 @@ from packloom.workspace import stage
 # At most this many chunks, whatever the input size: bounds the broadcast chunk table (a few
 # dozen bytes a row).
 MAX_CHUNKS = 1 << 18
-MIN_CHUNK_ROWS = 1024
+# Chunks of a small input: a few for every core, but not so short that starting them dominates.
+CHUNKS_PER_CORE = 4
+CHUNK_ROWS = (256, 65536)
 # Summaries composed by one task, per level of the tree.
-FAN_IN = 64
+FAN_IN = 256
 
 # One row per possible first pack start of a chunk (or run of chunks): if the open pack takes
 # `rows` more samples of `tokens` tokens before that start, the unit leaves a pack with `used`
@@ -212,6 +214,12 @@ class PackPlan:
         return F.floor((pos - F.lit(self.first_pos)) / F.lit(self.chunk_rows)).cast("long")
 
 
+def rows_per_chunk(span: int, cores: int) -> int:
+    least, most = CHUNK_ROWS
+    wanted = min(max(-(-span // (CHUNKS_PER_CORE * cores)), least), most)
+    return max(wanted, -(-span // MAX_CHUNKS))
+
+
 def plan_packs(
     samples: DataFrame, config: PackConfig, chunk_rows: int | None = None, fan_in: int = FAN_IN
 ) -> PackPlan:
@@ -226,7 +234,8 @@ def plan_packs(
     bounds = narrow.agg(F.min("pos").alias("low"), F.max("pos").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     if chunk_rows is None:
-        chunk_rows = max(MIN_CHUNK_ROWS, -(-(high - low + 1) // MAX_CHUNKS))
+        cores = samples.sparkSession.sparkContext.defaultParallelism
+        chunk_rows = rows_per_chunk(high - low + 1, cores)
     plan = PackPlan(None, low, chunk_rows, 0, config)
 
     def summarise(chunk: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from packloom.operators.positions import dense_positions
 from packloom.operators.triplets import limit_length, select_fields, tokenize_slots, usable
 from packloom.operators.vocabulary import append_eos, build_vocabulary, encode_slots
 from packloom.sources.tables import conversation_triplets, document_triplets, load
+from packloom.workspace import stage
 
 EOS = 1
 FIRST_WORD_ID = 2
@@ -61,14 +62,10 @@ def word_samples(spark: SparkSession, folder: str, config: PackConfig = CHAT) ->
 
 
 def document_samples(spark: SparkSession, folder: str, config: PackConfig = DOCS) -> DataFrame:
-    """Document triplets as samples of characters; documents are numbered already."""
+    """Document triplets as staged samples of characters; the document number is the position."""
     texts = document_triplets(load(spark, folder, "documents"), load(spark, folder, "labels"))
-    numbered = dense_positions(
-        usable(select_fields(texts)).drop("quality"),
-        "doc_id",
-        then=lambda triplets: tokenize_slots(triplets, codepoints, config),
-    )
-    return limit_length(numbered, config)
+    triplets = usable(select_fields(texts)).withColumn("pos", F.col("doc_id"))
+    return limit_length(stage(tokenize_slots(triplets, codepoints, config), "samples"), config)
 
 
 def packed(samples: DataFrame, config: PackConfig) -> tuple[DataFrame, PackPlan]:

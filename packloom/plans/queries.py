@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +29,10 @@ from packloom.plans import flows
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, joined
 from packloom.sources import jsonl
 from packloom.sources.state import ResumeState, with_checkpoint_step
-from packloom.sources.tables import document_triplets, load, save
+from packloom.sources.tables import document_triplets, load, over_all_cores, save
 from packloom.streaming.ingest import run_available, stream_triplets
 from packloom.streaming.packer import lane_of, pack_stream
-from packloom.workspace import new_path, stage
+from packloom.workspace import new_path, ship_package, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,8 +43,13 @@ PACK_FIELDS = ("input_ids", "attention_mask", "segment_ids", "position_ids")
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
-    return function
+    @wraps(function)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = run
+    return run
 
 
 # --- triplets -----------------------------------------------------------------------------------
@@ -89,7 +95,8 @@ def triplet_two_negatives(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tokenize_words(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = load(spark, folder, "documents").select("doc_id", words("text").alias("words"))
+    documents = over_all_cores(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    tokens = documents.select("doc_id", words("text").alias("words"))
     return tokens.select(
         "doc_id", F.size("words").alias("n_words"), F.md5(F.array_join("words", " ")).alias("words")
     )
@@ -97,7 +104,8 @@ def tokenize_words(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def tokenize_codepoints(spark: SparkSession, folder: str) -> DataFrame:
-    tokens = load(spark, folder, "documents").select("doc_id", codepoints("text").alias("points"))
+    documents = over_all_cores(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    tokens = documents.select("doc_id", codepoints("text").alias("points"))
     return tokens.select("doc_id", F.size("points").alias("n_points"), joined("points").alias("points"))
 
 
@@ -130,7 +138,8 @@ def length_filter_truncate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _document_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
-    texts = load(spark, folder, "documents").select(words("text").alias("words"))
+    documents = over_all_cores(load(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    texts = documents.select(words("text").alias("words"))
     return vocabulary.build_vocabulary(texts, first_id=flows.FIRST_WORD_ID)
 
 

@@ -10,6 +10,16 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def over_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small input before heavy work on its rows.
+
+    One small file is one task however many cores there are. An input with enough splits, which is
+    any large one, stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def save(df: DataFrame, path: str, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> None:
     """Write a table. An existing one is an error unless ``overwrite``."""
     writer = df.write.mode("overwrite" if overwrite else "errorifexists")

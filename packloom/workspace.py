@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,3 +36,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that do not have it installed.
+
+    The archive lies with the driver, which serves it to the executors.
+    """
+    context = spark.sparkContext
+    if any(os.path.basename(path) == "packloom.zip" for path in context.listFiles):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="packloom-ship-"), "packloom")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(package), "packloom"))
