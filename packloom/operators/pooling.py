@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import each_element
 from packloom.functions.vectors import zeros
 
 
@@ -82,7 +83,7 @@ def mean_vectors(vectors: DataFrame, by: str, column: str = "vec") -> DataFrame:
 
     Sums per dimension are taken before the shuffle, so a large group costs a task one vector.
     """
-    dims = vectors.select(by, F.posexplode(column).alias("dim", "x"))
+    dims = each_element(vectors, column, by, position="dim", value="x")
     means = dims.groupBy(by, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.sort_array(F.collect_list(F.struct("dim", "x")))
     return means.groupBy(by).agg(ordered.getField("x").alias("vec"))
@@ -90,7 +91,7 @@ def mean_vectors(vectors: DataFrame, by: str, column: str = "vec") -> DataFrame:
 
 def vector_stats(tokens: DataFrame, by: str, column: str = "vec") -> DataFrame:
     """Count of rows, and mean, population deviation, minimum and maximum over all their entries."""
-    values = tokens.select(by, F.posexplode(column).alias("dim", "x"))
+    values = each_element(tokens, column, by, position="dim", value="x")
     x = F.col("x").cast("double")
     return values.groupBy(by).agg(
         F.count_if(F.col("dim") == 0).alias("n_valid"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import each_element
 from packloom.operators.unpack import decode_segments, sample_of, slot_of, with_sample_bounds
 
 # Accepted shares of samples that come out of the packing.
@@ -15,10 +16,8 @@ MULTI_FILE_COVERAGE = (0.90, 1.10)
 def position_errors(packs: DataFrame) -> DataFrame:
     """``pack_id, pos, segment_id, position_id``: positions that do not run 0, 1, 2, ... along
     their segment, and padding positions other than 0."""
-    tokens = packs.select(
-        "pack_id",
-        F.posexplode(F.arrays_zip("segment_ids", "position_ids", "attention_mask")).alias("pos", "t"),
-    ).select(
+    zipped = F.arrays_zip("segment_ids", "position_ids", "attention_mask")
+    tokens = each_element(packs, zipped, "pack_id", value="t").select(
         "pack_id",
         "pos",
         F.col("t.segment_ids").alias("segment_id"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import each_element
+
 
 def _check_slots(num_slots: int) -> None:
     if num_slots <= 0:
@@ -24,7 +26,7 @@ def slot_of(segment: Column, num_slots: int) -> Column:
 def decode_segments(packs: DataFrame, num_slots: int) -> DataFrame:
     """One row per token: ``pack_id, pos, segment_id, sample_id, slot``."""
     _check_slots(num_slots)
-    tokens = packs.select("pack_id", F.posexplode("segment_ids").alias("pos", "segment_id"))
+    tokens = each_element(packs, "segment_ids", "pack_id", value="segment_id")
     segment = F.col("segment_id")
     return tokens.withColumns(
         {"sample_id": sample_of(segment, num_slots), "slot": slot_of(segment, num_slots)}
@@ -105,11 +107,9 @@ def split_samples(packs: DataFrame, num_negatives: int = 1, use_mask: bool = Fal
     Samples reaching past the end of ``input_ids`` are skipped.
     """
     bounds = with_sample_bounds(packs, 2 + num_negatives, use_mask)
-    each = bounds.select(
-        "pack_id",
-        "input_ids",
-        "segment_ids",
-        F.posexplode(F.arrays_zip("sample_starts", "sample_lengths")).alias("sample_ord", "bound"),
+    zipped = F.arrays_zip("sample_starts", "sample_lengths")
+    each = each_element(
+        bounds, zipped, "pack_id", "input_ids", "segment_ids", position="sample_ord", value="bound"
     ).select(
         "pack_id",
         "sample_ord",

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import each_element
 from packloom.functions.vectors import zeros
 from packloom.operators.positions import dense_positions
 
@@ -30,7 +31,7 @@ def build_vocabulary(texts: DataFrame, words: str = "words", first_id: int = 0)
     ``words`` is an array column. Counts are summed before the shuffle, so a word that makes up
     much of the corpus costs a task one row. Ids come from a range sort, not from one task.
     """
-    counts = texts.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    counts = each_element(texts, words, value="token").groupBy("token").agg(F.count("*").alias("n"))
     ranked = dense_positions(counts, F.desc("n"), F.asc("token"), name="token_id")
     return ranked.withColumn("token_id", (F.col("token_id") + first_id).cast("int"))
 
@@ -83,9 +84,9 @@ def _compact(lists: pa.ListArray) -> pa.Array:
 def _encode_by_join(
     df: DataFrame, word_slots: str, vocabulary: DataFrame, unknown_id: int, key: str
 ) -> DataFrame:
-    each_slot = df.select(key, F.posexplode(word_slots).alias("slot", "words"))
+    each_slot = each_element(df, word_slots, key, position="slot", value="words")
     salt = F.pmod(F.xxhash64(key, "slot", "i"), F.lit(JOIN_SALTS)).cast("int")
-    each_word = each_slot.select(key, "slot", F.posexplode("words").alias("i", "token"))
+    each_word = each_element(each_slot, "words", key, "slot", position="i", value="token")
     spread = vocabulary.select(
         "token", "token_id", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
     )
@@ -128,7 +129,7 @@ def extend_vocabulary(vocabulary: DataFrame, new_tokens: DataFrame | Sequence[st
 
 def average_vector(vectors: DataFrame) -> DataFrame:
     """One row ``vec``: the mean over all rows, one partial sum per dimension and task."""
-    dims = vectors.select(F.posexplode("vec").alias("dim", "x")).groupBy("dim")
+    dims = each_element(vectors, "vec", position="dim", value="x").groupBy("dim")
     means = dims.agg(F.avg(F.col("x").cast("double")).alias("x"))
     # As many rows as the vectors have dimensions.
     return means.agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).getField("x").alias("vec"))

@@ -12,7 +12,7 @@ from packloom.operators.packing import PackPlan, plan_packs
 from packloom.operators.positions import dense_positions
 from packloom.operators.triplets import limit_length, select_fields, tokenize_slots, usable
 from packloom.operators.vocabulary import append_eos, build_vocabulary, encode_slots
-from packloom.sources.tables import conversation_triplets, document_triplets, load
+from packloom.sources.tables import conversation_triplets, document_triplets, load, over_all_cores
 from packloom.workspace import stage
 
 EOS = 1
@@ -63,7 +63,8 @@ def word_samples(spark: SparkSession, folder: str, config: PackConfig = CHAT) ->
 
 def document_samples(spark: SparkSession, folder: str, config: PackConfig = DOCS) -> DataFrame:
     """Document triplets as staged samples of characters; the document number is the position."""
-    texts = document_triplets(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    documents = over_all_cores(load(spark, folder, "documents"), "doc_id")
+    texts = document_triplets(documents, load(spark, folder, "labels"))
     triplets = usable(select_fields(texts)).withColumn("pos", F.col("doc_id"))
     return limit_length(stage(tokenize_slots(triplets, codepoints, config), "samples"), config)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from packloom.functions.arrays import each_element
 from packloom.functions.text import codepoints, words
 from packloom.functions.vectors import cosine, normalize
 from packloom.operators import batches, contrastive, pooling, quality, resume, unpack, vocabulary
@@ -184,7 +185,7 @@ def _benchmark_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 def _chat_words(spark: SparkSession, folder: str) -> DataFrame:
     chats = load(spark, folder, "conversations")
-    return chats.select(F.explode(words("text")).alias("token")).distinct()
+    return each_element(chats, words("text"), value="token").select("token").distinct()
 
 
 def _token_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -194,7 +195,7 @@ def _token_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _rounded_dims(vectors: DataFrame, *keys: str) -> DataFrame:
-    dims = vectors.select(*keys, F.posexplode("vec").alias("dim", "x"))
+    dims = each_element(vectors, "vec", *keys, position="dim", value="x")
     return dims.select(*keys, "dim", F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
