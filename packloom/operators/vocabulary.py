@@ -100,7 +100,9 @@ def _encode_by_join(
             F.collect_list(F.struct("slot", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")))
         ).getField("ids").alias("slots")
     )
-    return df.drop(word_slots).join(encoded, key)
+    # Rows without a slot have nothing to join.
+    nothing = F.array().cast("array<array<int>>")
+    return df.drop(word_slots).join(encoded, key, "left").withColumn("slots", F.coalesce("slots", nothing))
 
 
 def append_eos(slots: Column | str, eos_token_id: int) -> Column:
