@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from packloom.functions.vectors import dot, zeros
 
-# Vectors on each side of one matrix product.
-BLOCK_VECTORS = 2048
+# Vectors on each side of a block pair, and anchors multiplied at a time.
+BLOCK_VECTORS = 8192
+SLICE_VECTORS = 1024
 # Fixed value: keeps averages over no samples at 0.
 COUNT_EPSILON = 1e-8
 
@@ -59,36 +60,33 @@ def sample_triples(
 def _block_product(temperatures: Sequence[float], counts: Sequence[int]) -> Callable:
     """For one block of anchors and one of negatives: maximum, log-sum-exp and sum per anchor."""
 
+    def scores(anchors: pd.DataFrame, similarity: np.ndarray, count: int) -> pd.DataFrame:
+        top = similarity.max(axis=1)
+        raised = similarity - top[:, None]
+        return pd.concat(
+            anchors[["batch_id", "sample_key"]].assign(
+                temperature=temperature,
+                num_negatives=count,
+                neg_max=top,
+                neg_lse=top / temperature + np.log(np.exp(raised / temperature).sum(axis=1)),
+                neg_sum=similarity.sum(axis=1),
+            )
+            for temperature in temperatures
+        )
+
     def product(anchors: pd.DataFrame, negatives: pd.DataFrame) -> pd.DataFrame:
         if anchors.empty or negatives.empty:
             return pd.DataFrame()
-        left = np.stack(anchors["vec"].to_numpy())
-        right = np.stack(negatives["vec"].to_numpy())
+        right = np.stack(negatives["vec"].to_numpy()).T
         ordinal = negatives["ordinal"].to_numpy()
-        everything = left @ right.T
         parts = []
-        for count in counts:
-            used = ordinal < count
-            if not used.any():
-                continue
-            similarity = everything if used.all() else everything[:, used]
-            top = similarity.max(axis=1)
-            total = similarity.sum(axis=1)
-            for temperature in temperatures:
-                spread = np.exp((similarity - top[:, None]) / temperature).sum(axis=1)
-                parts.append(
-                    pd.DataFrame(
-                        {
-                            "batch_id": anchors["batch_id"].to_numpy(),
-                            "sample_key": anchors["sample_key"].to_numpy(),
-                            "temperature": temperature,
-                            "num_negatives": count,
-                            "neg_max": top,
-                            "neg_lse": top / temperature + np.log(spread),
-                            "neg_sum": total,
-                        }
-                    )
-                )
+        for begin in range(0, len(anchors), SLICE_VECTORS):
+            some = anchors.iloc[begin : begin + SLICE_VECTORS]
+            similarity = np.stack(some["vec"].to_numpy()) @ right
+            for count in counts:
+                used = ordinal < count
+                if used.any():
+                    parts.append(scores(some, similarity[:, used], count))
         return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
 
     return product

@@ -588,10 +588,15 @@ def jsonl_triplets(spark: SparkSession, folder: str) -> DataFrame:
 def shard_list(spark: SparkSession, folder: str) -> DataFrame:
     """Lines per dataset over all its shards, and whether shards follow each other without a gap."""
     lines = jsonl.read_lines(spark, _written_triplets(spark, folder) + "/*.txt")
-    shards = jsonl.list_shards(lines)
+    shards = jsonl.list_shards(jsonl.index_splits(lines))
     return shards.agg(F.sum("n_rows").alias("n_rows"), F.max(F.col("first_pos") + F.col("n_rows")).alias("end"))
 
 
+def _source_shards(documents: DataFrame) -> DataFrame:
+    counts = documents.groupBy(F.col("source").alias("shard_name")).agg(F.count("*").alias("n_rows"))
+    return jsonl.list_shards(counts)
+
+
 def _sharded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents with their source as the shard: ``shard_index, row_index``.
 
@@ -600,8 +605,8 @@ def _sharded_documents(spark: SparkSession, folder: str) -> DataFrame:
     """
     documents = load(spark, folder, "documents").select("source", "doc_id", F.length("text").alias("n_tokens"))
     numbered = dense_positions(documents, "source", "doc_id")
-    shards = jsonl.list_shards(numbered.withColumnRenamed("source", "shard_name"))
-    placed = numbered.withColumnRenamed("source", "shard_name").join(F.broadcast(shards), "shard_name")
+    shards = _source_shards(numbered)
+    placed = numbered.withColumnRenamed("source", "shard_name").join(shards, "shard_name")
     return placed.withColumn("row_index", F.col("pos") - F.col("first_pos"))
 
 
@@ -637,8 +642,8 @@ def resume_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def resume_shards(spark: SparkSession, folder: str) -> DataFrame:
-    documents = load(spark, folder, "documents").select(F.col("source").alias("shard_name"))
-    return resume.shards_to_read(jsonl.list_shards(documents), RESUME)
+    shards = _source_shards(load(spark, folder, "documents"))
+    return resume.shards_to_read(shards, RESUME)
 
 
 @query

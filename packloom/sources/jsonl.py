@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packloom.workspace import stage
+
 # Fixed value: the file names taken from a data directory.
 DATA_FILE_GLOB = "*.{json,jsonl}"
 
@@ -32,25 +34,29 @@ def read_lines(
     )
 
 
-def _splits(lines: DataFrame) -> DataFrame:
-    """One row per file split: first row id seen in it and its first row number in the file."""
+# Splits whose places are sent to every task: some hundred bytes each.
+MAX_BROADCAST_SPLITS = 1_000_000
+
+
+def index_splits(lines: DataFrame) -> DataFrame:
+    """One row per file split: ``shard_name, __block, __first, n_rows``, with the first row id seen.
+
+    Stored, as finding it reads all files; every other question about shards is then answered from
+    this table.
+    """
     splits = lines.groupBy("shard_name", "__block").agg(
-        F.min("__seen").alias("__first"), F.count("*").alias("rows")
+        F.min("__seen").alias("__first"), F.count("*").alias("n_rows")
     )
-    earlier = (
-        Window.partitionBy("shard_name")
-        .orderBy("__block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return splits.withColumn("__offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
+    return stage(splits, "splits")
 
 
-def list_shards(lines: DataFrame) -> DataFrame:
+def list_shards(counts: DataFrame) -> DataFrame:
     """``shard_index, shard_name, n_rows, first_pos``: files in path order with their row counts.
 
-    One row per input file, so the ordering window is over file metadata only.
+    ``counts(shard_name, n_rows)`` is a split index or any finer or equal count. One row per file is
+    left, so the ordering window is over file metadata only.
     """
-    files = lines.groupBy("shard_name").agg(F.count("*").alias("n_rows"))
+    files = counts.groupBy("shard_name").agg(F.sum("n_rows").alias("n_rows"))
     by_path = Window.orderBy("shard_name")
     earlier = by_path.rowsBetween(Window.unboundedPreceding, -1)
     return files.select(
@@ -61,15 +67,24 @@ def list_shards(lines: DataFrame) -> DataFrame:
     )
 
 
-def with_positions(lines: DataFrame) -> DataFrame:
+def with_positions(lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """``shard_index, shard_name, row_index, pos, value``: where every line stands.
 
-    No sort and no shuffle of the lines: rows are counted per split, and only split and file
-    counts are joined back. ``pos`` numbers the lines over all shards in path order.
+    The lines are neither sorted nor, up to ``MAX_BROADCAST_SPLITS`` splits, shuffled: rows are
+    counted per split, and only split and file counts are joined back. ``pos`` numbers the lines
+    over all shards in path order.
     """
-    splits = _splits(lines).select("shard_name", "__block", "__first", "__offset")
-    shards = list_shards(lines).select("shard_name", "shard_index", "first_pos")
-    places = splits.join(shards, "shard_name")
+    index = index_splits(lines) if index is None else index
+    shards = list_shards(index).select("shard_name", "shard_index", "first_pos")
+    earlier = (
+        Window.partitionBy("shard_name")
+        .orderBy("__block")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    offset = F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("__offset")
+    places = index.select("shard_name", "__block", "__first", offset).join(shards, "shard_name")
+    if index.count() <= MAX_BROADCAST_SPLITS:
+        places = F.broadcast(places)
     row_index = F.col("__seen") - F.col("__first") + F.col("__offset")
     return lines.join(places, ["shard_name", "__block"]).select(
         "shard_index",
@@ -80,8 +95,8 @@ def with_positions(lines: DataFrame) -> DataFrame:
     )
 
 
-def count_shards(lines: DataFrame) -> int:
-    return lines.select(F.countDistinct("shard_name")).first()[0]
+def count_shards(index: DataFrame) -> int:
+    return index.select("shard_name").distinct().count()
 
 
 def open_shard(positioned: DataFrame, shard_name: str, row: int = 0) -> DataFrame:

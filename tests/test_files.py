@@ -42,9 +42,9 @@ def test_positions_shards_and_resume(spark, folder):
     rows = read(spark, folder)
     places = {r["sample_id"]: (r["shard_index"], r["row_index"], r["pos"]) for r in rows.collect()}
     assert places == {i: (i // 10, i % 10, i) for i in range(30)}
-    lines = jsonl.read_lines(spark, folder + "/*.jsonl")
-    assert jsonl.count_shards(lines) == 3
-    assert [r["n_rows"] for r in jsonl.list_shards(lines).orderBy("shard_index").collect()] == [10, 10, 10]
+    index = jsonl.index_splits(jsonl.read_lines(spark, folder + "/*.jsonl"))
+    assert jsonl.count_shards(index) == 3
+    assert [r["n_rows"] for r in jsonl.list_shards(index).orderBy("shard_index").collect()] == [10, 10, 10]
 
     def ids(df):
         return sorted(r["sample_id"] for r in df.collect())
@@ -53,7 +53,7 @@ def test_positions_shards_and_resume(spark, folder):
     assert ids(resume.resume_from(rows, ResumeState(1, 5))) == list(range(15, 30))
     assert ids(resume.resume_from(rows, ResumeState(1, 5), 2, 3)) == list(range(23, 30))
     assert ids(resume.resume_from(rows, ResumeState(0, 10))) == list(range(10, 30))
-    shards = jsonl.list_shards(lines)
+    shards = jsonl.list_shards(index)
     assert [r["shard_index"] for r in resume.shards_to_read(shards, ResumeState(0, 10)).collect()] == [1, 2]
     last = resume.emitted_progress(resume.resume_from(rows, ResumeState(1, 5))).first()
     assert (last["shard_index"], last["row_index"]) == (2, 10)
