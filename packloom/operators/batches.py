@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.config import PackConfig
+from packloom.functions.numbers import floor_div
 from packloom.operators.assembly import fill
 from packloom.operators.positions import number_rows
 
@@ -37,9 +38,9 @@ def shuffled_order(
         bucket = F.conv(F.substring("key", 1, _HASH_DIGITS), 16, 10).cast("int")
         order = ("key", "pack_id")
     else:
-        run = F.floor(F.col("pack_id") / F.lit(buffer)).cast("long")
+        run = floor_div("pack_id", buffer)
         per_bucket = max(_BUFFERS_PER_BUCKET, -(-n_packs // (buffer * 16**_HASH_DIGITS)))
-        bucket = F.floor(run / F.lit(per_bucket)).cast("long")
+        bucket = floor_div(run, per_bucket)
         order = (run, "key", "pack_id")
     return number_rows(ids.withColumn("bucket", bucket), "bucket", *order, name="pack_seq").select(
         "pack_id", "pack_seq"
@@ -58,7 +59,7 @@ def assign_batches(
     packs: DataFrame, n_packs: int, batch_size: int, drop_last: bool = True
 ) -> DataFrame:
     """Add ``batch_id`` by ``pack_seq``; a short last batch is left out with ``drop_last``."""
-    batched = packs.withColumn("batch_id", F.floor(F.col("pack_seq") / F.lit(batch_size)))
+    batched = packs.withColumn("batch_id", floor_div("pack_seq", batch_size))
     if drop_last:
         batched = batched.where(F.col("batch_id") < n_packs // batch_size)
     return batched

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.config import PackConfig
+from packloom.functions.numbers import floor_div
 from packloom.workspace import stage
 
 # At most this many chunks, whatever the input size: bounds the broadcast chunk table (a few
@@ -211,7 +212,7 @@ class PackPlan:
     config: PackConfig
 
     def chunk_of(self, pos: Column) -> Column:
-        return F.floor((pos - F.lit(self.first_pos)) / F.lit(self.chunk_rows)).cast("long")
+        return floor_div(pos - F.lit(self.first_pos), self.chunk_rows)
 
 
 def rows_per_chunk(span: int, cores: int) -> int:
@@ -244,7 +245,7 @@ def plan_packs(
     def compose(units: pd.DataFrame) -> pd.DataFrame:
         return compose_units(units, length, cap, fan_in)
 
-    run = F.floor(F.col("unit") / F.lit(fan_in)).cast("long").alias("run")
+    run = floor_div("unit", fan_in).alias("run")
     chunked = narrow.withColumn("chunk", plan.chunk_of(F.col("pos")))
     levels = [chunked.groupBy("chunk").applyInPandas(summarise, _SUMMARY)]
     n_units = (high - low) // chunk_rows + 1

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.arrays import each_element
+from packloom.functions.numbers import floor_div
 from packloom.functions.vectors import zeros
 
 
@@ -33,7 +34,7 @@ def last_token_vectors(
         .select(
             "pack_id",
             "segment_id",
-            F.floor(segment / F.lit(num_slots)).cast("int").alias("sample_id"),
+            floor_div(segment, num_slots).cast("int").alias("sample_id"),
             F.pmod(segment, F.lit(num_slots)).alias("slot"),
             "vec",
         )
@@ -62,7 +63,7 @@ def slot_grid(
     found = pooled.select("pack_id", "segment_id", F.col("vec").cast("array<double>").alias("vec"))
     return cells.join(found, ["pack_id", "segment_id"], "left").select(
         "pack_id",
-        F.floor(F.col("segment_id") / F.lit(num_slots)).cast("int").alias("sample_id"),
+        floor_div("segment_id", num_slots).cast("int").alias("sample_id"),
         F.pmod("segment_id", F.lit(num_slots)).alias("slot"),
         F.coalesce("vec", zeros(size)).alias("vec"),
         F.col("vec").isNotNull().alias("present"),

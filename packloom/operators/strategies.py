@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.config import PackConfig
+from packloom.functions.numbers import floor_div
 from packloom.operators.assembly import assign_packs
 from packloom.operators.packing import plan_packs
 
@@ -65,7 +66,7 @@ def assign_by_strategy(
     narrow = samples.select("pos", F.col("n_tokens").cast("long").alias("n_tokens"))
     if config.strategy == "greedy":
         return assign_packs(narrow, plan_packs(narrow, config)).drop("n_tokens")
-    window = F.floor(F.col("pos") / F.lit(window_rows)).cast("long")
+    window = floor_div("pos", window_rows)
     fit = _fit(config.strategy == "first_fit", config.seq_length, max(1, config.sample_cap), pool)
     placed = narrow.withColumn("window", window).groupBy("window").applyInPandas(fit, _ASSIGNED)
     return placed.select(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.arrays import each_element
+from packloom.functions.numbers import floor_div
 
 
 def _check_slots(num_slots: int) -> None:
@@ -15,7 +16,7 @@ def _check_slots(num_slots: int) -> None:
 
 def sample_of(segment: Column, num_slots: int) -> Column:
     """Sample id of a segment id, -1 for padding."""
-    return F.when(segment >= 0, F.floor(segment / F.lit(num_slots)).cast("int")).otherwise(F.lit(-1))
+    return F.when(segment >= 0, floor_div(segment, num_slots).cast("int")).otherwise(F.lit(-1))
 
 
 def slot_of(segment: Column, num_slots: int) -> Column:

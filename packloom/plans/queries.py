@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from packloom.functions.arrays import each_element
+from packloom.functions.numbers import floor_div
 from packloom.functions.text import codepoints, words
 from packloom.functions.vectors import cosine, normalize
 from packloom.operators import batches, contrastive, pooling, quality, resume, unpack, vocabulary
@@ -688,9 +689,9 @@ def _token_table(spark: SparkSession, folder: str) -> DataFrame:
     four padding positions and two unattended ones at the end of each row."""
     pos = F.pmod("vec_id", F.lit(ROW_TOKENS)).cast("int")
     return load(spark, folder, "embeddings").select(
-        F.floor(F.col("vec_id") / F.lit(ROW_TOKENS)).alias("pack_id"),
+        floor_div("vec_id", ROW_TOKENS).alias("pack_id"),
         pos.alias("pos"),
-        F.when(pos < 36, F.floor(pos / F.lit(3)).cast("int")).otherwise(F.lit(-1)).alias("segment_id"),
+        F.when(pos < 36, floor_div(pos, 3).cast("int")).otherwise(F.lit(-1)).alias("segment_id"),
         (pos < 38).alias("attended"),
         F.col("embedding").alias("vec"),
     )
@@ -792,9 +793,9 @@ def project_identity(spark: SparkSession, folder: str) -> DataFrame:
 def _slot_vectors(spark: SparkSession, folder: str, num_negatives: int, batch: int | None) -> DataFrame:
     """Neighbouring embeddings as anchor, positive and negatives of one sample."""
     slots = 2 + num_negatives
-    sample = F.floor(F.col("vec_id") / F.lit(slots))
+    sample = floor_div("vec_id", slots)
     return load(spark, folder, "embeddings").select(
-        (F.lit(0) if batch is None else F.floor(sample / F.lit(batch))).cast("long").alias("batch_id"),
+        (F.lit(0) if batch is None else floor_div(sample, batch)).cast("long").alias("batch_id"),
         sample.alias("sample_key"),
         F.pmod("vec_id", F.lit(slots)).cast("int").alias("slot"),
         F.col("embedding").alias("vec"),
@@ -859,7 +860,7 @@ def evaluate_packed(spark: SparkSession, folder: str) -> DataFrame:
     unit = pooled.withColumn("vec", normalize("vec"))
     projected = pooling.project(unit, projection_layers([VECTOR_SIZE, 32])).withColumn("vec", normalize("vec"))
     vectors = projected.select(
-        F.floor(F.col("pack_id") / F.lit(4)).alias("batch_id"),
+        floor_div("pack_id", 4).alias("batch_id"),
         F.concat_ws("-", "pack_id", "sample_id").alias("sample_key"),
         "slot",
         "vec",
