@@ -39,10 +39,8 @@ def conversation_triplets(conversations: DataFrame) -> DataFrame:
     answer = assistant.select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("positive")
     )
-    first = assistant.groupBy("conv_id").agg(F.min("turn").alias("turn"))
-    other = (
-        assistant.join(first, ["conv_id", "turn"])
-        .select((F.col("conv_id") - 1).alias("conv_id"), F.col("text").alias("negative"))
+    other = assistant.groupBy((F.col("conv_id") - 1).alias("conv_id")).agg(
+        F.min_by("text", "turn").alias("negative")
     )
     return user.join(answer, ["conv_id", "turn"]).join(other, "conv_id", "left")
 

@@ -40,31 +40,36 @@ def _packer(seq_length: int, cap: int, flush_after_ms: int | None):
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
         number, keys, tokens, sizes = state.get if state.exists else (0, [], [], [])
-        keys, tokens, sizes = list(keys), list(tokens), [list(s) for s in sizes]
+        keys, sizes = list(keys), [list(s) for s in sizes]
+        # Token arrays of the open pack's samples, joined only when it is closed or stored.
+        parts, used = [np.array(tokens, dtype=np.int32)], len(tokens)
         finished = []
 
-        def close(*content) -> None:
-            finished.append((key[0], number + len(finished), *content))
+        def close(pack_keys: list, pack_parts: list, pack_sizes: list) -> None:
+            joined = np.concatenate(pack_parts)[:seq_length]
+            finished.append((key[0], number + len(finished), pack_keys, joined, pack_sizes))
 
         if state.hasTimedOut:
             if keys:
-                close(keys, tokens, sizes)
-            keys, tokens, sizes = [], [], []
+                close(keys, parts, sizes)
+            keys, parts, sizes = [], [], []
         else:
             rows = pd.concat(list(batches), ignore_index=True).sort_values("sample_key")
             for sample, slots in zip(rows["sample_key"].tolist(), rows["slots"]):
-                parts = [len(slot) for slot in slots]
-                new = np.concatenate(list(slots)).astype(int).tolist()
-                if len(new) > seq_length:
-                    close([sample], new[:seq_length], [_cut(parts, seq_length)])
+                lengths = [len(slot) for slot in slots]
+                new = sum(lengths)
+                if new > seq_length:
+                    close([sample], list(slots), [_cut(lengths, seq_length)])
                     continue
-                if keys and (len(tokens) + len(new) > seq_length or len(keys) >= cap):
-                    close(keys, tokens, sizes)
-                    keys, tokens, sizes = [], [], []
+                if keys and (used + new > seq_length or len(keys) >= cap):
+                    close(keys, parts, sizes)
+                    keys, parts, sizes, used = [], [], [], 0
                 keys.append(sample)
-                tokens += new
-                sizes.append(parts)
-        state.update((number + len(finished), keys, tokens, sizes))
+                parts.extend(slots)
+                sizes.append(lengths)
+                used += new
+        left = np.concatenate(parts).astype(int).tolist() if parts else []
+        state.update((number + len(finished), keys, left, sizes))
         if flush_after_ms is not None and keys:
             state.setTimeoutDuration(flush_after_ms)
         columns = [field.split(" ")[0] for field in _PACK.split(", ")]
