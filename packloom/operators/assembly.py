@@ -212,3 +212,60 @@ def pad_packs(packs: DataFrame, config: PackConfig) -> DataFrame:
 def pack_samples(samples: DataFrame, config: PackConfig) -> DataFrame:
     """Greedy packing of stored samples into padded rows."""
     return pad_packs(assemble_packs(samples, plan_packs(samples, config)), config)
+
+
+def segment_labels(sizes: Column | str, num_slots: int) -> Column:
+    """Segment id of every token, from the slot sizes of a pack's samples."""
+
+    def of_sample(slots: Column, ordinal: Column) -> Column:
+        return F.flatten(
+            F.transform(slots, lambda n, slot: F.array_repeat(ordinal * num_slots + slot, n))
+        )
+
+    return F.flatten(F.transform(sizes, of_sample))
+
+
+def slot_positions(sizes: Column | str) -> Column:
+    """Position of every token in its slot, from the slot sizes of a pack's samples."""
+
+    def count_up(n: Column) -> Column:
+        return F.transform(F.array_repeat(F.lit(0), n), lambda _, position: position)
+
+    return F.flatten(F.transform(F.flatten(sizes), count_up))
+
+
+def assemble_assigned(samples: DataFrame, assigned: DataFrame, config: PackConfig) -> DataFrame:
+    """Unpadded rows for packs decided elsewhere: ``assigned(pos, pack_id, sample_ord)``.
+
+    A pack has at most ``seq_length`` tokens, so what one group collects is bounded.
+    """
+    length = config.seq_length
+    cut = cut_slots(F.col("slots"), length, config.num_slots)
+    slots = F.when(F.col("n_tokens") > length, cut).otherwise(F.col("slots"))
+    source = F.col("source_id") if "source_id" in samples.columns else F.lit(None)
+    wanted = samples.select("pos", slots.alias("slots"), source.cast("string").alias("source_id"))
+    entry = F.struct("sample_ord", "pos", "slots", "source_id")
+    packs = (
+        wanted.join(assigned.select("pos", "pack_id", "sample_ord"), "pos")
+        .groupBy("pack_id")
+        .agg(F.sort_array(F.collect_list(entry)).alias("rows"))
+    )
+    sizes = F.transform("rows", lambda row: F.transform(row["slots"], F.size))
+    named = F.filter("rows.source_id", lambda source: F.coalesce(source, F.lit("")) != "")
+    return packs.select(
+        "pack_id",
+        F.col("rows")[0]["pos"].alias("first_pos"),
+        F.flatten(F.flatten("rows.slots")).alias("input_ids"),
+        sizes.alias("sizes"),
+        F.when(F.size(named) > 0, named).alias("source_ids"),
+        F.size("rows").alias("num_segments"),
+    ).select(
+        "pack_id",
+        "first_pos",
+        "input_ids",
+        segment_labels("sizes", config.num_slots).alias("segment_ids"),
+        slot_positions("sizes").alias("position_ids"),
+        "source_ids",
+        "num_segments",
+        F.size("input_ids").alias("n_tokens"),
+    )

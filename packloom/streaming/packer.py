@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from packloom.config import PackConfig
-from packloom.operators.assembly import fill
+from packloom.operators.assembly import fill, segment_labels, slot_positions
 
 _PACK = (
     "lane string, pack_no long, sample_keys array<long>, input_ids array<int>, "
@@ -78,27 +78,6 @@ def _packer(seq_length: int, cap: int, flush_after_ms: int | None):
     return step
 
 
-def _labels(sizes: Column, num_slots: int) -> Column:
-    """Segment id of every token, from the slot sizes of a pack's samples."""
-    per_sample = F.transform(
-        sizes,
-        lambda slots, ordinal: F.flatten(
-            F.transform(slots, lambda n, slot: F.array_repeat(ordinal * num_slots + slot, n))
-        ),
-    )
-    return F.flatten(per_sample)
-
-
-def _counting(sizes: Column) -> Column:
-    """Position of every token in its slot."""
-    return F.flatten(
-        F.transform(
-            F.flatten(sizes),
-            lambda n: F.transform(F.array_repeat(F.lit(0), n), lambda _, position: position),
-        )
-    )
-
-
 def pack_stream(
     samples: DataFrame, config: PackConfig, flush_after_ms: int | None = None
 ) -> DataFrame:
@@ -124,7 +103,7 @@ def pack_stream(
         "sample_keys",
         fill("input_ids", length, config.pad_token_id).alias("input_ids"),
         fill(attended, length, 0).alias("attention_mask"),
-        fill(_labels(sizes, config.num_slots), length, -1).alias("segment_ids"),
-        fill(_counting(sizes), length, 0).alias("position_ids"),
+        fill(segment_labels(sizes, config.num_slots), length, -1).alias("segment_ids"),
+        fill(slot_positions(sizes), length, 0).alias("position_ids"),
         F.size("sample_keys").alias("num_segments"),
     )
