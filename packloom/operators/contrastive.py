@@ -7,24 +7,38 @@ A batch of any size is spread over as many block pairs as it needs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import each_element
 from packloom.functions.vectors import dot, zeros
 
 # Vectors on each side of a block pair, and anchors multiplied at a time.
 BLOCK_VECTORS = 8192
-SLICE_VECTORS = 1024
+SLICE_VECTORS = 128
 # Fixed value: keeps averages over no samples at 0.
 COUNT_EPSILON = 1e-8
 
 _PARTIAL = (
     "batch_id long, sample_key string, temperature double, num_negatives int, "
-    "neg_max double, neg_lse double, neg_sum double"
+    "pos_sim double, neg_max double, neg_lse double, neg_sum double"
+)
+_NO_SCORES = pa.schema(
+    [
+        ("batch_id", pa.int64()),
+        ("sample_key", pa.string()),
+        ("temperature", pa.float64()),
+        ("num_negatives", pa.int32()),
+        ("pos_sim", pa.float64()),
+        ("neg_max", pa.float64()),
+        ("neg_lse", pa.float64()),
+        ("neg_sum", pa.float64()),
+    ]
 )
 
 
@@ -57,37 +71,50 @@ def sample_triples(
     )
 
 
-def _block_product(temperatures: Sequence[float], counts: Sequence[int]) -> Callable:
-    """For one block of anchors and one of negatives: maximum, log-sum-exp and sum per anchor."""
-
-    def scores(anchors: pd.DataFrame, similarity: np.ndarray, count: int) -> pd.DataFrame:
-        top = similarity.max(axis=1)
-        raised = similarity - top[:, None]
-        return pd.concat(
-            anchors[["batch_id", "sample_key"]].assign(
-                temperature=temperature,
-                num_negatives=count,
-                neg_max=top,
-                neg_lse=top / temperature + np.log(np.exp(raised / temperature).sum(axis=1)),
-                neg_sum=similarity.sum(axis=1),
-            )
-            for temperature in temperatures
-        )
+def _matrix(vectors: pa.Table) -> np.ndarray:
+    values = pc.list_flatten(vectors.column("vec").combine_chunks())
+    return values.to_numpy(zero_copy_only=False).reshape(vectors.num_rows, -1)
 
-    def product(anchors: pd.DataFrame, negatives: pd.DataFrame) -> pd.DataFrame:
-        if anchors.empty or negatives.empty:
-            return pd.DataFrame()
-        right = np.stack(negatives["vec"].to_numpy()).T
-        ordinal = negatives["ordinal"].to_numpy()
+
+def _block_product(temperatures: Sequence[float], counts: Sequence[int]) -> Callable:
+    """For a block of anchors (ordinal -1) and one of negatives: maximum, log-sum-exp and sum per
+    anchor."""
+
+    def scores(anchors: pa.Table, similarity: np.ndarray, count: int) -> Iterator[pa.Table]:
+        rows = anchors.num_rows
+        top, total = similarity.max(axis=1), similarity.sum(axis=1)
+        raised, work = similarity - top[:, None], np.empty_like(similarity)
+        for temperature in temperatures:
+            np.divide(raised, temperature, out=work)
+            spread = np.exp(work, out=work).sum(axis=1)
+            columns = {
+                "batch_id": anchors.column("batch_id"),
+                "sample_key": anchors.column("sample_key"),
+                "temperature": np.full(rows, temperature),
+                "num_negatives": np.full(rows, count, dtype=np.int32),
+                "pos_sim": anchors.column("pos_sim"),
+                "neg_max": top,
+                "neg_lse": top / temperature + np.log(spread),
+                "neg_sum": total,
+            }
+            yield pa.table(columns)
+
+    def product(pair: pa.Table) -> pa.Table:
+        is_anchor = pc.less(pair.column("ordinal"), 0)
+        anchors, negatives = pair.filter(is_anchor), pair.filter(pc.invert(is_anchor))
+        if not anchors.num_rows or not negatives.num_rows:
+            return _NO_SCORES.empty_table()
+        right = _matrix(negatives).T
+        ordinal = negatives.column("ordinal").to_numpy()
         parts = []
-        for begin in range(0, len(anchors), SLICE_VECTORS):
-            some = anchors.iloc[begin : begin + SLICE_VECTORS]
-            similarity = np.stack(some["vec"].to_numpy()) @ right
+        for begin in range(0, anchors.num_rows, SLICE_VECTORS):
+            some = anchors.slice(begin, SLICE_VECTORS)
+            similarity = _matrix(some) @ right
             for count in counts:
                 used = ordinal < count
                 if used.any():
-                    parts.append(scores(some, similarity[:, used], count))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame()
+                    parts += scores(some, similarity if used.all() else similarity[:, used], count)
+        return pa.concat_tables(parts) if parts else _NO_SCORES.empty_table()
 
     return product
 
@@ -97,65 +124,73 @@ def _log_sum_exp(values: Column) -> Column:
     return top + F.ln(F.aggregate(values, F.lit(0.0), lambda total, x: total + F.exp(x - top)))
 
 
+def _block_pairs(triples: DataFrame, sizes: DataFrame, num_negatives: int, block: int) -> DataFrame:
+    """One row per vector and block pair it takes part in: block ``a`` of anchors, ``b`` of negatives.
+
+    A vector goes to one block of its own side by hash, and meets every block of the other side. A
+    batch up to the block size is a single pair.
+    """
+
+    def blocks(per_sample: int) -> Column:
+        return F.ceil(F.col("n_anchors") * per_sample / F.lit(block)).cast("int")
+
+    sides = F.array(
+        F.struct(F.lit(-1).alias("ordinal"), F.col("anchor").alias("vec")),
+        *[
+            F.struct(F.lit(i).alias("ordinal"), F.col("negatives")[i].alias("vec"))
+            for i in range(num_negatives)
+        ],
+    )
+    placed = triples.join(sizes, "batch_id").withColumns(
+        {"na": blocks(1), "nb": blocks(num_negatives), "pos_sim": dot("anchor", "positive")}
+    )
+    rows = each_element(placed, sides, "batch_id", "sample_key", "pos_sim", "na", "nb", value="v")
+    is_anchor = F.col("v.ordinal") < 0
+    own = F.pmod(F.xxhash64("sample_key", "v.ordinal"), F.when(is_anchor, F.col("na")).otherwise(F.col("nb")))
+    other = F.sequence(F.lit(0), F.when(is_anchor, F.col("nb")).otherwise(F.col("na")) - 1)
+    met = rows.select("*", own.cast("int").alias("own"), F.explode(other).alias("other"))
+    return met.select(
+        "batch_id",
+        F.when(is_anchor, F.col("own")).otherwise(F.col("other")).alias("a"),
+        F.when(is_anchor, F.col("other")).otherwise(F.col("own")).alias("b"),
+        "v.ordinal",
+        "v.vec",
+        F.when(is_anchor, F.col("sample_key")).alias("sample_key"),
+        F.when(is_anchor, F.col("pos_sim")).alias("pos_sim"),
+    )
+
+
 def anchor_scores(
     triples: DataFrame,
+    num_negatives: int,
     temperatures: Sequence[float] = (1.0,),
     negative_counts: Sequence[int] | None = None,
+    sizes: DataFrame | None = None,
     block: int = BLOCK_VECTORS,
 ) -> DataFrame:
     """One row per valid anchor, temperature and negative count: similarities and its loss.
 
     ``negative_counts`` uses the first k negatives of each sample for every k given; by default all.
+    ``sizes(batch_id, n_anchors)`` saves counting the triples.
     """
-    key = ["batch_id", "sample_key"]
-    spread = F.xxhash64("sample_key")
-    width = F.size("negatives")
-    if negative_counts is None:
-        counts = [triples.agg(F.max(width)).first()[0] or 0]
-    else:
-        counts = list(negative_counts)
-    sizes = triples.groupBy("batch_id").agg(
-        F.ceil(F.count("*") / F.lit(block)).cast("int").alias("anchor_blocks"),
-        F.ceil(F.sum(width) / F.lit(block)).cast("int").alias("negative_blocks"),
-    )
-    placed = triples.join(sizes, "batch_id")
-
-    def others(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.greatest(F.col(count), F.lit(1)) - 1))
-
-    anchors = placed.select(
-        *key,
-        F.col("anchor").alias("vec"),
-        F.pmod(spread, F.col("anchor_blocks")).cast("int").alias("a"),
-        others("negative_blocks").alias("b"),
-    )
-    # Negatives of one sample go to blocks of their own hash, anchors meet each of those blocks.
-    negatives = (
-        placed.select(*key, "anchor_blocks", "negative_blocks", F.posexplode("negatives").alias("ordinal", "vec"))
-        .withColumn("b", F.pmod(F.xxhash64("sample_key", "ordinal"), F.col("negative_blocks")).cast("int"))
-        .select(
-            F.col("batch_id").alias("batch"), "ordinal", "vec", "b", others("anchor_blocks").alias("a")
-        )
-    )
+    counts = [num_negatives] if negative_counts is None else list(negative_counts)
+    if sizes is None:
+        sizes = triples.groupBy("batch_id").agg(F.count("*").alias("n_anchors"))
+    product = _block_product([float(t) for t in temperatures], counts)
     partial = (
-        anchors.groupBy("batch_id", "a", "b")
-        .cogroup(negatives.groupBy("batch", "a", "b"))
-        .applyInPandas(_block_product(list(temperatures), counts), _PARTIAL)
+        _block_pairs(triples, sizes, num_negatives, block)
+        .groupBy("batch_id", "a", "b")
+        .applyInArrow(product, _PARTIAL)
     )
-    per_anchor = partial.groupBy(*key, "temperature", "num_negatives").agg(
+    scored = partial.groupBy("batch_id", "sample_key", "temperature", "num_negatives").agg(
+        F.max("pos_sim").alias("pos_sim"),
         F.max("neg_max").alias("neg_max"),
         # One entry per block of negatives.
-        F.collect_list("neg_lse").alias("lses"),
+        _log_sum_exp(F.collect_list("neg_lse")).alias("neg_lse"),
         F.sum("neg_sum").alias("neg_sum"),
     )
-    positive = triples.select(*key, dot("anchor", "positive").alias("pos_sim"))
-    scored = positive.join(per_anchor, key)
     logit = F.col("pos_sim") / F.col("temperature")
-    return (
-        scored.withColumn("neg_lse", _log_sum_exp(F.col("lses")))
-        .withColumn("loss", _log_sum_exp(F.array(logit, F.col("neg_lse"))) - logit)
-        .drop("lses")
-    )
+    return scored.withColumn("loss", _log_sum_exp(F.array(logit, F.col("neg_lse"))) - logit)
 
 
 def batch_metrics(
@@ -212,5 +247,8 @@ def infonce(
     """
     counts = [num_negatives] if negative_counts is None else list(negative_counts)
     triples = sample_triples(vectors, num_negatives, size)
-    scores = anchor_scores(triples, temperatures, counts, block)
+    # Anchors are counted without touching a vector.
+    anchors = vectors.where(F.col("slot") == 0).groupBy(F.col("batch_id").cast("long").alias("batch_id"))
+    sizes = anchors.agg(F.count("*").alias("n_anchors"))
+    scores = anchor_scores(triples, num_negatives, temperatures, counts, sizes, block)
     return batch_metrics(scores, vectors, temperatures, counts)

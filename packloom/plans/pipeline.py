@@ -16,7 +16,7 @@ from packloom.operators.assembly import assemble_assigned, assemble_packs, pad_p
 from packloom.operators.batches import assign_batches, collate, order_packs
 from packloom.operators.packing import plan_packs
 from packloom.operators.positions import number_rows
-from packloom.operators.resume import resume_from, shards_to_read
+from packloom.operators.resume import resume_from
 from packloom.operators.strategies import WINDOW_ROWS, assign_by_strategy
 from packloom.operators.triplets import limit_length, tokenize_slots, usable
 from packloom.sources import jsonl
@@ -55,15 +55,18 @@ def read_samples(
 ) -> DataFrame:
     """Samples of JSONL files in file and row order, tokenized once and staged.
 
-    With ``resume``, rows before the saved position are left out.
+    With ``resume``, finished files are not opened and rows before the saved position are left out.
     """
-    lines = jsonl.read_lines(spark, data_files, recursive)
-    index = jsonl.index_splits(lines)
-    rows = jsonl.with_positions(lines, index)
+    lines, first_shard = jsonl.read_lines(spark, data_files, recursive), 0
     if resume is not None:
-        # One value per file; finished files drop out before their lines are parsed.
-        unread = shards_to_read(jsonl.list_shards(index), resume).select("shard_index")
-        rows = resume_from(rows, resume).join(F.broadcast(unread), "shard_index", "left_semi")
+        names = jsonl.shard_names(lines)
+        # With all files finished the last one is read, and nothing of it is left below.
+        first_shard = min(resume.shard_index, len(names) - 1)
+        unread = jsonl.unread_files(names, first_shard)
+        lines = jsonl.read_lines(spark, unread)
+    rows = jsonl.with_positions(lines, first_shard=first_shard)
+    if resume is not None:
+        rows = resume_from(rows, resume)
     extras = T.StructType([T.StructField(SOURCE_FIELD, T.StringType())])
     triplets = jsonl.parse_triplets(
         rows, *fields, num_negatives=config.num_negatives, extras=extras

@@ -589,7 +589,7 @@ def jsonl_triplets(spark: SparkSession, folder: str) -> DataFrame:
 def shard_list(spark: SparkSession, folder: str) -> DataFrame:
     """Lines per dataset over all its shards, and whether shards follow each other without a gap."""
     lines = jsonl.read_lines(spark, _written_triplets(spark, folder) + "/*.txt")
-    shards = jsonl.list_shards(jsonl.index_splits(lines))
+    shards = jsonl.list_shards(jsonl.index_splits(lines), jsonl.shard_names(lines))
     return shards.agg(F.sum("n_rows").alias("n_rows"), F.max(F.col("first_pos") + F.col("n_rows")).alias("end"))
 
 
@@ -847,7 +847,7 @@ def infonce_negative_sweep(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def anchor_losses(spark: SparkSession, folder: str) -> DataFrame:
     triples = contrastive.sample_triples(_slot_vectors(spark, folder, 1, 32), 1, VECTOR_SIZE)
-    scores = contrastive.anchor_scores(triples, [0.07])
+    scores = contrastive.anchor_scores(triples, 1, [0.07])
     return scores.select(
         "batch_id", "sample_key", *[F.round(c, 6).alias(c) for c in ("pos_sim", "neg_max", "neg_lse", "loss")]
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +40,16 @@ def read_lines(
 MAX_BROADCAST_SPLITS = 1_000_000
 
 
+def shard_names(lines: DataFrame) -> list[str]:
+    """The files behind ``lines`` in path order, empty ones too. A shard's index is its place here."""
+    return sorted(re.sub("^file:/+", "file:/", name) for name in lines.inputFiles())
+
+
+def unread_files(names: Sequence[str], first_shard: int) -> list[str]:
+    """Paths to read when everything before ``first_shard`` is done."""
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(name)) for name in names[first_shard:]]
+
+
 def index_splits(lines: DataFrame) -> DataFrame:
     """One row per file split: ``shard_name, __block, __first, n_rows``, with the first row id seen.
 
@@ -50,44 +62,51 @@ def index_splits(lines: DataFrame) -> DataFrame:
     return stage(splits, "splits")
 
 
-def list_shards(counts: DataFrame) -> DataFrame:
-    """``shard_index, shard_name, n_rows, first_pos``: files in path order with their row counts.
+def list_shards(counts: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """``shard_index, shard_name, n_rows, first_pos`` in name order.
 
-    ``counts(shard_name, n_rows)`` is a split index or any finer or equal count. One row per file is
-    left, so the ordering window is over file metadata only.
+    ``counts(shard_name, n_rows)`` may have several rows per shard; ``names`` adds shards without
+    rows. One row per shard is left, so the ordering window is over metadata only.
     """
-    files = counts.groupBy("shard_name").agg(F.sum("n_rows").alias("n_rows"))
-    by_path = Window.orderBy("shard_name")
-    earlier = by_path.rowsBetween(Window.unboundedPreceding, -1)
-    return files.select(
-        (F.row_number().over(by_path) - 1).alias("shard_index"),
+    shards = counts.groupBy("shard_name").agg(F.sum("n_rows").alias("n_rows"))
+    if names is not None:
+        every = counts.sparkSession.createDataFrame([(n,) for n in names], "shard_name string")
+        shards = every.join(shards, "shard_name", "left").fillna({"n_rows": 0})
+    by_name = Window.orderBy("shard_name")
+    earlier = by_name.rowsBetween(Window.unboundedPreceding, -1)
+    return shards.select(
+        (F.row_number().over(by_name) - 1).alias("shard_index"),
         "shard_name",
         "n_rows",
         F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("first_pos"),
     )
 
 
-def with_positions(lines: DataFrame, index: DataFrame | None = None) -> DataFrame:
+def with_positions(
+    lines: DataFrame, index: DataFrame | None = None, first_shard: int = 0
+) -> DataFrame:
     """``shard_index, shard_name, row_index, pos, value``: where every line stands.
 
     The lines are neither sorted nor, up to ``MAX_BROADCAST_SPLITS`` splits, shuffled: rows are
     counted per split, and only split and file counts are joined back. ``pos`` numbers the lines
-    over all shards in path order.
+    over all shards read; ``first_shard`` is the index of the first of them.
     """
     index = index_splits(lines) if index is None else index
-    shards = list_shards(index).select("shard_name", "shard_index", "first_pos")
+    shards = list_shards(index, shard_names(lines))
     earlier = (
         Window.partitionBy("shard_name")
         .orderBy("__block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offset = F.coalesce(F.sum("n_rows").over(earlier), F.lit(0)).alias("__offset")
-    places = index.select("shard_name", "__block", "__first", offset).join(shards, "shard_name")
+    places = index.select("shard_name", "__block", "__first", offset).join(
+        shards.drop("n_rows"), "shard_name"
+    )
     if index.count() <= MAX_BROADCAST_SPLITS:
         places = F.broadcast(places)
     row_index = F.col("__seen") - F.col("__first") + F.col("__offset")
     return lines.join(places, ["shard_name", "__block"]).select(
-        "shard_index",
+        (F.col("shard_index") + first_shard).alias("shard_index"),
         "shard_name",
         row_index.alias("row_index"),
         (F.col("first_pos") + row_index).alias("pos"),
@@ -95,10 +114,6 @@ def with_positions(lines: DataFrame, index: DataFrame | None = None) -> DataFram
     )
 
 
-def count_shards(index: DataFrame) -> int:
-    return index.select("shard_name").distinct().count()
-
-
 def open_shard(positioned: DataFrame, shard_name: str, row: int = 0) -> DataFrame:
     """The lines of one shard from ``row`` on."""
     return positioned.where((F.col("shard_name") == shard_name) & (F.col("row_index") >= row))

@@ -42,9 +42,11 @@ def test_positions_shards_and_resume(spark, folder):
     rows = read(spark, folder)
     places = {r["sample_id"]: (r["shard_index"], r["row_index"], r["pos"]) for r in rows.collect()}
     assert places == {i: (i // 10, i % 10, i) for i in range(30)}
-    index = jsonl.index_splits(jsonl.read_lines(spark, folder + "/*.jsonl"))
-    assert jsonl.count_shards(index) == 3
-    assert [r["n_rows"] for r in jsonl.list_shards(index).orderBy("shard_index").collect()] == [10, 10, 10]
+    lines = jsonl.read_lines(spark, folder + "/*.jsonl")
+    names, index = jsonl.shard_names(lines), jsonl.index_splits(lines)
+    assert len(names) == 3
+    shards = jsonl.list_shards(index, names)
+    assert [r["n_rows"] for r in shards.orderBy("shard_index").collect()] == [10, 10, 10]
 
     def ids(df):
         return sorted(r["sample_id"] for r in df.collect())
@@ -53,7 +55,6 @@ def test_positions_shards_and_resume(spark, folder):
     assert ids(resume.resume_from(rows, ResumeState(1, 5))) == list(range(15, 30))
     assert ids(resume.resume_from(rows, ResumeState(1, 5), 2, 3)) == list(range(23, 30))
     assert ids(resume.resume_from(rows, ResumeState(0, 10))) == list(range(10, 30))
-    shards = jsonl.list_shards(index)
     assert [r["shard_index"] for r in resume.shards_to_read(shards, ResumeState(0, 10)).collect()] == [1, 2]
     last = resume.emitted_progress(resume.resume_from(rows, ResumeState(1, 5))).first()
     assert (last["shard_index"], last["row_index"]) == (2, 10)
@@ -75,6 +76,17 @@ def test_positions_over_many_splits(spark, tmp_path):
     assert len(got) == 1200 and all(r["pos"] == r["i"] for r in got)
 
 
+def test_empty_files_and_odd_names_count_as_shards(spark, tmp_path):
+    for i, name in enumerate(["a 1.jsonl", "b[2]%20.jsonl", "c.jsonl", "d{x}*.jsonl"]):
+        write(tmp_path / name, [json.dumps({"sample_id": i})] if i != 2 else [])
+    lines = jsonl.read_lines(spark, str(tmp_path))
+    names = jsonl.shard_names(lines)
+    shards = jsonl.list_shards(jsonl.index_splits(lines), names).orderBy("shard_index").collect()
+    assert [r["n_rows"] for r in shards] == [1, 1, 0, 1] and [r["shard_name"] for r in shards] == names
+    rest = jsonl.with_positions(jsonl.read_lines(spark, jsonl.unread_files(names, 1)), first_shard=1)
+    assert sorted((r["shard_index"], r["value"]) for r in rest.collect()) == [(1, '{"sample_id": 1}'), (3, '{"sample_id": 3}')]
+
+
 def test_directory_search(spark, tmp_path):
     os.makedirs(tmp_path / "deep" / "er")
     write(tmp_path / "a.json", ['{"anchor": "1"}'])

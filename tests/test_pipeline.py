@@ -29,7 +29,7 @@ def slots(i):
     return [[97] * n + [1], [ord(c) for c in f"{i:04d}"] + [1], [110] * (n // 2 + 1) + [1]]
 
 
-@pytest.mark.parametrize("resume,first", [(None, 0), (ResumeState(1, 5), 45), (ResumeState(1, 40), 80)])
+@pytest.mark.parametrize("resume,first", [(None, 0), (ResumeState(1, 5), 45), (ResumeState(1, 40), 80), (ResumeState(5, 0), 200)])
 def test_files_to_packs(spark, folder, resume, first):
     config = PackConfig(eos_token_id=1, seq_length=256, max_samples=6, max_sample_length=200, shuffle=False)
     data = load_packed(spark, folder + "/*.jsonl", codepoints, config, resume)
