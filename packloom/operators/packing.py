@@ -189,8 +189,9 @@ def _descend(seq_length: int, cap: int, to_chunks: bool) -> Callable:
         steps = walk_units(units, first, seq_length, cap)
         if not to_chunks:
             return pd.DataFrame([state for state, _ in steps])
-        rows = pd.DataFrame([_chunk_row(state, pick) for state, pick in steps])
-        return rows.astype({"entry_pos": "Int64", "entry_over": "Int64"})
+        rows = [_chunk_row(state, pick) for state, pick in steps]
+        # Nullable from the start: by way of floats, large positions would lose digits.
+        return pd.DataFrame({c: pd.array([r[c] for r in rows], dtype="Int64") for c in rows[0]})
 
     return step
 

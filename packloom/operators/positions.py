@@ -38,7 +38,8 @@ def dense_positions(
         "__idx", F.monotonically_increasing_id().bitwiseAND(F.lit(_ROW_BITS))
     )
     staged = stage(then(numbered), "positions")
-    offsets = _offsets(staged.groupBy("__part").count(), "__part", "__offset")
+    # Stored as well, or every later read of the rows would count them again.
+    offsets = stage(_offsets(staged.groupBy("__part").count(), "__part", "__offset"), "offsets")
     return (
         staged.join(F.broadcast(offsets), "__part")
         .withColumn(name, F.col("__offset") + F.col("__idx"))

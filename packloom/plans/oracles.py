@@ -700,5 +700,48 @@ slot_vectors AS (
 
 # --- streams ------------------------------------------------------------------------------------
 
+
+def stream_packs(length: int, cap: int, lanes: int) -> str:
+    """Greedy packing lane by lane; the pack still open at the end of a lane is not given out."""
+    fits = f"w.held > 0 AND w.used + s.len <= {length} AND w.held + 1 <= {cap}"
+    text = "list_concat(list_concat({}, {}), {})".format(*(POINTS.format(c) for c in ("text", "lang", "source")))
+    return f"""
+items AS (
+  SELECT doc_id, lane, ids, len(ids) AS len, len(ids) > {length} AS big, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id, {text} AS ids,
+    'documents/' || (('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % {lanes}) AS lane FROM documents)
+),
+sizes AS MATERIALIZED (SELECT lane, rn, len, big FROM items),
+walk AS (
+  SELECT DISTINCT lane, 0::BIGINT AS rn, 0::BIGINT AS used, 0::BIGINT AS held, -1::BIGINT AS p FROM sizes
+  UNION ALL
+  SELECT s.lane, s.rn,
+    CASE WHEN s.big THEN w.used WHEN {fits} THEN w.used + s.len ELSE s.len END,
+    CASE WHEN s.big THEN w.held WHEN {fits} THEN w.held + 1 ELSE 1 END,
+    CASE WHEN s.big OR ({fits}) THEN w.p ELSE w.p + 1 END
+  FROM walk w JOIN sizes s ON s.lane = w.lane AND s.rn = w.rn + 1
+),
+placed AS (
+  SELECT lane, rn, big, p, count(*) FILTER (WHERE big) OVER (PARTITION BY lane ORDER BY rn ROWS UNBOUNDED PRECEDING)
+    - CASE WHEN big THEN 1 ELSE 0 END AS over_before
+  FROM sizes JOIN walk USING (lane, rn)
+),
+first_rows AS (SELECT lane, p, min(rn) AS rn FROM placed WHERE NOT big GROUP BY lane, p),
+closing AS (
+  SELECT f.lane, f.p, c.over_before
+  FROM (SELECT lane, p, lead(rn) OVER (PARTITION BY lane ORDER BY p) AS rn FROM first_rows) f
+  JOIN placed c ON c.lane = f.lane AND c.rn = f.rn
+),
+given AS (
+  SELECT i.lane, i.rn, i.doc_id, i.ids, CASE WHEN x.big THEN x.over_before + greatest(x.p, 0) ELSE x.p + c.over_before END::BIGINT AS pack_no
+  FROM items i JOIN placed x USING (lane, rn) LEFT JOIN closing c ON c.lane = x.lane AND c.p = x.p
+  WHERE x.big OR c.p IS NOT NULL
+)"""
+
+
+ORACLES["stream_pack"] = ctes(stream_packs(DOCS.seq_length, DOCS.max_samples, 8)) + f"""
+SELECT lane, pack_no, count(*)::INTEGER AS num_segments, {text_of("list(doc_id ORDER BY rn)")} AS sample_keys,
+  {text_of(f"list_resize(flatten(list(ids ORDER BY rn))[1:{DOCS.seq_length}], {DOCS.seq_length}, 0)")} AS input_ids
+FROM given GROUP BY lane, pack_no"""
 ORACLES["stream_ingest"] = ctes(DOC_TRIPLETS, USABLE) + """
 SELECT doc_id, length(anchor)::INTEGER AS anchor_chars, length(negative)::INTEGER AS negative_chars FROM usable"""

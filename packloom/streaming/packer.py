@@ -22,8 +22,8 @@ _STATE = _PACK.removeprefix("lane string, ")
 
 def lane_of(group: Column, key: Column, lanes: int) -> Column:
     """A group's samples over ``lanes`` independent open packs, so a hot group is not one task."""
-    lane = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("string")
-    return F.concat_ws("/", group.cast("string"), lane)
+    digits = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.concat_ws("/", group.cast("string"), F.pmod(digits, F.lit(lanes)).cast("string"))
 
 
 def _cut(sizes: list[int], limit: int) -> list[int]:

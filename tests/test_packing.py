@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from packloom.config import PackConfig
 from packloom.operators.assembly import assemble_packs, assign_packs, pack_samples, pad_packs
-from packloom.operators.packing import compose_units, plan_packs, summarise_chunk, walk_units
+from packloom.operators.packing import compose_units, plan_packs, route, rows_per_chunk, summarise_chunk, walk_units
 from packloom.workspace import stage
 from reference_model import greedy, packed_row
 
@@ -98,6 +98,36 @@ def test_small_arrow_batches_and_few_partitions(spark):
     assert {r["pack_id"]: r["num_segments"] for r in packs} == {p: len(m) for p, m in enumerate(expected)}
 
 
+def test_packs_across_many_chunks_and_long_oversize_runs(spark):
+    sizes = [1] * 400 + [999] * 300 + [1] * 5 + [500] + [3] * 200
+    rows = list(enumerate(sizes))
+    samples = stage(spark.createDataFrame(rows, "pos long, n_tokens int"), "samples")
+    config = PackConfig(eos_token_id=1, seq_length=256, max_samples=None, max_sample_length=None)
+    plan = plan_packs(samples, config, chunk_rows=5, fan_in=6)
+    expected = greedy(sizes, 256, 10**6)
+    got = {r["pos"]: (r["pack_id"], r["sample_ord"]) for r in assign_packs(samples, plan).collect()}
+    assert got == {i: (p, o) for p, members in enumerate(expected) for o, i in enumerate(members)}
+    # No destination holds more than a chunk and the rest of its last pack.
+    largest = route(samples, plan).groupBy("home").count().agg({"count": "max"}).first()[0]
+    assert largest <= 5 + 256
+
+
+def test_gaps_and_large_positions(spark):
+    base = (1 << 60) + 12345
+    sizes = [7, 9, 30, 2, 2, 2, 50, 1, 8, 8, 8]
+    rows = [(base + i * i * 1000, n) for i, n in enumerate(sizes)]
+    samples = stage(spark.createDataFrame(rows, "pos long, n_tokens int"), "samples")
+    config = PackConfig(eos_token_id=1, seq_length=40, max_samples=3, max_sample_length=None)
+    got = {r["pos"]: r["pack_id"] for r in assign_packs(samples, plan_packs(samples, config)).collect()}
+    assert got == {rows[i][0]: p for p, members in enumerate(greedy(sizes, 40, 3)) for i in members}
+
+
 def test_empty_input(spark):
     samples = spark.createDataFrame([], "pos long, n_tokens int, slots array<array<int>>")
     assert pack_samples(samples, PackConfig(eos_token_id=1, seq_length=8)).collect() == []
+
+
+def test_chunk_count_is_bounded():
+    for span in (1, 10**4, 10**8, 10**12, 1 << 62):
+        for cores in (1, 8, 10_000):
+            assert -(-span // rows_per_chunk(span, cores)) <= 1 << 18

@@ -1,10 +1,11 @@
 import numpy as np
+import pandas as pd
 import pytest
 from packloom.config import PackConfig
 from packloom.operators import batches, quality, unpack
 from packloom.operators.strategies import assign_by_strategy
 from packloom.streaming.ingest import run_available
-from packloom.streaming.packer import lane_of, pack_stream
+from packloom.streaming.packer import _packer, lane_of, pack_stream
 from pyspark.sql import functions as F
 from reference_model import greedy, packed_row
 
@@ -148,6 +149,29 @@ def test_other_strategies(spark, strategy):
         assert sorted(packs.values()) == sorted(expected)
 
 
+class Lane:
+    """Stands in for the state of one lane."""
+
+    exists, hasTimedOut, timeout, get = False, False, None, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_idle_lane_gives_out_its_open_pack():
+    step, lane = _packer(10, 5, 1000), Lane()
+    rows = pd.DataFrame({"sample_key": [2, 1], "slots": [[np.array([5, 6]), np.array([7])], [np.array([8]), np.array([9])]]})
+    assert [len(out) for out in step(("l",), iter([rows]), lane)] == [0]
+    assert lane.get == (0, [1, 2], [8, 9, 5, 6, 7], [[1, 1], [2, 1]]) and lane.timeout == 1000
+    lane.hasTimedOut = True
+    out = next(step(("l",), iter([]), lane)).iloc[0]
+    assert (out["pack_no"], out["sample_keys"], list(out["input_ids"])) == (0, [1, 2], [8, 9, 5, 6, 7])
+    assert lane.get == (1, [], [], [])
+
+
 def test_stream_packs_equal_the_loop(spark, tmp_path):
     rng = np.random.default_rng(3)
     samples = [[[int(t) for t in rng.integers(2, 90, rng.integers(1, 9))] for _ in range(3)] for _ in range(60)]
