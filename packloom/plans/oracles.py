@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from packloom.operators.strategies import POOL_PACKS, WINDOW_ROWS
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, FIRST_WORD_ID
 from packloom.plans.queries import BATCH, MAX_SAMPLES, ORDERS, RESUME, ROW_TOKENS, SEED, VECTOR_SIZE
 
@@ -307,6 +308,69 @@ ORACLES["pack_sources"] = doc_ctes() + """
 SELECT pack_id, string_agg(source, ',' ORDER BY sample_ord) AS source_ids FROM assigned GROUP BY pack_id"""
 ORACLES["pack_fill_rate"] = chat_ctes(CHAT_CAPPED) + f"""
 SELECT pack_id, num_segments, used::INTEGER AS used_tokens, round(used / {CHAT_CAPPED.seq_length}, 6) AS fill_rate FROM packs"""
+
+
+def by_strategy(state: str, start: str, step: str) -> str:
+    """Chat samples packed window by window; ``walk`` carries the open packs of each window."""
+    config = CHAT_CAPPED
+    return ctes(
+        CHAT_TRIPLETS,
+        USABLE,
+        tokenized("conv_id, turn"),
+        f"""
+numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM tokenized),
+sizes AS MATERIALIZED (
+  SELECT pos, pos // {WINDOW_ROWS} AS win, row_number() OVER (PARTITION BY pos // {WINDOW_ROWS} ORDER BY pos) AS rn,
+    least(len(a) + len(p) + len(n), {config.max_sample_length})::BIGINT AS len
+  FROM numbered WHERE len(a) + len(p) < {config.max_sample_length}
+),
+walk AS (
+  SELECT DISTINCT win, 0::BIGINT AS rn, {start}, 0::BIGINT AS opened, -1::BIGINT AS bin, 0::BIGINT AS ord FROM sizes
+  UNION ALL
+  SELECT win, rn, {step} FROM (
+    SELECT s.win, s.rn, s.len, {state}, w.opened,
+      [CASE WHEN w.rooms[i] >= s.len AND w.helds[i] < {config.sample_cap} THEN w.rooms[i] END FOR i IN range(1, len(w.rooms) + 1)] AS fitting
+    FROM walk w JOIN sizes s ON s.win = w.win AND s.rn = w.rn + 1
+  )
+)""",
+    ) + f"""
+SELECT pos, win * {WINDOW_ROWS} + bin AS pack_id, ord::INTEGER AS sample_ord FROM sizes JOIN walk USING (win, rn)"""
+
+
+def _put(values: str, at: str, value: str) -> str:
+    return f"list_concat(list_concat({values}[1:{at} - 1], [{value}]), {values}[{at} + 1:])"
+
+
+_FIRST = "list_position([f IS NOT NULL FOR f IN fitting], true)"
+_ROOM = f"{CHAT_CAPPED.seq_length} - len"
+ORACLES["pack_first_fit"] = by_strategy(
+    "w.rooms, w.helds",
+    "[]::BIGINT[] AS rooms, []::BIGINT[] AS helds",
+    f"""CASE WHEN coalesce({_FIRST}, 0) = 0 THEN list_append(rooms, {_ROOM}) ELSE {_put("rooms", _FIRST, f"rooms[{_FIRST}] - len")} END,
+    CASE WHEN coalesce({_FIRST}, 0) = 0 THEN list_append(helds, 1) ELSE {_put("helds", _FIRST, f"helds[{_FIRST}] + 1")} END,
+    CASE WHEN coalesce({_FIRST}, 0) = 0 THEN opened + 1 ELSE opened END,
+    CASE WHEN coalesce({_FIRST}, 0) = 0 THEN opened ELSE {_FIRST} - 1 END,
+    CASE WHEN coalesce({_FIRST}, 0) = 0 THEN 0 ELSE helds[{_FIRST}] END""",
+)
+_BEST = "list_position(fitting, list_min(fitting))"
+_FULLEST = "list_position(rooms, list_min(rooms))"
+
+
+def _pooled(values: str, new: str, changed: str) -> str:
+    """The pool's packs after a sample: one changed, or a new one in place of the fullest."""
+    room_left = f"CASE WHEN len(rooms) < {POOL_PACKS} THEN {values} ELSE list_concat({values}[1:{_FULLEST} - 1], {values}[{_FULLEST} + 1:]) END"
+    return f"CASE WHEN list_min(fitting) IS NULL THEN list_append({room_left}, {new}) ELSE {_put(values, _BEST, changed)} END"
+
+
+ORACLES["pack_pool"] = by_strategy(
+    "w.rooms, w.helds, w.bins",
+    "[]::BIGINT[] AS rooms, []::BIGINT[] AS helds, []::BIGINT[] AS bins",
+    f"""{_pooled("rooms", _ROOM, f"rooms[{_BEST}] - len")}, {_pooled("helds", "1", f"helds[{_BEST}] + 1")},
+    {_pooled("bins", "opened", f"bins[{_BEST}]")},
+    CASE WHEN list_min(fitting) IS NULL THEN opened + 1 ELSE opened END,
+    CASE WHEN list_min(fitting) IS NULL THEN opened ELSE bins[{_BEST}] END,
+    CASE WHEN list_min(fitting) IS NULL THEN 0 ELSE helds[{_BEST}] END""",
+)
 ORACLES["packed_table"] = chat_ctes(CHAT_CAPPED) + """
 SELECT num_segments, count(*) AS n_packs, sum(used)::BIGINT AS n_tokens FROM packs GROUP BY num_segments"""
 
