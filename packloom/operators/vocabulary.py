@@ -154,11 +154,11 @@ def new_vectors(
         raise ValueError("random vectors need a seed")
     # Two uniform numbers from the hash of (seed, id, dimension) give a normal one: the same vectors
     # however the rows are partitioned, and on every retry of a task.
-    span = float(1 << 53)
 
     def uniform(dim: Column, stream: int) -> Column:
-        bits = F.xxhash64(F.lit(seed), F.col("token_id"), dim, F.lit(stream))
-        return (F.pmod(bits, F.lit(1 << 53)) + F.lit(0.5)) / F.lit(span)
+        text = F.concat_ws(":", F.lit(seed), F.col("token_id"), dim, F.lit(stream))
+        bits = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long")
+        return (bits + F.lit(0.5)) / F.lit(float(1 << 48))
 
     def normal(dim: Column) -> Column:
         radius = F.sqrt(F.lit(-2.0) * F.ln(uniform(dim, 0)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from packloom.operators.strategies import POOL_PACKS, WINDOW_ROWS
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, FIRST_WORD_ID
-from packloom.plans.queries import BATCH, MAX_SAMPLES, ORDERS, RESUME, ROW_TOKENS, SEED, VECTOR_SIZE
+from packloom.plans.queries import BATCH, MAX_SAMPLES, ORDERS, RANDOM_SEED, RESUME, ROW_TOKENS, SEED, VECTOR_SIZE
 
 ORACLES: dict[str, str] = {}
 
@@ -238,6 +238,16 @@ ORACLES["vocab_vectors_zeros"] = f"""
 SELECT token_id::INTEGER AS token_id, dim::INTEGER AS dim, 0.0::DOUBLE AS x
 FROM {_NEW_IDS} CROSS JOIN (SELECT unnest(range({VECTOR_SIZE})) AS dim)"""
 
+
+def _uniform(stream: int) -> str:
+    return f"(('0x' || md5(concat_ws(':', {RANDOM_SEED}, token_id, dim, {stream}))[1:12])::BIGINT + 0.5) / 281474976710656.0::DOUBLE"
+
+
+ORACLES["vocab_vectors_random"] = f"""
+SELECT token_id::INTEGER AS token_id, dim::INTEGER AS dim,
+  round(sqrt(-2.0 * ln({_uniform(0)})) * cos(2.0 * pi() * {_uniform(1)}) * 0.02, 6) AS x
+FROM {_NEW_IDS} CROSS JOIN (SELECT unnest(range({VECTOR_SIZE})) AS dim)"""
+
 # --- packing ------------------------------------------------------------------------------------
 
 _ASSIGNED = " SELECT conv_id, turn, len::INTEGER AS n_tokens, pack_id, sample_ord FROM assigned"

@@ -217,9 +217,12 @@ def vocab_vectors_zeros(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded_dims(_new_rows(spark, folder, "zeros"), "token_id")
 
 
+RANDOM_SEED = 7
+
+
 @query
 def vocab_vectors_random(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded_dims(_new_rows(spark, folder, "random", seed=7), "token_id")
+    return _rounded_dims(_new_rows(spark, folder, "random", seed=RANDOM_SEED), "token_id")
 
 
 @query
