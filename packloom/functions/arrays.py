@@ -1,7 +1,9 @@
-"""Arrays to rows."""
+"""Arrays to rows, and values used more than once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,8 @@ def each_element(
     """
     rows = df.select(*keep, F.posexplode_outer(array).alias(position, value))
     return rows.where(F.col(position).isNotNull())
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``."""
+    return F.transform(F.array(value), body)[0]

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from packloom.functions.arrays import bind
+
 # Fixed value: lower bound of the squared norm.
 NORM_EPSILON = 1e-8
 
@@ -32,11 +33,6 @@ def finite(vector: Column | str) -> Column:
     )
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it in ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _unit(vector: Column) -> Column:
     norm = F.sqrt(F.greatest(dot(vector, vector), F.lit(NORM_EPSILON)))
     return F.zip_with(vector, F.array_repeat(norm, F.size(vector)), lambda x, n: x / n)
@@ -44,7 +40,7 @@ def _unit(vector: Column) -> Column:
 
 def normalize(vector: Column | str, present: Column | str | None = None) -> Column:
     """Scale to unit length, safe for zero vectors; vectors that are not ``present`` become zero."""
-    unit = _bind(finite(vector), _unit)
+    unit = bind(finite(vector), _unit)
     if present is None:
         return unit
     return F.when(_col(present), unit).otherwise(zeros(F.size(_col(vector))))

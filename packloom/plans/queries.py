@@ -20,7 +20,6 @@ from packloom.operators.packing import plan_packs
 from packloom.operators.positions import dense_positions
 from packloom.operators.strategies import assign_by_strategy
 from packloom.operators.triplets import (
-    limit_length,
     rejected,
     select_fields,
     slot_labels,
@@ -28,7 +27,7 @@ from packloom.operators.triplets import (
     usable,
 )
 from packloom.plans import flows
-from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, joined
+from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, joined
 from packloom.sources import jsonl
 from packloom.sources.state import ResumeState, with_checkpoint_step
 from packloom.sources.tables import document_triplets, load, over_all_cores, save

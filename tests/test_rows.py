@@ -66,6 +66,40 @@ def test_toy_segments_and_argument_checks(spark):
     assert [r["input_ids"] for r in unpack.split_samples(short).collect()] == [[5, 6]]
 
 
+def position_errors_by_loop(segments, positions, mask):
+    seen, wrong = {}, set()
+    for i, (segment, position, attended) in enumerate(zip(segments, positions, mask)):
+        if not attended:
+            if position != 0:
+                wrong.add(i)
+        elif segment >= 0:
+            if position != seen.get(segment, 0):
+                wrong.add(i)
+            seen[segment] = seen.get(segment, 0) + 1
+    return wrong
+
+
+def test_position_errors_on_random_packs(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for pack in range(300):
+        n = int(rng.integers(0, 9))
+        segments = np.sort(rng.integers(-1, 4, n)) if pack % 3 else rng.integers(-1, 3, n)
+        mask = np.arange(n) < rng.integers(0, n + 1) if pack % 2 else rng.integers(0, 2, n) > 0
+        count, positions = {}, []
+        for s, m in zip(segments, mask):
+            positions.append(count.get(s, 0) if m and s >= 0 else 0)
+            if m:
+                count[s] = count.get(s, 0) + 1
+        if n and pack % 5 == 0:
+            positions[int(rng.integers(0, n))] += 1
+        rows.append((pack, [int(s) for s in segments], [int(p) for p in positions], [int(m) for m in mask]))
+    packs = spark.createDataFrame(rows, "pack_id long, segment_ids array<int>, position_ids array<int>, attention_mask array<int>")
+    got = {(r["pack_id"], r["pos"]) for r in quality.position_errors(packs).collect()}
+    want = {(r[0], i) for r in rows for i in position_errors_by_loop(*r[1:])}
+    assert got == want and want
+
+
 def test_checks_find_faulty_packs(spark):
     schema = "pack_id long, segment_ids array<int>, position_ids array<int>, attention_mask array<int>, num_segments int"
     rows = [
