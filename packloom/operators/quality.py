@@ -16,11 +16,12 @@ MULTI_FILE_COVERAGE = (0.90, 1.10)
 def _counts_up() -> Column:
     """Whether a pack's positions are right at first sight: every segment is one run of tokens that
     counts up from 0, and padding is 0."""
-    segments, positions, mask = (F.col(c) for c in ("segment_ids", "position_ids", "attention_mask"))
+    # Zipped once; inside a lambda, a column that is still an expression would run per token.
     tokens = F.transform(
-        segments,
-        lambda s, i: F.struct(
-            F.when(F.get(mask, i) == 1, s).alias("segment"), F.get(positions, i).alias("position")
+        F.arrays_zip("segment_ids", "position_ids", "attention_mask"),
+        lambda t: F.struct(
+            F.when(t["attention_mask"] == 1, t["segment_ids"]).alias("segment"),
+            t["position_ids"].alias("position"),
         ),
     )
 
@@ -76,18 +77,15 @@ def position_errors(packs: DataFrame) -> DataFrame:
 def sample_id_errors(packs: DataFrame, num_slots: int) -> DataFrame:
     """Per pack: samples found that hold several sample ids, and neighbours that share one."""
     bounds = with_sample_bounds(packs, num_slots, use_mask=False)
-    each = F.zip_with(
-        "sample_starts",
-        "sample_lengths",
-        lambda start, length: F.array_distinct(
-            F.filter(
-                F.transform(
-                    F.slice("segment_ids", start + 1, length), lambda s: sample_of(s, num_slots)
-                ),
-                lambda s: s >= 0,
-            )
-        ),
-    )
+
+    def ids_of_samples(segments: Column) -> Column:
+        def distinct_ids(start: Column, length: Column) -> Column:
+            ids = F.transform(F.slice(segments, start + 1, length), lambda s: sample_of(s, num_slots))
+            return F.array_distinct(F.filter(ids, lambda sample: sample >= 0))
+
+        return F.zip_with("sample_starts", "sample_lengths", distinct_ids)
+
+    each = bind(F.col("segment_ids"), ids_of_samples)
     counted = bounds.select("pack_id", each.alias("ids"))
     mixed = F.size(F.filter("ids", lambda ids: F.size(ids) > 1))
     following = F.slice("ids", F.lit(2), F.greatest(F.size("ids") - 1, F.lit(0)))
