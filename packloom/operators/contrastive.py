@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packloom.functions.arrays import each_element
+from packloom.functions.arrays import bind, each_element
 from packloom.functions.vectors import dot, zeros
 
 # Vectors on each side of a block pair, and anchors multiplied at a time.
@@ -120,8 +120,13 @@ def _block_product(temperatures: Sequence[float], counts: Sequence[int]) -> Call
 
 
 def _log_sum_exp(values: Column) -> Column:
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda total, x: total + F.exp(x - top)))
+    def shifted(values: Column) -> Column:
+        def total(top: Column) -> Column:
+            return top + F.ln(F.aggregate(values, F.lit(0.0), lambda so_far, x: so_far + F.exp(x - top)))
+
+        return bind(F.array_max(values), total)
+
+    return bind(values, shifted)
 
 
 def _block_pairs(triples: DataFrame, sizes: DataFrame, num_negatives: int, block: int) -> DataFrame:
