@@ -1,8 +1,8 @@
 """Main text of HTML pages by inference on the DOM tree.
 
-Every block-level element is a variable, content or not. Its features (tag, words of class, id and role,
-share of linked text, amount of own text) give a potential for either state, parent and child share a
-potential that depends on what kind of element the child is. Sum-product messages run upwards and then
+Every block-level element is a variable: content, other, or the frame around both. Its features (tag,
+words of class, id and role, share of linked text, amount of own text) give a potential for each state,
+parent and child share a potential that depends on what kind of element the child is. Sum-product messages run upwards and then
 downwards, which gives the exact marginals of the tree; text of elements whose marginal reaches one half
 is kept. The potentials are counts over labelled pages (``html_labels``).
 
@@ -19,7 +19,7 @@ import functools
 import html
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -59,6 +59,10 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 _WORD = re.compile(r"[a-z]+")
 
 
+# States of an element: around content and other parts, part of the text, part of something else.
+FRAME, CONTENT, OTHER = STATES = (0, 1, 2)
+
+
 class Node:
     """A block-level element."""
 
@@ -159,7 +163,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _VOID:
             continue
         parent = nodes[stack[-1]]
-        marked = 1 if "data-main" in attributes else 0 if "data-other" in attributes else parent.label
+        marked = CONTENT if "data-main" in attributes else OTHER if "data-other" in attributes else parent.label
         nodes.append(Node(tag, stack[-1], _names(attributes) if attributes else (), marked))
         stack.append(len(nodes) - 1)
     flush()
@@ -169,63 +173,107 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-def _features(node: Node) -> Iterator[str]:
-    yield "tag:" + node.tag
-    for name in node.names:
-        yield "name:" + name
-    share = 10 * node.linked // node.chars if node.chars else -1
-    yield f"linked:{min(share, 6) // 2 if share >= 0 else 'none'}"
-    yield f"own:{node.own.bit_length() // 2}"
+_LINKED = ("linked:0", "linked:1", "linked:2", "linked:3", "linked:none")
+_OWN = tuple(f"own:{i}" for i in range(33))
+
+
+def _features(node: Node) -> list[str]:
+    share = min(10 * node.linked // node.chars, 6) // 2 if node.chars else 4
+    return [*_spelled(node.tag, node.names), _LINKED[share], _OWN[node.own.bit_length() // 2]]
+
+
+@functools.lru_cache(4096)
+def _spelled(tag: str, names: tuple[str, ...]) -> tuple[str, ...]:
+    return (f"tag:{tag}", *(f"name:{name}" for name in names), *(() if names else ("name:none",)))
 
 
 class Model:
-    """Log-potentials: unary by feature, and of parent and child by the child's kind."""
+    """Log-potentials: of a state by feature, and of parent and child states by the child's kind.
 
-    def __init__(self, pages: Iterable[str], smooth: float = 0.5):
-        seen: dict[str, Counter] = defaultdict(Counter)
+    Those of parent and child are shares among the labelled pages. Those of the features are fitted by
+    gradient steps on the likelihood of the labels given the pages: label counts less the marginals.
+    """
+
+    def __init__(self, pages: Iterable[str], steps: int = 40, rate: float = 0.5, smooth: float = 0.3):
+        parsed = [parse(page)[0] for page in pages]
         pairs: dict[bool, Counter] = {True: Counter(), False: Counter()}
-        labels: Counter = Counter()
-        for page in pages:
-            nodes, _ = parse(page)
+        for nodes in parsed:
             for node in nodes[1:]:
-                labels[node.label] += 1
-                for feature in _features(node):
-                    seen[feature][node.label] += 1
                 pairs[node.tag in _FLOW][nodes[node.parent].label, node.label] += 1
-        # Log-odds of content; a feature that was never seen says nothing.
-        total = [labels[0] + 2 * smooth, labels[1] + 2 * smooth]
-        self.unary = {
-            feature: math.log((n[1] + smooth) / total[1]) - math.log((n[0] + smooth) / total[0]) for feature, n in seen.items()
-        }
         self.pair = {}
         for flow, n in pairs.items():
-            rows = [[n[parent, child] + smooth for child in (0, 1)] for parent in (0, 1)]
+            rows = [[n[parent, child] + smooth for child in STATES] for parent in STATES]
             self.pair[flow] = [[x / sum(row) for x in row] for row in rows]
-
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """Probability of content for every element: messages up to the page, then down again."""
+        # A feature that was never seen says nothing.
+        self.unary: dict[str, list[float]] = {}
+        described = [[tuple(_features(node)) for node in nodes] for nodes in parsed]
+        for features in described:
+            for node in features:
+                for feature in node:
+                    self.unary.setdefault(feature, [0.0] * 3)
+        past = {feature: [1e-6] * 3 for feature in self.unary}
+        for _ in range(steps):
+            slope = {feature: [0.0] * 3 for feature in self.unary}
+            for nodes, features in zip(parsed, described, strict=True):
+                for node, belief, own in zip(nodes[1:], self.beliefs(nodes)[1:], features[1:], strict=True):
+                    if belief[node.label] < 0.999:
+                        left = [(s == node.label) - belief[s] for s in STATES]
+                        for feature in own:
+                            for s in STATES:
+                                slope[feature][s] += left[s]
+            for feature, sums in slope.items():
+                weights, squares = self.unary[feature], past[feature]
+                for s in STATES:
+                    g = sums[s] - 0.05 * weights[s]
+                    squares[s] += g * g
+                    weights[s] += rate * g / math.sqrt(squares[s])
+
+    def beliefs(self, nodes: list[Node]) -> list[tuple[float, float, float]]:
+        """Marginals of the states of every element: messages up to the page, then down again."""
         unary, pair = self.unary, self.pair
-        # Evidence of an element's own features and of the subtrees below, as content over other, and messages to parents.
-        odds = [0.0] * len(nodes)
-        up: list[tuple[float, float]] = [(1.0, 1.0)] * len(nodes)
+        # Log-evidence of an element's features and of the subtrees below it, by state.
+        below = [[0.0, 0.0, 0.0] for _ in nodes]
+        up = [(0.0, 0.0, 0.0)] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
-            node = nodes[i]
-            odds[i] += sum(unary.get(f, 0.0) for f in _features(node))
-            content = 1 / (1 + math.exp(-max(min(odds[i], 500.0), -500.0)))
-            (a, b), (c, d) = pair[node.tag in _FLOW]
-            up[i] = (a * (1 - content) + b * content, c * (1 - content) + d * content)
-            odds[node.parent] += math.log(up[i][1]) - math.log(up[i][0])
-        found = [0.0] * len(nodes)  # the page itself is never content
+            node, logs = nodes[i], below[i]
+            for feature in _features(node):
+                if (x := unary.get(feature)) is not None:
+                    logs[0] += x[0]
+                    logs[1] += x[1]
+                    logs[2] += x[2]
+            top = max(logs)
+            logs[0] -= top
+            logs[1] -= top
+            logs[2] -= top
+            e0, e1, e2 = map(math.exp, logs)
+            r, q, t = pair[node.tag in _FLOW]
+            m0 = math.log(r[0] * e0 + r[1] * e1 + r[2] * e2)
+            m1 = math.log(q[0] * e0 + q[1] * e1 + q[2] * e2)
+            m2 = math.log(t[0] * e0 + t[1] * e1 + t[2] * e2)
+            up[i] = (m0, m1, m2)
+            above = below[node.parent]
+            above[0] += m0
+            above[1] += m1
+            above[2] += m2
+        belief = [(1.0, 0.0, 0.0)] * len(nodes)  # the page itself frames its content
         for i in range(1, len(nodes)):
             node = nodes[i]
             # The parent's belief without what this child told it.
-            p = found[node.parent]
-            other, content = (1 - p) / up[i][0], p / up[i][1]
-            (a, b), (c, d) = pair[node.tag in _FLOW]
-            down0, down1 = other * a + content * c, other * b + content * d
-            x = odds[i] + math.log(max(down1, 1e-300)) - math.log(max(down0, 1e-300))
-            found[i] = 1 / (1 + math.exp(-max(min(x, 500.0), -500.0)))
-        return found
+            a, b, c = belief[node.parent]
+            m0, m1, m2 = up[i]
+            a, b, c = a * math.exp(-m0), b * math.exp(-m1), c * math.exp(-m2)
+            r, q, t = pair[node.tag in _FLOW]
+            e0, e1, e2 = below[i]
+            x = (a * r[0] + b * q[0] + c * t[0]) * math.exp(e0)
+            y = (a * r[1] + b * q[1] + c * t[1]) * math.exp(e1)
+            z = (a * r[2] + b * q[2] + c * t[2]) * math.exp(e2)
+            total = x + y + z or 1.0
+            belief[i] = (x / total, y / total, z / total)
+        return belief
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """Probability of content for every element."""
+        return [belief[CONTENT] for belief in self.beliefs(nodes)]
 
 
 @functools.cache

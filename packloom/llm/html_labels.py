@@ -1,6 +1,6 @@
 """Labelled pages to train the extraction model on: page layouts with made-up words and the main part marked.
 
-The marked part carries ``data-main``; a piece inside of it that is no part of the text ``data-other``.
+The main part carries ``data-main``, every piece that is no part of the text ``data-other``.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ import random
 from collections.abc import Iterator
 
 SEED = 20
-PAGES = 600
+PAGES = 400
 
 # How layouts name their parts.
 MAINS = (
@@ -85,25 +85,29 @@ class _Writer:
             return self.within(r.choice(COMMENTS), r.choice(("", f"<h2>{self.words(1, 3)}</h2>")) + said)
         return self.within(r.choice(FOOTERS), r.choice((f"&copy; x &middot; {self.prose()}", f"<p>{self.words(3, 20)}</p>", self.links(), f"<div>{self.words(3, 12)}</div>")))
 
-    def main(self) -> str:
+    def other(self) -> str:
+        return self.piece().replace(">", " data-other>", 1)
+
+    def main(self, mark: str = "") -> str:
+        """The main part; ``mark`` goes to each of its elements, for pages that have none around them."""
         r = self.random
-        parts = [f"<h1>{self.words(1, 12)}</h1>"] if self.chance(0.8) else []
+        parts = [f"<h1{mark}>{self.words(1, 12)}</h1>"] if self.chance(0.8) else []
         for _ in range(r.randint(1, 9)):
             kind = r.random()
-            if kind < 0.75:
-                parts.append(f"<p>{self.prose()}</p>")
-            elif kind < 0.82:
-                parts.append(f"<{(h := r.choice(('h2', 'h3')))}>{self.words(1, 8)}</{h}><p>{self.prose()}</p>")
+            if kind < 0.7:
+                parts.append(f"<p{mark}>{self.prose()}</p>")
+            elif kind < 0.78:
+                parts.append(f"<{(h := r.choice(('h2', 'h3')))}{mark}>{self.words(1, 8)}</{h}><p{mark}>{self.prose()}</p>")
+            elif kind < 0.83:
+                parts.append(self.within(r.choice(("ul", "ol")), "".join(f"<li>{self.words(1, 25)}</li>" for _ in range(r.randint(2, 6))), mark.strip()))
             elif kind < 0.87:
-                parts.append(self.within(r.choice(("ul", "ol")), "".join(f"<li>{self.words(1, 25)}</li>" for _ in range(r.randint(2, 6)))))
+                parts.append(self.within("blockquote", r.choice((self.prose(), f"<p>{self.prose()}</p>")), mark.strip()))
             elif kind < 0.9:
-                parts.append(self.within("blockquote", r.choice((self.prose(), f"<p>{self.prose()}</p>"))))
-            elif kind < 0.92:
-                parts.append(f"<table><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr></table>")
-            elif kind < 0.96:
-                parts.append(f"<div>{self.prose()}</div>")
+                parts.append(f"<table{mark}><tr><td>{self.words(1, 4)}</td><td>{self.words(1, 4)}</td></tr></table>")
+            elif kind < 0.97:
+                parts.append(f"<div{mark}>{self.prose()}</div>")
             else:
-                parts.append(f'<p>{self.words(2, 20)} <a href="/y">{self.words(1, 4)}</a> {self.words(2, 20)}</p>')
+                parts.append(f'<p{mark}>{self.words(2, 20)} <a href="/y">{self.words(1, 4)}</a> {self.words(2, 20)}</p>')
             if self.chance(0.08):
                 other = self.within(r.choice((*ADVERTS, *SIDES[1:], *FORMS, *NOTICES[:5])), r.choice((self.words(3, 20), f"<p>{self.words(3, 20)}</p>", self.links())))
                 parts.append(other.replace(">", " data-other>", 1))
@@ -111,17 +115,14 @@ class _Writer:
 
     def page(self) -> str:
         r = self.random
-        before = "".join(self.piece() for _ in range(r.randint(0, 4)))
-        after = "".join(self.piece() for _ in range(r.randint(0, 4)))
+        before = "".join(self.other() for _ in range(r.randint(0, 4)))
+        after = "".join(self.other() for _ in range(r.randint(0, 4)))
         if self.chance(0.06):
-            inner = self.main()
-            for tag in ("h1", "h2", "h3", "p", "ul", "ol", "blockquote", "table"):
-                inner = inner.replace(f"<{tag}>", f"<{tag} data-main>")
-            body = before + inner + after
+            body = before + self.main(" data-main") + after
         else:
             body = self.within(r.choice(MAINS), self.main(), "data-main")
             if self.chance(0.25):
-                body = self.within(r.choice(("main", 'div class="container"', 'div id="page"', "div", 'div class="row"')), r.choice((body, body + self.piece(), self.piece() + body)))
+                body = self.within(r.choice(("main", 'div class="container"', 'div id="page"', "div", 'div class="row"')), r.choice((body, body + self.other(), self.other() + body)))
             body = before + body + after
             if self.chance(0.2):
                 body = self.within(r.choice(("div", 'div class="wrapper"', 'div id="page"')), body)
