@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from packloom.llm.bin_packing import pack_documents
 from packloom.llm.chat_format import chat_digests, format_chats
 from packloom.llm.common import stage, table
+from packloom.llm.html_extract import extract
+from packloom.llm.quality_fm import score, train
 from packloom.llm.sharding import shard
 from packloom.llm.source_mixing import count_words, mix
 from packloom.llm.topk_search import top_k, whole
@@ -31,6 +33,12 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract(table(spark, folder, "pages"))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and how alike they are."""
@@ -65,6 +73,13 @@ FROM leaves
 """
 
 
+@query
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of all documents by a model of the labels that are not held out."""
+    docs = table(spark, folder, "documents")
+    return score(docs, train(docs, table(spark, folder, "labels")))
+
+
 @query
 def op7_bin_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of 2048 ids."""
