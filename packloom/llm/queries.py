@@ -11,6 +11,7 @@ from packloom.llm.bin_packing import pack_documents
 from packloom.llm.chat_format import chat_digests, format_chats
 from packloom.llm.common import stage, table
 from packloom.llm.html_extract import extract
+from packloom.llm.ngram_join import near_duplicates
 from packloom.llm.quality_fm import score, train
 from packloom.llm.sharding import shard
 from packloom.llm.source_mixing import count_words, mix
@@ -33,6 +34,12 @@ def public_tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of four-word shingles have a Jaccard similarity of 0.85 or more."""
+    return near_duplicates(table(spark, folder, "documents"), words=4, share=(85, 100))
+
+
 @query
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
