@@ -5,21 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packloom.llm.bin_packing import pack_documents
 from packloom.llm.common import stage, table
+from packloom.llm.ngram_join import keep_one, near_duplicates
+from packloom.llm.quality_fm import keep_good, train
 from packloom.llm.queries import public_tokenizer
+from packloom.llm.source_mixing import count_words, take
+from packloom.llm.suffix_dedup import remove_repeats
 
 #: Not expressible in SQL: a trained classifier, byte-wise deduplication and a tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents the classifier does not reject. It learns from the labels of this folder."""
+    return keep_good(docs, train(docs, table(spark, folder, "labels")))
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at a similarity of 0.8 or more."""
+    return keep_one(docs, near_duplicates(docs, words=5, share=(80, 100)))
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Texts without strings of 100 bytes that occur before; documents of which nothing is left go."""
+    cut = remove_repeats(docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")))
+    left = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    return cut.where((F.col("n_chars") == 0) | (left > 0)).withColumn("n_chars", left)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents as often as the mix of the sources takes them."""
+    return take(docs, count_words(F.col("text")))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Token pieces of the documents, placed in sequences of 2048 ids."""
     return pack_documents(docs, public_tokenizer("word_bpe_49k.json"), 2048)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_join", ngram_join),
+    ("suffix_dedup", suffix_dedup),
+    ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packloom.workspace import ship_package, stage
 
-__all__ = ["begin", "joinable", "sections", "stage", "table", "word_spans"]
+__all__ = ["begin", "joinable", "sections", "stage", "table", "unique_ids", "word_spans"]
 
 # Rows of two or three longs that may be broadcast: about 100 MB in an executor. Larger sides are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -35,11 +35,20 @@ def joinable(staged: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
 
 
+def unique_ids(df: DataFrame, id_column: str = "doc_id") -> bool:
+    """True if no id is null or occurs twice. Shuffles the ids alone."""
+    rows, ids = df.agg(F.count("*"), F.count_distinct(id_column)).first()
+    return rows == ids
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
+    """Bytes of a string (UTF-8) or binary column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type):
+        column = pc.fill_null(column.cast(pa.large_binary()), b"")
+    else:
+        column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
     data = column.buffers()[2]
     return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), offsets

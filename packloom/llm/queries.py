@@ -15,6 +15,7 @@ from packloom.llm.ngram_join import near_duplicates
 from packloom.llm.quality_fm import score, train
 from packloom.llm.sharding import shard
 from packloom.llm.source_mixing import count_words, mix
+from packloom.llm.suffix_dedup import span_digests
 from packloom.llm.topk_search import top_k, whole
 from packloom.llm.winnowing import compare_with_next
 
@@ -46,6 +47,12 @@ def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+@query
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Strings of 100 bytes that occur before, in all documents: how much goes, and a digest of the rest."""
+    return span_digests(table(spark, folder, "documents"))
+
+
 @query
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and how alike they are."""
