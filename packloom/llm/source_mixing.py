@@ -30,7 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 CAP = 2
 # Documents that one rounding task takes in order.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 500
 MAX_STEPS = 60
 # Largest tilt; rates beyond it are 0 or the cap in double precision.
 STEEPEST = 700.0
