@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packloom.workspace import ship_package, stage
 
-__all__ = ["begin", "joinable", "sections", "stage", "table", "unique_ids", "word_spans"]
+__all__ = ["begin", "fresh", "joinable", "sections", "stage", "table", "unique_ids", "word_spans"]
 
 # Rows of two or three longs that may be broadcast: about 100 MB in an executor. Larger sides are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -35,6 +35,14 @@ def joinable(staged: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with underscores put before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def unique_ids(df: DataFrame, id_column: str = "doc_id") -> bool:
     """True if no id is null or occurs twice. Shuffles the ids alone."""
     rows, ids = df.agg(F.count("*"), F.count_distinct(id_column)).first()

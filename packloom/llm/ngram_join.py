@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.llm.common import begin, joinable, lower_ascii, mix, sections, stage, unique_ids, word_hashes
+from packloom.llm.common import begin, fresh, joinable, lower_ascii, mix, sections, stage, unique_ids, word_hashes
 from packloom.llm.graph import components
 
 # A token of more classes is hot.
@@ -405,12 +405,15 @@ def near_duplicates(
 def keep_one(docs: DataFrame, groups: DataFrame, *, id_column: str = "doc_id") -> DataFrame:
     """The document of each group that has its smallest id, all columns; ``groups`` as of ``near_duplicates``.
 
-    Of rows that share this id one stays. A row without id stays where its group has no id at all.
+    Of rows that share this id one stays. A row without id cannot be named by a group and stays.
     """
+    key, place = fresh("__id", docs), fresh("__place", docs)
+    same = docs[id_column].cast("long").eqNullSafe(F.col(key))
     if unique_ids(docs, id_column):
-        first = stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id")), "first")
-        return docs.join(joinable(first), docs[id_column].cast("long") == F.col("__id"), "left_semi")
-    first = groups.where("doc_id = component_id OR component_id IS NULL").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(first, docs[id_column].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    place = F.row_number().over(Window.partitionBy(id_column).orderBy(*(c for c in docs.columns if c != id_column)))
-    return kept.withColumn("__place", place).where((F.col("__place") == 1) | F.col(id_column).isNull()).drop("__place")
+        first = stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)), "first")
+        return docs.join(joinable(first), same, "left_semi")
+    first = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.join(first, same, "left_semi")
+    order = Window.partitionBy(id_column).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != id_column))
+    kept = kept.withColumn(place, F.row_number().over(order))
+    return kept.where((F.col(place) == 1) | F.col(id_column).isNull()).drop(place)

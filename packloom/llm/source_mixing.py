@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.llm.common import begin, joinable, stage, unique_ids
+from packloom.llm.common import begin, fresh, joinable, stage, unique_ids
 from packloom.operators.positions import dense_positions
 
 WEIGHTS = (3, 1, 2)
@@ -181,11 +181,13 @@ def take(docs: DataFrame, size: Column, **options) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, all columns; ``options`` as of ``mix``."""
     names = docs.columns
     id_column = options.get("id_column", "doc_id")
+    key, times, nth = (fresh(name, docs) for name in ("__id", "__copies", "__nth"))
     if unique_ids(docs, id_column):
         copies = mix(docs, size, **options).where("copies > 0")
-        copies = stage(copies.select(F.col("doc_id").alias("__id"), F.col("copies").cast("int").alias("__copies")), "copies")
-        rows = docs.join(joinable(copies), docs[id_column] == F.col("__id"))
+        copies = stage(copies.select(F.col("doc_id").alias(key), F.col("copies").cast("int").alias(times)), "copies")
+        rows = docs.join(joinable(copies), docs[id_column] == F.col(key))
     else:
         rows = mix(docs, size, keep=tuple(names), **options).where("copies > 0")
-        rows = rows.select("row.*", F.col("copies").cast("int").alias("__copies"))
-    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+        rows = rows.select("row.*", F.col("copies").cast("int").alias(times))
+    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.select(*(F.col(f"`{c}`") for c in names))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.common import BROADCAST_ROWS, begin, joinable, mix, prefix_hash, sections, span_hash, stage, text_bytes, unique_ids
+from packloom.llm.common import BROADCAST_ROWS, begin, fresh, joinable, mix, prefix_hash, sections, span_hash, stage, text_bytes, unique_ids
 from packloom.operators.positions import dense_positions
 
 LENGTH = 100
@@ -293,21 +293,25 @@ def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return judged.where(F.col("kind") == REPEAT).select("doc", "place").unionByName(compared)
 
 
-def with_repeats(docs: DataFrame, length: int = LENGTH, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` and a column ``__places``: the repeated windows of each text, null where there are none."""
+def with_repeats(
+    docs: DataFrame, length: int = LENGTH, *, id_column: str = "doc_id", text_column: str = "text"
+) -> tuple[DataFrame, str]:
+    """``docs`` and a column with the places of repeated windows in each text, null where there are none; its name."""
     begin(docs)
+    name, key, said = (fresh(n, docs) for n in ("__places", "__id", "__text"))
+    listed = F.collect_list("place").alias(name)
     if unique_ids(docs, id_column):
         rows = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text"))
-        places = repeats(rows, length).groupBy("doc").agg(F.collect_list("place").alias("__places"))
-        return docs.join(places, docs[id_column].cast("long") == places["doc"], "left").drop("doc")
+        places = repeats(rows, length).groupBy(F.col("doc").alias(key)).agg(listed)
+        return docs.join(places, docs[id_column].cast("long") == F.col(key), "left").drop(key), name
     # Ids that are null or not unique: number the distinct rows by id and text.
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).distinct()
     rows = dense_positions(rows, F.col("id").isNull(), F.col("id"), F.xxhash64("text"), F.col("text"), name="doc")
     rows = stage(rows, "numbered")
-    places = repeats(rows.select("doc", "text"), length).groupBy("doc").agg(F.collect_list("place").alias("__places"))
-    found = rows.join(places, "doc").select(F.col("id").alias("__id"), F.col("text").alias("__text"), "__places")
-    same = docs[id_column].cast("long").eqNullSafe(F.col("__id")) & docs[text_column].cast("string").eqNullSafe(F.col("__text"))
-    return docs.join(found, same, "left").drop("__id", "__text")
+    places = repeats(rows.select("doc", "text"), length).groupBy("doc").agg(listed)
+    found = rows.join(places, "doc").select(F.col("id").alias(key), F.col("text").alias(said), name)
+    same = docs[id_column].cast("long").eqNullSafe(F.col(key)) & docs[text_column].cast("string").eqNullSafe(F.col(said))
+    return docs.join(found, same, "left").drop(key, said), name
 
 
 def removed_bytes(n: int, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -340,9 +344,9 @@ def span_digests(docs: DataFrame, length: int = LENGTH, *, id_column: str = "doc
             )
 
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = with_repeats(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), length)
+    rows, places = with_repeats(docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")), length)
     kinds = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.select("doc_id", "text", "__places").mapInArrow(read, kinds)
+    return rows.select("doc_id", "text", places).mapInArrow(read, kinds)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -370,5 +374,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, *, id_column: str = "d
             yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    rows = with_repeats(docs, length, id_column=id_column, text_column=text_column)
-    return rows.select(*(F.col(f"`{c}`") for c in names), "__places").mapInArrow(read, kinds)
+    rows, places = with_repeats(docs, length, id_column=id_column, text_column=text_column)
+    return rows.select(*(F.col(f"`{c}`") for c in names), places).mapInArrow(read, kinds)
