@@ -34,7 +34,7 @@ class PackConfig:
     strategy: str = "greedy"
     batch_size: int = DEFAULT_BATCH_SIZE
     shuffle: bool = True
-    shuffle_buffer_factor: int = DEFAULT_SHUFFLE_BUFFER_FACTOR
+    shuffle_buffer_factor: int | None = DEFAULT_SHUFFLE_BUFFER_FACTOR
     seed: int | None = None
 
     def __post_init__(self) -> None:
@@ -62,8 +62,9 @@ class PackConfig:
         return NO_SAMPLE_CAP if self.max_samples is None else self.max_samples
 
     @property
-    def shuffle_buffer(self) -> int:
-        return self.shuffle_buffer_factor * PACKS_PER_BUFFER_FACTOR
+    def shuffle_buffer(self) -> int | None:
+        """Packs among which the shuffle moves; None for all."""
+        return self.shuffle_buffer_factor and self.shuffle_buffer_factor * PACKS_PER_BUFFER_FACTOR
 
     def with_(self, **changes) -> "PackConfig":
         return replace(self, **changes)

@@ -191,8 +191,8 @@ def fill(values: Column | str, length: Column | int, value: int) -> Column:
     return F.concat(values, F.array_repeat(F.lit(value), missing))
 
 
-def pad_packs(packs: DataFrame, config: PackConfig) -> DataFrame:
-    """The stored row format: every sequence field has ``seq_length`` entries.
+def pad_packs(packs: DataFrame, config: PackConfig, *keep: str) -> DataFrame:
+    """The stored row format: every sequence field has ``seq_length`` entries. ``keep`` names further columns.
 
     Padding has the pad token, mask 0, segment -1 and position 0.
     """
@@ -206,6 +206,7 @@ def pad_packs(packs: DataFrame, config: PackConfig) -> DataFrame:
         fill("position_ids", length, 0).alias("position_ids"),
         "source_ids",
         "num_segments",
+        *keep,
     )
 
 

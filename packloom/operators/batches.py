@@ -48,10 +48,14 @@ def shuffled_order(
 
 
 def order_packs(packs: DataFrame, n_packs: int, config: PackConfig) -> DataFrame:
-    """Add ``pack_seq``: finishing order, or the seeded shuffle."""
+    """Add ``pack_seq``: finishing order, or the seeded shuffle within runs of ``config.shuffle_buffer`` packs.
+
+    Without a ``shuffle_buffer_factor`` the whole table is shuffled. Give it packs before they are
+    padded: they move once.
+    """
     if not config.shuffle:
         return packs.withColumn("pack_seq", F.col("pack_id"))
-    order = shuffled_order(packs.sparkSession, n_packs, config.seed)
+    order = shuffled_order(packs.sparkSession, n_packs, config.seed, config.shuffle_buffer)
     return packs.join(order, "pack_id")
 
 
@@ -102,3 +106,42 @@ def collate(
         F.size("rows").alias("n_rows"),
         *[F.col("rows.row").getField(c).alias(c) for c in fields],
     )
+
+
+def collate_packs(
+    batched: DataFrame, config: PackConfig, length: int, truncation_mode: str = "keep_end", pad_zero: bool = False
+) -> DataFrame:
+    """As ``collate`` over padded packs, for packs without padding: they are padded in their batch.
+
+    Only the tokens there are cross the shuffle to the batch; the attention mask is made from their number.
+    """
+    kept = [c for c in batched.columns if c not in ("batch_id", "pack_seq", "first_pos", "n_tokens")]
+    entry = F.struct("pack_seq", F.struct(*kept).alias("row"))
+    # A batch has batch_size rows, so its list is bounded.
+    grouped = batched.groupBy("batch_id").agg(F.sort_array(F.collect_list(entry)).alias("rows"))
+    pads = {"input_ids": config.pad_token_id, "segment_ids": -1, "position_ids": 0}
+
+    def padded(field: str):
+        def values(packed: Column) -> Column:
+            if field == "attention_mask":
+                own, pad = F.array_repeat(F.lit(1), F.size(packed["row"]["input_ids"])), 0
+            else:
+                own, pad = packed["row"][field], pads.get(field)
+            if pad is None:
+                return own
+            # What the padded row would have after it is cut and padded again.
+            last = -1 if field == "segment_ids" and not pad_zero else 0
+            return collate_field(fill(own, config.seq_length, pad), length, truncation_mode, last)
+
+        return values
+
+    fields = []
+    for name in kept:
+        fields.append(name)
+        if name == "input_ids":
+            fields.append("attention_mask")
+    return grouped.select(
+        "batch_id",
+        F.size("rows").alias("n_rows"),
+        *[F.transform("rows", padded(f)).alias(f) for f in fields],
+    )

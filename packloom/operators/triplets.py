@@ -10,6 +10,10 @@ from packloom.functions.text import Tokenizer
 
 EMPTY_FIELD = "empty_field"
 NEGATIVE_COUNT = "negative_count"
+NULL_NEGATIVE = "null_negative"
+CORRUPT_LINE = "corrupt_line"
+TOO_LONG = "too_long"
+NO_TOKENS = "no_tokens"
 
 
 def select_fields(
@@ -40,14 +44,16 @@ def select_fields(
 
 
 def reject_reason(num_negatives: int) -> Column:
-    """Why a triplet cannot be used: an empty field, or not exactly ``num_negatives`` negatives."""
+    """Why a triplet cannot be used: an empty field, not exactly ``num_negatives`` negatives, a null among them."""
     empty = (
         (F.coalesce(F.col("anchor"), F.lit("")) == "")
         | (F.coalesce(F.col("positive"), F.lit("")) == "")
         | (F.coalesce(F.size("negatives"), F.lit(0)) <= 0)
     )
-    return F.when(empty, F.lit(EMPTY_FIELD)).when(
-        F.size("negatives") != num_negatives, F.lit(NEGATIVE_COUNT)
+    return (
+        F.when(empty, F.lit(EMPTY_FIELD))
+        .when(F.size("negatives") != num_negatives, F.lit(NEGATIVE_COUNT))
+        .when(F.exists("negatives", lambda text: text.isNull()), F.lit(NULL_NEGATIVE))
     )
 
 
@@ -96,6 +102,16 @@ def cut_slots(slots: Column, limit: int, num_slots: int) -> Column:
     return F.array(*kept)
 
 
+def length_reason(config: PackConfig) -> Column:
+    """Why a tokenized sample is dropped, from ``slot_sizes``: no token, or no room for a negative."""
+    sizes = F.col("slot_sizes")
+    total = F.aggregate(sizes, F.lit(0), lambda so_far, size: so_far + size)
+    reason = F.when(total <= 0, F.lit(NO_TOKENS))
+    if config.max_sample_length is None:
+        return reason
+    return reason.when(sizes[0] + sizes[1] >= config.max_sample_length, F.lit(TOO_LONG))
+
+
 def limit_length(samples: DataFrame, config: PackConfig) -> DataFrame:
     """Drop samples whose anchor and positive leave no room for a negative, cut the rest.
 
@@ -105,13 +121,18 @@ def limit_length(samples: DataFrame, config: PackConfig) -> DataFrame:
     sizes, slots = F.col("slot_sizes"), F.col("slots")
     total = F.aggregate(sizes, F.lit(0), lambda so_far, size: so_far + size)
     limit = config.max_sample_length
+    kept = samples.where(length_reason(config).isNull())
     if limit is None:
-        return samples.withColumn("n_tokens", total).where(F.col("n_tokens") > 0).drop("slot_sizes")
+        return kept.withColumn("n_tokens", total).drop("slot_sizes")
     cut = F.when(total > limit, cut_slots(slots, limit, config.num_slots)).otherwise(slots)
-    kept = samples.where((total > 0) & (sizes[0] + sizes[1] < limit))
     return kept.withColumns({"n_tokens": F.least(total, F.lit(limit)), "slots": cut}).drop("slot_sizes")
 
 
+def outcome(config: PackConfig) -> Column:
+    """What becomes of a tokenized row with ``reject_reason``: the reason it is left out, or ``sample``."""
+    return F.coalesce("reject_reason", length_reason(config), F.lit("sample"))
+
+
 def slot_labels(slots: Column | str = "slots") -> Column:
     """One slot code per token, as long as the flattened tokens."""
     return F.flatten(F.transform(slots, lambda slot, k: F.array_repeat(k, F.size(slot))))

@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packloom.functions.arrays import bind
 from packloom.workspace import stage
 
 # Fixed value: the file names taken from a data directory.
 DATA_FILE_GLOB = "*.{json,jsonl}"
 
 
+def not_blank(line: str = "value") -> Column:
+    """True for lines with anything but white space of any kind."""
+    return F.col(line).rlike(r"(?U)\S")
+
+
 def read_lines(
     spark: SparkSession, paths: str | Sequence[str], recursive: bool = False
 ) -> DataFrame:
@@ -27,7 +33,7 @@ def read_lines(
     if recursive:
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", DATA_FILE_GLOB)
     lines = reader.text([paths] if isinstance(paths, str) else list(paths))
-    return lines.where(F.trim("value") != "").select(
+    return lines.where(not_blank()).select(
         "value",
         F.col("_metadata.file_path").alias("shard_name"),
         F.col("_metadata.file_block_start").alias("__block"),
@@ -53,8 +59,9 @@ def unread_files(names: Sequence[str], first_shard: int) -> list[str]:
 def index_splits(lines: DataFrame) -> DataFrame:
     """One row per file split: ``shard_name, __block, __first, n_rows``, with the first row id seen.
 
-    Stored, as finding it reads all files; every other question about shards is then answered from
-    this table.
+    Stored, so that every other question about shards is answered from this table. How files are cut
+    into splits may differ from one scan to the next, so places found here fit only rows of the scan
+    they were counted in: to place rows, store them first (``with_positions`` does).
     """
     splits = lines.groupBy("shard_name", "__block").agg(
         F.min("__seen").alias("__first"), F.count("*").alias("n_rows")
@@ -83,16 +90,20 @@ def list_shards(counts: DataFrame, names: Sequence[str] | None = None) -> DataFr
 
 
 def with_positions(
-    lines: DataFrame, index: DataFrame | None = None, first_shard: int = 0
+    lines: DataFrame, first_shard: int = 0, then: Callable[[DataFrame], DataFrame] = lambda rows: rows
 ) -> DataFrame:
-    """``shard_index, shard_name, row_index, pos, value``: where every line stands.
+    """``shard_index, shard_name, row_index, pos`` and the other columns: where every line stands.
 
-    The lines are neither sorted nor, up to ``MAX_BROADCAST_SPLITS`` splits, shuffled: rows are
-    counted per split, and only split and file counts are joined back. ``pos`` numbers the lines
-    over all shards read; ``first_shard`` is the index of the first of them.
+    The lines are read once and stored with the split they came from; splits are counted in the stored
+    rows. Up to ``MAX_BROADCAST_SPLITS`` splits the rows are neither sorted nor shuffled. A row without
+    a place is an error. ``pos`` numbers the lines over all shards read; ``first_shard`` is the index
+    of the first of them. ``then`` adds columns before the rows are stored, and may drop the line; it
+    has to keep every row.
     """
-    index = index_splits(lines) if index is None else index
-    shards = list_shards(index, shard_names(lines))
+    names = shard_names(lines)
+    stored = stage(then(lines), "lines")
+    index = index_splits(stored)
+    shards = list_shards(index, names)
     earlier = (
         Window.partitionBy("shard_name")
         .orderBy("__block")
@@ -105,13 +116,12 @@ def with_positions(
     if index.count() <= MAX_BROADCAST_SPLITS:
         places = F.broadcast(places)
     row_index = F.col("__seen") - F.col("__first") + F.col("__offset")
-    return lines.join(places, ["shard_name", "__block"]).select(
-        (F.col("shard_index") + first_shard).alias("shard_index"),
-        "shard_name",
-        row_index.alias("row_index"),
-        (F.col("first_pos") + row_index).alias("pos"),
-        "value",
-    )
+    missing = F.raise_error(F.concat(F.lit("no place for a line of "), F.col("shard_name")))
+    rest = [c for c in stored.columns if c not in ("shard_name", "__block", "__seen")]
+    return stored.join(places, ["shard_name", "__block"], "left").select(
+        F.coalesce("shard_index", missing.cast("int")).alias("__shard"), "shard_name", row_index.alias("row_index"),
+        (F.col("first_pos") + row_index).alias("pos"), *rest,
+    ).select((F.col("__shard") + first_shard).alias("shard_index"), "shard_name", "row_index", "pos", *rest)
 
 
 def open_shard(positioned: DataFrame, shard_name: str, row: int = 0) -> DataFrame:
@@ -131,35 +141,41 @@ def parse_triplets(
     num_negatives: int = 1,
     extras: T.StructType | None = None,
     column: str = "value",
+    mark_corrupt: bool = False,
 ) -> DataFrame:
     """Parse JSON lines to ``anchor, positive, negatives`` and the ``extras`` fields.
 
+    ``mark_corrupt`` adds ``corrupt``, true for lines that are no JSON object.
+
     A negative may be a text or a list of texts. Only an absent key takes the default of
     ``num_negatives`` empty texts; a null stays null and is dropped later as an empty field.
     """
 
-    def parsed(negative_type: T.DataType) -> T.StructType:
-        text = [T.StructField(f, T.StringType()) for f in (anchor, positive)]
-        return T.StructType([*text, T.StructField(negative, negative_type), *(extras or [])])
-
-    one = F.from_json(column, parsed(T.StringType()))
-    several = F.from_json(column, T.StructType([T.StructField(negative, T.ArrayType(T.StringType()))]))
-    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    text = F.col("__one").getField(negative)
-    negatives = (
-        F.when(~F.array_contains(keys, negative), F.array_repeat(F.lit(""), num_negatives))
-        .when(F.col("__several").getField(negative).isNotNull(), F.col("__several").getField(negative))
-        .when(F.coalesce(text, F.lit("")) != "", F.array(text))
-    )
-    rest = [c for c in lines.columns if c != column]
-    return (
-        lines.withColumns({"__one": one, "__several": several})
-        .withColumn("negatives", negatives)
-        .select(
-            *rest,
-            F.col("__one").getField(anchor).alias("anchor"),
-            F.col("__one").getField(positive).alias("positive"),
-            "negatives",
-            *[F.col("__one").getField(f.name).alias(f.name) for f in (extras or [])],
+    text = [T.StructField(f, T.StringType()) for f in (anchor, positive, negative)]
+    schema = T.StructType([*text, *(extras or [])])
+    listed = T.StructType([T.StructField(negative, T.ArrayType(T.StringType()))])
+
+    def negatives(one: Column) -> Column:
+        said = one.getField(negative)
+        keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+        # A list comes as its JSON text; a text that merely looks like one has no list in the line.
+        several = F.when(F.startswith(said, F.lit("[")), F.from_json(column, listed).getField(negative))
+        absent = said.isNull() & ~F.array_contains(keys, negative)
+        text = F.when(said != "", F.array(said))
+        return F.when(absent, F.array_repeat(F.lit(""), num_negatives)).otherwise(F.coalesce(several, text))
+
+    def fields(one: Column) -> Column:
+        return F.struct(
+            one.getField(anchor).alias("anchor"),
+            one.getField(positive).alias("positive"),
+            negatives(one).alias("negatives"),
+            F.json_object_keys(column).isNull().alias("corrupt"),
+            *[one.getField(f.name).alias(f.name) for f in (extras or [])],
         )
-    )
+
+    rest = [c for c in lines.columns if c != column]
+    names = ["anchor", "positive", "negatives", *(["corrupt"] if mark_corrupt else [])]
+    names += [f.name for f in (extras or [])]
+    # Bound, so that a line is parsed once however many fields are taken from it.
+    parsed = lines.select(*rest, bind(F.from_json(column, schema), fields).alias("__parsed"))
+    return parsed.select(*rest, *[F.col("__parsed").getField(n).alias(n) for n in names])

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from packloom.sources.jsonl import DATA_FILE_GLOB, parse_triplets
+from packloom.sources.jsonl import DATA_FILE_GLOB, not_blank, parse_triplets
 
 
 def stream_triplets(
@@ -23,7 +22,7 @@ def stream_triplets(
     reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", DATA_FILE_GLOB)
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    lines = reader.text(folder).where(F.trim("value") != "")
+    lines = reader.text(folder).where(not_blank())
     return parse_triplets(lines, num_negatives=num_negatives, extras=extras)
 
 
