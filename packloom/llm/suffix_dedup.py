@@ -167,7 +167,8 @@ def _sort_ranges(rows: DataFrame) -> DataFrame:
         group = np.cumsum(new_key) - 1
         several = np.bincount(group, new)[group] > 1
         kind = np.where(~new, REPEAT, np.where(several, COMPARE, -1))
-        kind[(group == 0) | (group == group[-1])] = OPEN
+        # A row after another of its kind repeats it wherever the group begins and ends.
+        kind[new & ((group == 0) | (group == group[-1]))] = OPEN
         used = kind >= 0
         known = kind[used] != REPEAT  # key and bytes matter for the others only
         columns = [kind[used].astype(np.int32), key[used] * known, covered[used] * known, doc[used], place[used]]
