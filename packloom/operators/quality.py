@@ -192,34 +192,17 @@ def shards_per_dataset(positioned: DataFrame, dataset: str) -> DataFrame:
     return positioned.groupBy(dataset).agg(F.countDistinct("shard_index").alias("n_shards"))
 
 
-def generated_triplets(ids: DataFrame) -> DataFrame:
-    """Test triplets for a column ``sample_id``: short, medium or long texts by ``sample_id % 3``."""
+def generated_triplets(texts: DataFrame) -> DataFrame:
+    """Test triplets of three lengths from ``sample_id, short, text``, by ``sample_id % 3``.
+
+    A field is its name and the sample's number, then the short text, the text, or the text five times.
+    """
     sample = F.col("sample_id")
     kind = F.pmod(sample, F.lit(3))
+    body = F.when(kind == 0, F.col("short")).when(kind == 1, F.col("text")).otherwise(F.repeat("text", 5))
 
-    # The texts of the three length classes.
-    texts = {
-        "anchor": ("Short %d", "Medium length anchor text for sample %d", "This is a longer anchor text. "),
-        "positive": (
-            "Short pos %d",
-            "Medium length positive explanation for sample %d",
-            "This is a longer positive explanation. ",
-        ),
-        "negative": (
-            "Short neg %d",
-            "Medium length negative unrelated content for sample %d",
-            "This is a longer negative unrelated content. ",
-        ),
-    }
-    repeats = 5
-
-    def text(field: str):
-        short, medium, sentence = texts[field]
-        body = (
-            F.when(kind == 0, F.format_string(short, sample))
-            .when(kind == 1, F.format_string(medium, sample))
-            .otherwise(F.format_string(sentence * repeats + "Sample %d.", sample))
-        )
-        return F.concat(F.format_string(f"{field.upper()}_%06d: ", sample), body).alias(field)
+    def field(name: str):
+        # Fixed value: the form of the number, by which a sample is found again.
+        return F.concat(F.format_string(f"{name.upper()}_%06d: ", sample), F.coalesce(body, F.lit(""))).alias(name)
 
-    return ids.select("sample_id", *[text(f) for f in texts])
+    return texts.select("sample_id", *[field(name) for name in ("anchor", "positive", "negative")])

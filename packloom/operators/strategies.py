@@ -17,6 +17,7 @@ from packloom.config import PackConfig
 from packloom.functions.numbers import floor_div
 from packloom.operators.assembly import assign_packs
 from packloom.operators.packing import plan_packs
+from packloom.operators.positions import dense_positions
 
 WINDOW_ROWS = 4096
 # Fixed value: open packs in the pool.
@@ -60,15 +61,17 @@ def assign_by_strategy(
 ) -> DataFrame:
     """``pos, pack_id, sample_ord`` under ``config.strategy``; reads ``pos`` and ``n_tokens`` only.
 
+    A window is ``window_rows`` samples that follow each other, whatever gaps their positions have.
     Pack ids of ``first_fit`` and ``pool`` rise with the window and may have gaps. A sample longer
     than ``seq_length`` fills a pack alone.
     """
     narrow = samples.select("pos", F.col("n_tokens").cast("long").alias("n_tokens"))
     if config.strategy == "greedy":
         return assign_packs(narrow, plan_packs(narrow, config)).drop("n_tokens")
-    window = floor_div("pos", window_rows)
+    narrow = dense_positions(narrow, "pos", name="number")
+    window = floor_div("number", window_rows)
     fit = _fit(config.strategy == "first_fit", config.seq_length, max(1, config.sample_cap), pool)
-    placed = narrow.withColumn("window", window).groupBy("window").applyInPandas(fit, _ASSIGNED)
+    placed = narrow.withColumn("window", window).drop("number").groupBy("window").applyInPandas(fit, _ASSIGNED)
     return placed.select(
         "pos", (F.col("window") * F.lit(window_rows) + F.col("bin")).alias("pack_id"), "sample_ord"
     )

@@ -108,20 +108,13 @@ def split_samples(packs: DataFrame, num_negatives: int = 1, use_mask: bool = Fal
     Samples reaching past the end of ``input_ids`` are skipped.
     """
     bounds = with_sample_bounds(packs, 2 + num_negatives, use_mask)
-    zipped = F.arrays_zip("sample_starts", "sample_lengths")
-    each = each_element(
-        bounds, zipped, "pack_id", "input_ids", "segment_ids", position="sample_ord", value="bound"
-    ).select(
-        "pack_id",
-        "sample_ord",
-        F.col("bound.sample_starts").alias("start"),
-        F.col("bound.sample_lengths").alias("length"),
-        "input_ids",
-        "segment_ids",
-    )
-    return each.where(F.col("start") + F.col("length") <= F.size("input_ids")).withColumns(
-        {
-            c: F.slice(c, F.col("start") + 1, F.col("length"))
-            for c in ("input_ids", "segment_ids")
-        }
-    )
+    # Cut inside the row: what is exploded is a sample's own tokens, not the whole pack once per sample.
+    bound = F.arrays_zip(F.col("sample_starts").alias("start"), F.col("sample_lengths").alias("length"))
+
+    def cut(b: Column) -> Column:
+        slices = [F.slice(c, b["start"] + 1, b["length"]).alias(c) for c in ("input_ids", "segment_ids")]
+        inside = b["start"] + b["length"] <= F.size("input_ids")
+        return F.when(inside, F.struct(b["start"].alias("start"), b["length"].alias("length"), *slices))
+
+    each = each_element(bounds, F.transform(bound, cut), "pack_id", position="sample_ord", value="sample")
+    return each.where(F.col("sample").isNotNull()).select("pack_id", "sample_ord", "sample.*")

@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from packloom.operators.strategies import POOL_PACKS, WINDOW_ROWS
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, FIRST_WORD_ID
-from packloom.plans.queries import BATCH, MAX_SAMPLES, ORDERS, RANDOM_SEED, RESUME, ROW_TOKENS, SEED, VECTOR_SIZE
+from packloom.plans.queries import (
+    BATCH,
+    MAX_SAMPLES,
+    ORDERS,
+    RANDOM_SEED,
+    RESUME,
+    ROW_TOKENS,
+    SEED,
+    SMALL_WINDOW,
+    STREAM_LANES,
+    VECTOR_SIZE,
+)
 
 ORACLES: dict[str, str] = {}
 
@@ -320,7 +331,7 @@ ORACLES["pack_fill_rate"] = chat_ctes(CHAT_CAPPED) + f"""
 SELECT pack_id, num_segments, used::INTEGER AS used_tokens, round(used / {CHAT_CAPPED.seq_length}, 6) AS fill_rate FROM packs"""
 
 
-def by_strategy(state: str, start: str, step: str) -> str:
+def by_strategy(state: str, start: str, step: str, window: int = WINDOW_ROWS) -> str:
     """Chat samples packed window by window; ``walk`` carries the open packs of each window."""
     config = CHAT_CAPPED
     return ctes(
@@ -329,11 +340,13 @@ def by_strategy(state: str, start: str, step: str) -> str:
         tokenized("conv_id, turn"),
         f"""
 numbered AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) - 1 AS pos FROM tokenized),
-sizes AS MATERIALIZED (
-  SELECT pos, pos // {WINDOW_ROWS} AS win, row_number() OVER (PARTITION BY pos // {WINDOW_ROWS} ORDER BY pos) AS rn,
-    least(len(a) + len(p) + len(n), {config.max_sample_length})::BIGINT AS len
+kept AS (
+  SELECT pos, row_number() OVER (ORDER BY pos) - 1 AS number, least(len(a) + len(p) + len(n), {config.max_sample_length})::BIGINT AS len
   FROM numbered WHERE len(a) + len(p) < {config.max_sample_length}
 ),
+sizes AS MATERIALIZED (
+  SELECT pos, number // {window} AS win, row_number() OVER (PARTITION BY number // {window} ORDER BY number) AS rn, len FROM kept
+),
 walk AS (
   SELECT DISTINCT win, 0::BIGINT AS rn, {start}, 0::BIGINT AS opened, -1::BIGINT AS bin, 0::BIGINT AS ord FROM sizes
   UNION ALL
@@ -344,7 +357,7 @@ walk AS (
   )
 )""",
     ) + f"""
-SELECT pos, win * {WINDOW_ROWS} + bin AS pack_id, ord::INTEGER AS sample_ord FROM sizes JOIN walk USING (win, rn)"""
+SELECT pos, win * {window} + bin AS pack_id, ord::INTEGER AS sample_ord FROM sizes JOIN walk USING (win, rn)"""
 
 
 def _put(values: str, at: str, value: str) -> str:
@@ -353,7 +366,7 @@ def _put(values: str, at: str, value: str) -> str:
 
 _FIRST = "list_position([f IS NOT NULL FOR f IN fitting], true)"
 _ROOM = f"{CHAT_CAPPED.seq_length} - len"
-ORACLES["pack_first_fit"] = by_strategy(
+_FIRST_FIT = (
     "w.rooms, w.helds",
     "[]::BIGINT[] AS rooms, []::BIGINT[] AS helds",
     f"""CASE WHEN coalesce({_FIRST}, 0) = 0 THEN list_append(rooms, {_ROOM}) ELSE {_put("rooms", _FIRST, f"rooms[{_FIRST}] - len")} END,
@@ -362,6 +375,8 @@ ORACLES["pack_first_fit"] = by_strategy(
     CASE WHEN coalesce({_FIRST}, 0) = 0 THEN opened ELSE {_FIRST} - 1 END,
     CASE WHEN coalesce({_FIRST}, 0) = 0 THEN 0 ELSE helds[{_FIRST}] END""",
 )
+ORACLES["pack_first_fit"] = by_strategy(*_FIRST_FIT)
+ORACLES["pack_first_fit_windows"] = by_strategy(*_FIRST_FIT, SMALL_WINDOW)
 _BEST = "list_position(fitting, list_min(fitting))"
 _FULLEST = "list_position(rooms, list_min(rooms))"
 
@@ -372,7 +387,7 @@ def _pooled(values: str, new: str, changed: str) -> str:
     return f"CASE WHEN list_min(fitting) IS NULL THEN list_append({room_left}, {new}) ELSE {_put(values, _BEST, changed)} END"
 
 
-ORACLES["pack_pool"] = by_strategy(
+_POOL = (
     "w.rooms, w.helds, w.bins",
     "[]::BIGINT[] AS rooms, []::BIGINT[] AS helds, []::BIGINT[] AS bins",
     f"""{_pooled("rooms", _ROOM, f"rooms[{_BEST}] - len")}, {_pooled("helds", "1", f"helds[{_BEST}] + 1")},
@@ -381,6 +396,8 @@ ORACLES["pack_pool"] = by_strategy(
     CASE WHEN list_min(fitting) IS NULL THEN opened ELSE bins[{_BEST}] END,
     CASE WHEN list_min(fitting) IS NULL THEN 0 ELSE helds[{_BEST}] END""",
 )
+ORACLES["pack_pool"] = by_strategy(*_POOL)
+ORACLES["pack_pool_windows"] = by_strategy(*_POOL, SMALL_WINDOW)
 ORACLES["packed_table"] = chat_ctes(CHAT_CAPPED) + """
 SELECT num_segments, count(*) AS n_packs, sum(used)::BIGINT AS n_tokens FROM packs GROUP BY num_segments"""
 
@@ -542,23 +559,32 @@ SELECT first_token::INTEGER AS first_token FROM uncapped
 WHERE first_token IN (SELECT ids[1] FROM assigned2 WHERE sample_ord = 0)"""
 
 
-def _generated(field: str, short: str, medium: str, sentence: str) -> str:
-    prefix = f"printf('{field.upper()}_%06d: ', doc_id)"
-    return f"""{prefix} || CASE doc_id % 3 WHEN 0 THEN printf('{short}', doc_id) WHEN 1 THEN printf('{medium}', doc_id)
-  ELSE repeat('{sentence}', 5) || printf('Sample %d.', doc_id) END AS {field}"""
+def _generated(field: str) -> str:
+    return f"""md5(printf('{field.upper()}_%06d: ', doc_id) || coalesce(CASE doc_id % 3 WHEN 0 THEN concat_ws(' ', lang, source)
+  WHEN 1 THEN text ELSE repeat(text, 5) END, '')) AS {field}"""
 
 
-ORACLES["generated_triplets"] = "SELECT doc_id AS sample_id, " + ", ".join(
-    [
-        _generated("anchor", "Short %d", "Medium length anchor text for sample %d", "This is a longer anchor text. "),
-        _generated("positive", "Short pos %d", "Medium length positive explanation for sample %d", "This is a longer positive explanation. "),
-        _generated("negative", "Short neg %d", "Medium length negative unrelated content for sample %d", "This is a longer negative unrelated content. "),
-    ]
-) + " FROM documents"
+ORACLES["generated_triplets"] = (
+    "SELECT doc_id AS sample_id, " + ", ".join(map(_generated, ("anchor", "positive", "negative"))) + " FROM documents"
+)
 
 # --- files, positions and resuming --------------------------------------------------------------
 
 _LINES = "lines AS (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM triplets)"
+_OUTCOME = f"""
+outcomes AS (
+  SELECT doc_id, length(anchor) + length(positive) + length(negative) + 3 AS len, CASE
+    WHEN doc_id % 10 = 7 THEN 'corrupt_line'
+    WHEN coalesce(anchor, '') = '' OR coalesce(positive, '') = '' THEN 'empty_field'
+    WHEN doc_id % 10 = 5 THEN 'null_negative'
+    WHEN coalesce(negative, '') = '' THEN 'empty_field'
+    WHEN length(anchor) + length(positive) + 2 >= {CHAT.max_sample_length} THEN 'too_long'
+    ELSE 'sample' END AS outcome
+  FROM triplets
+)"""
+ORACLES["row_outcomes"] = ctes(DOC_TRIPLETS, _OUTCOME) + " SELECT outcome, count(*) AS n_rows FROM outcomes GROUP BY outcome"
+ORACLES["resume_shuffled"] = ctes(DOC_TRIPLETS, _OUTCOME) + """
+SELECT doc_id, 1::BIGINT AS n_used FROM outcomes WHERE outcome = 'sample'"""
 ORACLES["jsonl_positions"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents"
 ORACLES["jsonl_triplets"] = ctes(DOC_TRIPLETS, _LINES) + """,
 read AS (
@@ -776,13 +802,13 @@ slot_vectors AS (
 
 
 def stream_packs(length: int, cap: int, lanes: int) -> str:
-    """Greedy packing lane by lane; the pack still open at the end of a lane is not given out."""
+    """Greedy packing lane by lane; the pack open at the end of a lane comes after all others."""
     fits = f"w.held > 0 AND w.used + s.len <= {length} AND w.held + 1 <= {cap}"
     text = "list_concat(list_concat({}, {}), {})".format(*(POINTS.format(c) for c in ("text", "lang", "source")))
     return f"""
 items AS (
-  SELECT doc_id, lane, ids, len(ids) AS len, len(ids) > {length} AS big, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS rn
-  FROM (SELECT doc_id, {text} AS ids,
+  SELECT doc_id, source, lane, ids, len(ids) AS len, len(ids) > {length} AS big, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS rn
+  FROM (SELECT doc_id, source, {text} AS ids,
     'documents/' || (('0x' || md5(doc_id::VARCHAR)[1:8])::BIGINT % {lanes}) AS lane FROM documents)
 ),
 sizes AS MATERIALIZED (SELECT lane, rn, len, big FROM items),
@@ -806,16 +832,18 @@ closing AS (
   FROM (SELECT lane, p, lead(rn) OVER (PARTITION BY lane ORDER BY p) AS rn FROM first_rows) f
   JOIN placed c ON c.lane = f.lane AND c.rn = f.rn
 ),
+overs AS (SELECT lane, count(*) FILTER (WHERE big) AS n FROM sizes GROUP BY lane),
 given AS (
-  SELECT i.lane, i.rn, i.doc_id, i.ids, CASE WHEN x.big THEN x.over_before + greatest(x.p, 0) ELSE x.p + c.over_before END::BIGINT AS pack_no
-  FROM items i JOIN placed x USING (lane, rn) LEFT JOIN closing c ON c.lane = x.lane AND c.p = x.p
-  WHERE x.big OR c.p IS NOT NULL
+  SELECT i.lane, i.rn, i.doc_id, i.source, i.ids,
+    CASE WHEN x.big THEN x.over_before + greatest(x.p, 0) ELSE x.p + coalesce(c.over_before, o.n) END::BIGINT AS pack_no
+  FROM items i JOIN placed x USING (lane, rn) JOIN overs o USING (lane) LEFT JOIN closing c ON c.lane = x.lane AND c.p = x.p
 )"""
 
 
-ORACLES["stream_pack"] = ctes(stream_packs(DOCS.seq_length, DOCS.max_samples, 8)) + f"""
+ORACLES["stream_pack"] = ctes(stream_packs(DOCS.seq_length, DOCS.max_samples, STREAM_LANES)) + f"""
 SELECT lane, pack_no, count(*)::INTEGER AS num_segments, {text_of("list(doc_id ORDER BY rn)")} AS sample_keys,
-  {text_of(f"list_resize(flatten(list(ids ORDER BY rn))[1:{DOCS.seq_length}], {DOCS.seq_length}, 0)")} AS input_ids
+  {text_of(f"list_resize(flatten(list(ids ORDER BY rn))[1:{DOCS.seq_length}], {DOCS.seq_length}, 0)")} AS input_ids,
+  md5(string_agg(source, ',' ORDER BY rn)) AS source_ids
 FROM given GROUP BY lane, pack_no"""
 ORACLES["stream_ingest"] = ctes(DOC_TRIPLETS, USABLE) + """
 SELECT doc_id, length(anchor)::INTEGER AS anchor_chars, length(negative)::INTEGER AS negative_chars FROM usable"""

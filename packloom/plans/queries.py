@@ -18,7 +18,7 @@ from packloom.operators import batches, contrastive, pooling, quality, resume, u
 from packloom.operators.assembly import assemble_packs
 from packloom.operators.packing import plan_packs
 from packloom.operators.positions import dense_positions
-from packloom.operators.strategies import assign_by_strategy
+from packloom.operators.strategies import WINDOW_ROWS, assign_by_strategy
 from packloom.operators.triplets import (
     rejected,
     select_fields,
@@ -26,13 +26,13 @@ from packloom.operators.triplets import (
     tokenize_slots,
     usable,
 )
-from packloom.plans import flows
+from packloom.plans import flows, pipeline
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, joined
 from packloom.sources import jsonl
-from packloom.sources.state import ResumeState, with_checkpoint_step
+from packloom.sources.state import ResumeState, load_state, save_state, with_checkpoint_step
 from packloom.sources.tables import document_triplets, load, over_all_cores, save
 from packloom.streaming.ingest import run_available, stream_triplets
-from packloom.streaming.packer import lane_of, pack_stream
+from packloom.streaming.packer import lane_of, open_packs, pack_stream
 from packloom.workspace import new_path, ship_package, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -314,9 +314,13 @@ def fill_rate(samples: DataFrame, config) -> DataFrame:
     )
 
 
-def _by_strategy(spark: SparkSession, folder: str, strategy: str) -> DataFrame:
+# Samples of a window in the windowed queries; the library's own default would be one window here.
+SMALL_WINDOW = 32
+
+
+def _by_strategy(spark: SparkSession, folder: str, strategy: str, window: int = WINDOW_ROWS) -> DataFrame:
     config = CHAT_CAPPED.with_(strategy=strategy)
-    return assign_by_strategy(flows.chat_samples(spark, folder, config), config)
+    return assign_by_strategy(flows.chat_samples(spark, folder, config), config, window)
 
 
 @query
@@ -329,6 +333,16 @@ def pack_pool(spark: SparkSession, folder: str) -> DataFrame:
     return _by_strategy(spark, folder, "pool")
 
 
+@query
+def pack_first_fit_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_strategy(spark, folder, "first_fit", SMALL_WINDOW)
+
+
+@query
+def pack_pool_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return _by_strategy(spark, folder, "pool", SMALL_WINDOW)
+
+
 @query
 def packed_table(spark: SparkSession, folder: str) -> DataFrame:
     """Packed rows written as a partitioned table and read back."""
@@ -541,8 +555,11 @@ def first_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def generated_triplets(spark: SparkSession, folder: str) -> DataFrame:
-    ids = load(spark, folder, "documents").select(F.col("doc_id").alias("sample_id"))
-    return quality.generated_triplets(ids)
+    """Test triplets made from all documents."""
+    short = F.concat_ws(" ", "lang", "source").alias("short")
+    texts = load(spark, folder, "documents").select(F.col("doc_id").alias("sample_id"), short, "text")
+    made = quality.generated_triplets(texts)
+    return made.select("sample_id", *[F.md5(c).alias(c) for c in ("anchor", "positive", "negative")])
 
 
 # --- files, positions and resuming --------------------------------------------------------------
@@ -566,6 +583,49 @@ def _written_triplets(spark: SparkSession, folder: str) -> str:
     return path
 
 
+def _mixed_lines(spark: SparkSession, folder: str) -> str:
+    """Document triplets as JSON lines, of which some are broken off or have a null among the negatives."""
+    texts = document_triplets(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    texts = select_fields(texts).select("doc_id", "anchor", "positive", F.col("negatives")[0].alias("negative"))
+    source = F.col("doc_id").cast("string").alias("__source__")
+    nulls = F.array(F.lit(None).cast("string")).alias("negative")
+    whole = F.to_json(F.struct("anchor", "positive", "negative", source), {"ignoreNullFields": "false"})
+    listed = F.to_json(F.struct("anchor", "positive", nulls, source), {"ignoreNullFields": "false"})
+    kind = F.pmod("doc_id", F.lit(10))
+    broken = F.concat(F.lit("{"), F.expr("substring(whole, 2, length(whole) - 3)"))
+    line = F.when(kind == 7, broken).when(kind == 5, F.col("listed")).otherwise(F.col("whole"))
+    path = new_path(spark, "lines")
+    rows = texts.select("doc_id", whole.alias("whole"), listed.alias("listed"))
+    ordered = rows.repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id")
+    ordered.select(line.alias("value")).write.option("compression", "none").format("text").save(path)
+    return path
+
+
+@query
+def row_outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of every line of data files: samples, and the reasons for the others, to the last line."""
+    rows = pipeline.read_rows(spark, _mixed_lines(spark, folder) + "/*.txt", codepoints, CHAT)
+    return pipeline.outcomes(rows, CHAT)
+
+
+RESUMED = CHAT.with_(shuffle=True, seed=SEED, batch_size=4)
+
+
+@query
+def resume_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each sample is used by a shuffled run that stops half way and goes on from its saved state."""
+    files = _mixed_lines(spark, folder) + "/*.txt"
+    data = pipeline.load_packed(spark, files, codepoints, RESUMED)
+    half = data.n_packs // RESUMED.batch_size // 2
+    used = data.batches(drop_last=False).where(F.col("batch_id") < half)
+    saved = new_path(spark, "resume-state")
+    save_state(spark, data.state_after(half), saved)
+    again, done = pipeline.resume_packed(spark, files, codepoints, RESUMED, load_state(spark, saved))
+    both = used.unionByName(again.batches(drop_last=False, skip=done))
+    samples = both.select(F.explode(F.flatten("source_ids")).alias("source_id"))
+    return samples.groupBy(F.col("source_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_used"))
+
+
 def _read_back(spark: SparkSession, folder: str) -> DataFrame:
     return jsonl.with_positions(jsonl.read_lines(spark, _written_triplets(spark, folder) + "/*.txt"))
 
@@ -873,25 +933,39 @@ def evaluate_packed(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------
 
 
+#: Open packs of the stream at a time, and files of one micro-batch.
+STREAM_LANES = 32
+STREAM_FILES = 64
+
+
 @query
 def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as a stream over 8 lanes; the packs finished when the input is used up."""
+    """Documents as a stream over lanes; all packs, those still open when the input is used up as well."""
     table = load(spark, folder, "documents")
-    rows = (
-        spark.readStream.schema(table.schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(folder)
-    )
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", STREAM_FILES)
+    # The table is a folder of files, or one file that is named like it.
+    if any(name.endswith("/documents.parquet") for name in table.inputFiles()):
+        rows = reader.option("pathGlobFilter", "documents.parquet").parquet(folder)
+    else:
+        rows = reader.parquet(f"{folder}/documents.parquet")
     samples = rows.select(
-        lane_of(F.lit("documents"), F.col("doc_id"), 8).alias("lane"),
+        lane_of(F.lit("documents"), F.col("doc_id"), STREAM_LANES).alias("lane"),
         F.col("doc_id").alias("sample_key"),
         F.array(codepoints("text"), codepoints("lang"), codepoints("source")).alias("slots"),
+        F.col("source").alias("source_id"),
     )
-    sink = new_path(spark, "stream-packs")
-    run_available(pack_stream(samples, DOCS), new_path(spark, "stream-state"), sink)
-    packs = spark.read.parquet(sink)
+    sink, checkpoint = new_path(spark, "stream-packs"), new_path(spark, "stream-state")
+    run_available(pack_stream(samples, DOCS), checkpoint, sink)
+    finished = spark.read.parquet(sink) if table.take(1) else None
+    left = open_packs(spark, checkpoint, DOCS)
+    packs = left if finished is None else finished.unionByName(left)
     return packs.select(
-        "lane", "pack_no", "num_segments", joined("sample_keys").alias("sample_keys"), joined("input_ids").alias("input_ids")
+        "lane",
+        "pack_no",
+        "num_segments",
+        joined("sample_keys").alias("sample_keys"),
+        joined("input_ids").alias("input_ids"),
+        F.md5(F.array_join("source_ids", ",")).alias("source_ids"),
     )
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -68,11 +69,13 @@ def _state(row) -> ResumeState:
 
 
 def load_state(spark: SparkSession, path: str) -> ResumeState | None:
-    """The saved state, or ``None`` where nothing was saved."""
+    """The saved state, or ``None`` where nothing was saved. Any other failure to read is an error."""
     try:
         row = spark.read.schema(STATE_SCHEMA).json(path).first()
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
     return None if row is None else _state(row)
 
 
@@ -88,13 +91,26 @@ def with_checkpoint_step(names: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
+def checkpoint_names(spark: SparkSession, folder: str) -> DataFrame:
+    """``name``: the checkpoints below ``folder``, found by the files in them; contents are not read."""
+    root = folder.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    inside = F.regexp_extract("path", r"^(?:[a-z0-9]+:)?/*(.*)$", 1)
+    below = re.sub(r"^[a-z0-9]+:", "", root).lstrip("/")
+    return files.select(F.split(F.substring(inside, len(below) + 2, 1 << 30), "/")[0].alias("name")).distinct()
+
+
 def load_latest_checkpoint_state(spark: SparkSession, folder: str) -> ResumeState | None:
-    """The state in the checkpoint with the highest step below ``folder``, ``None`` without one."""
+    """The state in the newest checkpoint below ``folder``, the one with the highest step.
+
+    ``None`` if there is no checkpoint, or the newest one has no state: an older state must not meet a
+    newer model.
+    """
     try:
-        states = spark.read.schema(STATE_SCHEMA).json(f"{folder.rstrip('/')}/*/resume_state")
-        checkpoint = F.element_at(F.split("_metadata.file_path", "/"), -3)
-        named = with_checkpoint_step(states.withColumn("name", checkpoint))
-        row = named.orderBy(F.desc("checkpoint_step"), F.desc("name")).first()
-    except AnalysisException:
-        return None
-    return None if row is None else _state(row)
+        named = with_checkpoint_step(checkpoint_names(spark, folder))
+        newest = named.orderBy(F.desc("checkpoint_step"), F.desc("name")).first()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    return newest and load_state(spark, f"{folder.rstrip('/')}/{newest['name']}/resume_state")

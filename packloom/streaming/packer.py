@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -15,7 +15,7 @@ from packloom.operators.assembly import fill, segment_labels, slot_positions
 
 _PACK = (
     "lane string, pack_no long, sample_keys array<long>, input_ids array<int>, "
-    "slot_sizes array<array<int>>"
+    "slot_sizes array<array<int>>, sources array<string>"
 )
 _STATE = _PACK.removeprefix("lane string, ")
 
@@ -39,37 +39,38 @@ def _packer(seq_length: int, cap: int, flush_after_ms: int | None):
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        number, keys, tokens, sizes = state.get if state.exists else (0, [], [], [])
-        keys, sizes = list(keys), [list(s) for s in sizes]
+        number, keys, tokens, sizes, sources = state.get if state.exists else (0, [], [], [], [])
+        keys, sizes, sources = list(keys), [list(s) for s in sizes], list(sources)
         # Token arrays of the open pack's samples, joined only when it is closed or stored.
         parts, used = [np.array(tokens, dtype=np.int32)], len(tokens)
         finished = []
 
-        def close(pack_keys: list, pack_parts: list, pack_sizes: list) -> None:
+        def close(pack_keys: list, pack_parts: list, pack_sizes: list, pack_sources: list) -> None:
             joined = np.concatenate(pack_parts)[:seq_length]
-            finished.append((key[0], number + len(finished), pack_keys, joined, pack_sizes))
+            finished.append((key[0], number + len(finished), pack_keys, joined, pack_sizes, pack_sources))
 
         if state.hasTimedOut:
             if keys:
-                close(keys, parts, sizes)
-            keys, parts, sizes = [], [], []
+                close(keys, parts, sizes, sources)
+            keys, parts, sizes, sources = [], [], [], []
         else:
             rows = pd.concat(list(batches), ignore_index=True).sort_values("sample_key")
-            for sample, slots in zip(rows["sample_key"].tolist(), rows["slots"]):
+            for sample, slots, source in zip(rows["sample_key"].tolist(), rows["slots"], rows["source_id"]):
                 lengths = [len(slot) for slot in slots]
                 new = sum(lengths)
                 if new > seq_length:
-                    close([sample], list(slots), [_cut(lengths, seq_length)])
+                    close([sample], list(slots), [_cut(lengths, seq_length)], [source])
                     continue
                 if keys and (used + new > seq_length or len(keys) >= cap):
-                    close(keys, parts, sizes)
-                    keys, parts, sizes, used = [], [], [], 0
+                    close(keys, parts, sizes, sources)
+                    keys, parts, sizes, sources, used = [], [], [], [], 0
                 keys.append(sample)
                 parts.extend(slots)
                 sizes.append(lengths)
+                sources.append(source)
                 used += new
         left = np.concatenate(parts).astype(int).tolist() if parts else []
-        state.update((number + len(finished), keys, left, sizes))
+        state.update((number + len(finished), keys, left, sizes, sources))
         if flush_after_ms is not None and keys:
             state.setTimeoutDuration(flush_after_ms)
         columns = [field.split(" ")[0] for field in _PACK.split(", ")]
@@ -84,19 +85,40 @@ def pack_stream(
     """Finished packs of a streaming ``samples(lane, sample_key, slots)``, as padded rows.
 
     Samples of a lane are taken in key order within a micro-batch and in arrival order across them.
-    The open pack of a lane stays in the state store until later samples close it, or until the lane
-    has been idle for ``flush_after_ms``.
+    The open pack of a lane stays in the state store until later samples close it, until the lane has
+    been idle for ``flush_after_ms``, or until ``open_packs`` gives it out at the end of the input.
+    What a task holds is a lane's share of one micro-batch: bound that by the source's
+    ``maxFilesPerTrigger``, and the lanes by the tasks there are.
+
+    An optional ``source_id`` names where a sample comes from.
     """
     step = _packer(config.seq_length, max(1, config.sample_cap), flush_after_ms)
     timeout = GroupStateTimeout.NoTimeout if flush_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    source = F.col("source_id") if "source_id" in samples.columns else F.lit(None)
     packs = (
         samples.where(F.size(F.flatten("slots")) > 0)
-        .select("lane", "sample_key", "slots")
+        .select("lane", "sample_key", "slots", F.coalesce(source.cast("string"), F.lit("")).alias("source_id"))
         .groupBy("lane")
         .applyInPandasWithState(step, _PACK, _STATE, "append", timeout)
     )
+    return _padded(packs, config)
+
+
+def open_packs(spark: SparkSession, checkpoint: str, config: PackConfig) -> DataFrame:
+    """The packs still open in a stopped ``pack_stream`` query, as its rows: the rest when the input has ended.
+
+    Read from the state the query left in its checkpoint. A query that goes on from there closes them
+    itself, so give them out only at the end.
+    """
+    state = spark.read.format("statestore").load(checkpoint).select("key.lane", "value.groupState.*")
+    names = [field.split(" ")[0] for field in _PACK.split(", ")]
+    return _padded(state.where(F.size("sample_keys") > 0).select(*names), config)
+
+
+def _padded(packs: DataFrame, config: PackConfig) -> DataFrame:
     sizes, length = F.col("slot_sizes"), config.seq_length
     attended = F.array_repeat(F.lit(1), F.size("input_ids"))
+    named = F.filter("sources", lambda source: source != "")
     return packs.select(
         "lane",
         "pack_no",
@@ -105,5 +127,6 @@ def pack_stream(
         fill(attended, length, 0).alias("attention_mask"),
         fill(segment_labels(sizes, config.num_slots), length, -1).alias("segment_ids"),
         fill(slot_positions(sizes), length, 0).alias("position_ids"),
+        F.when(F.size(named) > 0, named).alias("source_ids"),
         F.size("sample_keys").alias("num_segments"),
     )

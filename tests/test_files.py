@@ -183,3 +183,43 @@ def test_quality_helpers(spark, folder):
     assert not quality.coverage(seen, 32).first()["accepted"]
     assert not quality.coverage(seen, 25, *quality.MULTI_FILE_COVERAGE).first()["accepted"]
     assert quality.shards_per_dataset(rows.withColumn("name", F.lit("train")), "name").first()["n_shards"] == 3
+
+
+def test_places_do_not_depend_on_how_files_are_cut(spark, tmp_path):
+    """Splits change between building the rows and reading them, as when executors come or go."""
+    for file in range(2):
+        write(tmp_path / f"f{file}.jsonl", [json.dumps({"anchor": "x" * (i % 37), "sample_id": file * 3000 + i}) for i in range(3000)])
+    lines = jsonl.read_lines(spark, str(tmp_path))
+    rows = jsonl.with_positions(lines).select("pos", F.get_json_object("value", "$.sample_id").cast("long").alias("i"))
+    before = lines.select("__block").distinct().count()
+    spark.conf.set("spark.sql.files.minPartitionNum", "40")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        assert jsonl.read_lines(spark, str(tmp_path)).select("__block").distinct().count() > before
+        got = rows.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 6000 and all(r["pos"] == r["i"] for r in got)
+
+
+def test_lines_of_any_white_space_are_no_rows(spark, tmp_path):
+    write(tmp_path / "a.jsonl", ['{"sample_id": 0}', "\t \t", "　", "", '{"sample_id": 1}'])
+    assert jsonl.read_lines(spark, str(tmp_path)).count() == 2
+
+
+def test_a_line_is_parsed_once(spark, folder):
+    parsed = read(spark, folder).where("anchor <> ''")
+    lines = jsonl.read_lines(spark, folder + "/*.jsonl")
+    plan = jsonl.parse_triplets(lines, extras=EXTRAS).where("anchor <> ''")._jdf.queryExecution().optimizedPlan().toString()
+    assert parsed.count() == 30 and plan.count("from_json") <= 4
+
+
+def test_newest_checkpoint_without_state(spark, tmp_path):
+    folder = str(tmp_path / "model")
+    state.save_checkpoint_state(spark, ResumeState(row_index=1), f"{folder}/step-5")
+    os.makedirs(f"{folder}/step-7")
+    write(f"{folder}/step-7/weights.bin", ["x"])
+    assert state.load_latest_checkpoint_state(spark, folder) is None
+    write(tmp_path / "broken", ["x"])
+    assert state.load_state(spark, str(tmp_path / "nothing")) is None

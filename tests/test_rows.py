@@ -5,7 +5,7 @@ from packloom.config import PackConfig
 from packloom.operators import batches, quality, unpack
 from packloom.operators.strategies import assign_by_strategy
 from packloom.streaming.ingest import run_available
-from packloom.streaming.packer import _packer, lane_of, pack_stream
+from packloom.streaming.packer import _packer, lane_of, open_packs, pack_stream
 from pyspark.sql import functions as F
 from reference_model import greedy, packed_row
 
@@ -197,13 +197,13 @@ class Lane:
 
 def test_idle_lane_gives_out_its_open_pack():
     step, lane = _packer(10, 5, 1000), Lane()
-    rows = pd.DataFrame({"sample_key": [2, 1], "slots": [[np.array([5, 6]), np.array([7])], [np.array([8]), np.array([9])]]})
+    rows = pd.DataFrame({"sample_key": [2, 1], "source_id": ["s", ""], "slots": [[np.array([5, 6]), np.array([7])], [np.array([8]), np.array([9])]]})
     assert [len(out) for out in step(("l",), iter([rows]), lane)] == [0]
-    assert lane.get == (0, [1, 2], [8, 9, 5, 6, 7], [[1, 1], [2, 1]]) and lane.timeout == 1000
+    assert lane.get == (0, [1, 2], [8, 9, 5, 6, 7], [[1, 1], [2, 1]], ["", "s"]) and lane.timeout == 1000
     lane.hasTimedOut = True
     out = next(step(("l",), iter([]), lane)).iloc[0]
     assert (out["pack_no"], out["sample_keys"], list(out["input_ids"])) == (0, [1, 2], [8, 9, 5, 6, 7])
-    assert lane.get == (1, [], [], [])
+    assert lane.get == (1, [], [], [], [])
 
 
 def test_stream_packs_equal_the_loop(spark, tmp_path):
@@ -221,17 +221,28 @@ def test_stream_packs_equal_the_loop(spark, tmp_path):
     run_available(pack_stream(lanes, config), str(tmp_path / "checkpoint"), sink)
     rows = spark.createDataFrame([(i,) for i in range(60)], "sample_key long")
     lane = {r["sample_key"]: r["lane"] for r in rows.withColumn("lane", lane_of(F.lit("g"), F.col("sample_key"), 2)).collect()}
-    got = spark.read.parquet(sink).collect()
+    got = spark.read.parquet(sink).unionByName(open_packs(spark, str(tmp_path / "checkpoint"), config)).collect()
     arrival = [k for r in sorted(got, key=lambda r: r["pack_no"]) for k in r["sample_keys"]]
-    assert len(arrival) == len(set(arrival))
+    assert sorted(arrival) == list(range(60))
     for name in set(lane.values()):
         keys = [k for k in range(60) if lane[k] == name]
         packs = sorted((r for r in got if r["lane"] == name), key=lambda r: r["pack_no"])
         assert [r["pack_no"] for r in packs] == list(range(len(packs)))
         # Files arrive in the order they were written.
         expected = [[keys[i] for i in p] for p in greedy([sum(map(len, samples[k])) for k in keys], 40, 4)]
-        open_now = expected.pop()
-        assert [list(r["sample_keys"]) for r in packs] == expected and open_now
+        assert [list(r["sample_keys"]) for r in packs] == expected
         for r in packs:
             want = packed_row(samples, r["sample_keys"], 40, 3, 0)
             assert {k: r[k] for k in want} == want
+
+
+@pytest.mark.parametrize("strategy", ["first_fit", "pool"])
+def test_gaps_between_positions_change_nothing(spark, strategy):
+    config = PackConfig(eos_token_id=1, seq_length=50, max_samples=4, strategy=strategy)
+    got = []
+    for step in (1, 4096):
+        rows = [(i * step, 3 + i * 7 % 40) for i in range(200)]
+        samples = spark.createDataFrame(rows, "pos long, n_tokens int").repartition(3)
+        assigned = assign_by_strategy(samples, config, window_rows=64).collect()
+        got.append(sorted((r["pos"] // step, r["pack_id"], r["sample_ord"]) for r in assigned))
+    assert got[0] == got[1]
