@@ -39,8 +39,12 @@ GRAM = 32
 # Rows of a range, about, and rows sampled for the splitters.
 RANGE_ROWS = 400_000
 SAMPLE_ROWS = 100_000
-# Rows of one gram whose bytes are compared in one task; a larger group is cut by its windows' hashes.
-GRAM_ROWS = 20_000
+# Rows of one gram whose bytes are compared in one task. A larger group is cut by its windows' hashes and read
+# once for each cut; from SPREAD_ROWS on its windows are rows of their own, each of which goes to one task.
+GRAM_ROWS = 2_000
+SPREAD_ROWS = 100_000
+# Texts whose rows to compare are cut out at once.
+CUT_TEXTS = 256
 # Longer runs of bytes are worked through in pieces that overlap by a window.
 PIECE = 1 << 22
 
@@ -195,7 +199,7 @@ def _compare_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame
         wanted = F.broadcast(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, CUT_TEXTS) for b in batches for at in range(0, b.num_rows, CUT_TEXTS)):
             data, offsets = text_bytes(batch.column("text"))
             lists = batch.column("wanted")
             owner = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
@@ -210,10 +214,11 @@ def _compare_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame
 
     parts = docs.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(cut, "key long, doc long, start long, bytes binary")
     sizes = rows.groupBy("key").count().where(F.col("count") > GRAM_ROWS)
-    sizes = stage(sizes.select("key", F.ceil(F.col("count") / GRAM_ROWS).cast("int").alias("slots")), "slots")
-    slots = F.coalesce("slots", F.lit(1))
-    parts = parts.join(joinable(sizes), "key", "left").withColumn("slots", slots)
-    parts = parts.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    sizes = stage(sizes.select("key", F.ceil(F.col("count") / GRAM_ROWS).cast("int").alias("cuts")), "cuts")
+    parts = parts.join(joinable(sizes), "key", "left").withColumn("slots", F.coalesce("cuts", F.lit(1)))
+    spread = F.col("slots") > -(-SPREAD_ROWS // GRAM_ROWS)
+    hot = parts.where(spread).select("key", F.lit(0).alias("slot"), F.lit(1).alias("slots"), "doc", "start", "bytes")
+    parts = parts.where(~spread).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     parts = parts.repartition("key", "slot").sortWithinPartitions("key", "slot")
 
     def windows_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -267,7 +272,20 @@ def _compare_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame
         count = np.diff(np.append(first, len(doc)))
         return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array((start[first] << 16) | count)], ["doc", "place"])
 
-    return parts.select("key", "slot", "slots", "doc", "start", "bytes").mapInArrow(compare, "doc long, place long")
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
+            key, _, lead, said, doc, start = windows_of(batch)
+            columns = [pa.array(c) for c in (key, _signed(lead), _signed(said), doc, start)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "lead", "said", "doc", "start"])
+
+    compared = parts.select("key", "slot", "slots", "doc", "start", "bytes").mapInArrow(compare, "doc long, place long")
+    if sizes.where(F.col("cuts") > -(-SPREAD_ROWS // GRAM_ROWS)).isEmpty():
+        return compared
+    # Equal windows of very frequent grams: all but the first, counted by hash, not gathered.
+    same = stage(hot.mapInArrow(windows, "key long, lead long, said long, doc long, start long"), "windows")
+    firsts = same.groupBy("key", "lead", "said").agg(F.min(F.struct("doc", "start")).alias("first"), F.count("*").alias("n"))
+    again = same.join(firsts.where("n > 1"), ["key", "lead", "said"]).where(F.struct("doc", "start") != F.col("first"))
+    return compared.unionByName(again.select("doc", (F.col("start") * 65536 + 1).alias("place")))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

@@ -179,9 +179,10 @@ def patched_texts(n=150, seed=5):
     return rows + [(10**6, None), (10**6 + 1, ""), (10**6 + 2, "y" * 99), (10**6 + 3, "y" * 100), (10**6 + 4, "y" * 101)]
 
 
-@pytest.mark.parametrize("length", [100, 60])
-def test_dedup_equals_brute_force(spark, monkeypatch, length):
+@pytest.mark.parametrize(("length", "spread"), [(100, 100_000), (60, 100_000), (100, 40)])
+def test_dedup_equals_brute_force(spark, monkeypatch, length, spread):
     monkeypatch.setattr(suffix_dedup, "GRAM_ROWS", 20)
+    monkeypatch.setattr(suffix_dedup, "SPREAD_ROWS", spread)
     monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 100)
     rows = patched_texts()
