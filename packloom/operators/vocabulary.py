@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.arrays import each_element
 from packloom.functions.vectors import zeros
+from packloom.operators.pooling import mean_vectors
 from packloom.operators.positions import dense_positions
 
 # Initialisation of new vectors.
@@ -130,11 +131,8 @@ def extend_vocabulary(vocabulary: DataFrame, new_tokens: DataFrame | Sequence[st
 
 
 def average_vector(vectors: DataFrame) -> DataFrame:
-    """One row ``vec``: the mean over all rows, one partial sum per dimension and task."""
-    dims = each_element(vectors, "vec", position="dim", value="x").groupBy("dim")
-    means = dims.agg(F.avg(F.col("x").cast("double")).alias("x"))
-    # As many rows as the vectors have dimensions.
-    return means.agg(F.sort_array(F.collect_list(F.struct("dim", "x"))).getField("x").alias("vec"))
+    """One row ``vec``: the mean over all rows, one partial sum per batch of rows."""
+    return mean_vectors(vectors.withColumn("__all", F.lit(0)), "__all").select("vec")
 
 
 def new_vectors(
@@ -144,8 +142,9 @@ def new_vectors(
     if strategy not in INIT_STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}, expected one of {INIT_STRATEGIES}")
     if strategy == "average":
-        mean = average_vector(vectors).first()["vec"]
-        return new_ids.select("token_id", F.array(*[F.lit(x) for x in mean]).alias("vec"))
+        # One row, sent to every task.
+        mean = average_vector(vectors).select(F.lit(0).alias("__all"), "vec")
+        return new_ids.withColumn("__all", F.lit(0)).join(F.broadcast(mean), "__all").select("token_id", "vec")
     width = F.size("vec")
     size = vectors.select(width.alias("size")).first()["size"]
     if strategy == "zeros":

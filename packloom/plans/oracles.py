@@ -6,6 +6,7 @@ from packloom.operators.strategies import POOL_PACKS, WINDOW_ROWS
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, EOS, FIRST_WORD_ID
 from packloom.plans.queries import (
     BATCH,
+    LOSS_BATCH,
     MAX_SAMPLES,
     ORDERS,
     RANDOM_SEED,
@@ -771,9 +772,9 @@ metrics AS (
 
 
 _METRICS = "loss, accuracy, valid_samples, pos_sim_mean, neg_sim_mean"
-ORACLES["infonce_loss"] = ctes(slot_vectors(1, None), losses([0.07], [1], 1)) + " SELECT batch_id, loss FROM metrics"
+ORACLES["infonce_loss"] = ctes(slot_vectors(1, LOSS_BATCH), losses([0.07], [1], 1)) + " SELECT batch_id, loss FROM metrics"
 ORACLES["infonce_metrics"] = ctes(slot_vectors(1, 32), losses([0.07], [1], 1)) + f" SELECT batch_id, {_METRICS} FROM metrics"
-ORACLES["infonce_blocks"] = ctes(slot_vectors(2, None), losses([0.07], [2], 2)) + f" SELECT batch_id, {_METRICS} FROM metrics"
+ORACLES["infonce_blocks"] = ctes(slot_vectors(2, LOSS_BATCH), losses([0.07], [2], 2)) + f" SELECT batch_id, {_METRICS} FROM metrics"
 ORACLES["infonce_temperature_sweep"] = (
     ctes(slot_vectors(1, 32), losses([0.05, 0.07, 0.1], [1], 1)) + f" SELECT batch_id, temperature, {_METRICS} FROM metrics"
 )

@@ -871,10 +871,14 @@ def _metrics(result: DataFrame, *keys: str) -> DataFrame:
     return result.select(*keys, *[F.round(c, 6).alias(c) for c in METRICS])
 
 
+#: Samples of a large batch; the work of a batch grows with their square, that of the table does not.
+LOSS_BATCH = 128
+
+
 @query
 def infonce_loss(spark: SparkSession, folder: str) -> DataFrame:
-    """All embeddings as one batch."""
-    vectors = _slot_vectors(spark, folder, 1, None)
+    """Loss of every batch of ``LOSS_BATCH`` samples."""
+    vectors = _slot_vectors(spark, folder, 1, LOSS_BATCH)
     result = contrastive.infonce(vectors, 1, VECTOR_SIZE, [0.07])
     return result.select("batch_id", F.round("loss", 6).alias("loss"))
 
@@ -887,8 +891,8 @@ def infonce_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def infonce_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """One large batch over many small blocks."""
-    result = contrastive.infonce(_slot_vectors(spark, folder, 2, None), 2, VECTOR_SIZE, [0.07], block=64)
+    """Large batches over many small blocks each."""
+    result = contrastive.infonce(_slot_vectors(spark, folder, 2, LOSS_BATCH), 2, VECTOR_SIZE, [0.07], block=64)
     return _metrics(result, "batch_id")
 
 

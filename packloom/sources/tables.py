@@ -5,19 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.operators.positions import dense_positions
+
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# An input with this many splits is left as it is, however many cores there are.
+SMALL_SPLITS = 64
+
+
 def over_all_cores(df: DataFrame, key: str) -> DataFrame:
     """Spread a small input before heavy work on its rows.
 
-    One small file is one task however many cores there are. An input with enough splits, which is
-    any large one, stays as it is.
+    One small file is one task however many cores there are. Only inputs of a few splits are shuffled,
+    so what moves is bounded by as many splits; on a large input the split size is the setting to use
+    (``spark.sql.files.maxPartitionBytes``).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < min(cores, SMALL_SPLITS) else df
 
 
 def save(df: DataFrame, path: str, overwrite: bool = False, partition_by: tuple[str, ...] = ()) -> None:
@@ -30,7 +37,8 @@ def conversation_triplets(conversations: DataFrame) -> DataFrame:
     """Triplets from chats: a user turn, the assistant turn right after it, and as the negative the
     first assistant turn of the next conversation (null when that has none).
 
-    Equi-joins on (conversation, turn), so a very long conversation spreads over all tasks.
+    The turns are joined on (conversation, turn). The other conversation's answer is one row, joined on
+    the conversation; adaptive execution splits a conversation that is a large part of all turns.
     """
     user = conversations.where(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("anchor")
@@ -46,16 +54,20 @@ def conversation_triplets(conversations: DataFrame) -> DataFrame:
 
 
 def document_triplets(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Triplets from documents: the text, and the texts of the two documents numbered after it.
+    """Triplets from documents: the text, and the texts of the two documents that follow by number.
 
-    ``shard`` is the document's source; unlabelled documents have null ``quality``.
+    Numbers may have gaps: their order is found on the numbers alone. ``shard`` is the document's source;
+    unlabelled documents have null ``quality``.
     """
-    text = documents.select("doc_id", "text")
-    following = text.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("positive"))
-    second = text.select((F.col("doc_id") - 2).alias("doc_id"), F.col("text").alias("negative"))
+    order = dense_positions(documents.select("doc_id"), "doc_id")
+    text = documents.select("doc_id", "text").join(order, "doc_id")
+    following = text.select((F.col("pos") - 1).alias("pos"), F.col("text").alias("positive"))
+    second = text.select((F.col("pos") - 2).alias("pos"), F.col("text").alias("negative"))
     return (
         documents.select("doc_id", F.col("text").alias("anchor"), F.col("source").alias("source_id"))
-        .join(following, "doc_id", "left")
-        .join(second, "doc_id", "left")
+        .join(order, "doc_id")
+        .join(following, "pos", "left")
+        .join(second, "pos", "left")
+        .drop("pos")
         .join(labels.select("doc_id", "quality"), "doc_id", "left")
     )

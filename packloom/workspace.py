@@ -26,9 +26,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# Paths given out in this process, for ``release``.
+_paths: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _paths.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables staged by this process so far, and say how many. Frames made from them are gone."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        gone += path.getFileSystem(hadoop).delete(path, True)
+    return gone
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

@@ -171,3 +171,40 @@ def test_joint_extension(spark):
         assert vocabulary.extend_both(table, vectors, ["a"])[2:] == (2, 2)
     with pytest.warns(UserWarning, match="1 vectors for 2"):
         assert vocabulary.extend_both(table, vectors.limit(1), ["x"])[1].count() == 2
+
+
+def test_projection_keeps_nulls_and_checks_sizes(spark):
+    rows = [(0, [1.0, 2.0]), (1, None), (2, [3.0, 4.0]), (3, None)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    layers = [(np.asarray([[1.0, 0.0, 2.0], [0.0, 1.0, 0.0]]), None)]
+    got = {r["id"]: r["vec"] for r in pooling.project(frame, layers).collect()}
+    assert got == {0: [1.0, 2.0, 2.0], 1: None, 2: [3.0, 4.0, 6.0], 3: None}
+    wide = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0])], "id long, vec array<double>")
+    with pytest.raises(Exception, match="vectors of 2 entries"):
+        pooling.project(wide, layers).collect()
+
+
+def test_error_function():
+    x = np.linspace(-8, 8, 2001)
+    assert np.abs(pooling.erf(x) - [math.erf(v) for v in x]).max() < 1e-13
+
+
+def test_means_and_stats_skip_nulls(spark):
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, None]), ("a", None), (None, [5.0, 7.0]), ("b", [1e8, 1e8 + 1])]
+    frame = spark.createDataFrame(rows, "k string, vec array<double>").repartition(3)
+    assert {r["k"]: r["vec"] for r in pooling.mean_vectors(frame, "k").collect()} == {"a": [2.0, 2.0], None: [5.0, 7.0], "b": [1e8, 1e8 + 1]}
+    stats = {r["k"]: r for r in pooling.vector_stats(frame, "k").collect()}
+    assert (stats["a"]["n_valid"], stats["a"]["mean"], stats["a"]["min"], stats["a"]["max"]) == (2, 2.0, 1.0, 3.0)
+    assert stats["a"]["std"] == pytest.approx(np.std([1, 2, 3])) and stats["b"]["std"] == pytest.approx(0.5)
+
+
+def test_release_deletes_staged_tables(spark):
+    import os
+
+    from packloom.workspace import new_path, release, stage
+
+    path = new_path(spark, "x")
+    spark.range(3).write.parquet(path)
+    staged = stage(spark.range(4), "y")
+    assert staged.count() == 4 and release(spark) >= 2
+    assert not os.path.exists(path.removeprefix("file:"))
