@@ -37,6 +37,15 @@ NAMES = (
     "infonce_loss",
     "infonce_metrics",
     "infonce_negative_sweep",
+    "infonce_blocks",
+    "mean_pool",
+    "vector_stats",
+    "jsonl_triplets",
+    "slot_order_check",
+    "row_outcomes",
+    "resume_shuffled",
+    "stream_pack",
+    "stream_ingest",
 )
 
 

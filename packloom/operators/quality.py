@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packloom.functions.arrays import bind, each_element
-from packloom.operators.unpack import decode_segments, sample_of, with_sample_bounds
+from packloom.operators.unpack import sample_of, with_sample_bounds
 
 # Accepted shares of samples that come out of the packing.
 MIN_COVERAGE = 0.95
@@ -98,12 +98,36 @@ def sample_id_errors(packs: DataFrame, num_slots: int) -> DataFrame:
     )
 
 
+def segment_runs(segments: Column | str) -> Column:
+    """Runs of equal segment ids in a pack: ``segment, low, high`` with the first and last position.
+
+    A pack has a run for each slot, so these can become rows where its tokens should not.
+    """
+    values = F.col(segments) if isinstance(segments, str) else segments
+
+    def runs(starts: Column) -> Column:
+        def run(start: Column, k: Column) -> Column:
+            after = F.coalesce(F.get(starts, k + 1), F.size(values))
+            return F.struct(F.get(values, start).alias("segment"), start.alias("low"), (after - 1).alias("high"))
+
+        return F.transform(starts, run)
+
+    places = F.when(F.size(values) > 0, F.sequence(F.lit(0), F.size(values) - 1)).otherwise(F.array().cast("array<int>"))
+    begins = F.filter(places, lambda i: (i == 0) | (F.get(values, i) != F.get(values, i - 1)))
+    return bind(begins, runs)
+
+
 def slot_order_errors(packs: DataFrame, num_slots: int) -> DataFrame:
     """``pack_id, sample_id`` with the steps between neighbouring slots that are not 0 or +1, the
     slots that are missing, and the slots that begin before the one before has ended."""
-    tokens = decode_segments(packs, num_slots).where(F.col("segment_id") >= 0)
-    per_slot = tokens.groupBy("pack_id", "sample_id", "slot").agg(
-        F.min("pos").alias("low"), F.max("pos").alias("high"), F.count("*").alias("n")
+    runs = each_element(packs, segment_runs("segment_ids"), "pack_id", value="run").where(F.col("run.segment") >= 0)
+    segment = F.col("run.segment")
+    per_slot = runs.groupBy(
+        "pack_id", sample_of(segment, num_slots).alias("sample_id"), F.pmod(segment, F.lit(num_slots)).alias("slot")
+    ).agg(
+        F.min("run.low").alias("low"),
+        F.max("run.high").alias("high"),
+        F.sum(F.col("run.high") - F.col("run.low") + 1).alias("n"),
     )
     # A sample has num_slots rows here.
     along = Window.partitionBy("pack_id", "sample_id").orderBy("slot")
