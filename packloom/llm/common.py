@@ -32,7 +32,7 @@ def begin(df: DataFrame) -> SparkSession:
 
 def joinable(staged: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``staged``, a narrow stored table, with a broadcast hint if it is counted to be within ``limit`` rows."""
-    return F.broadcast(staged) if staged.limit(limit + 1).count() <= limit else staged
+    return F.broadcast(staged) if staged.count() <= limit else staged
 
 
 def fresh(name: str, df: DataFrame) -> str:

@@ -195,7 +195,7 @@ def _settle(rows: DataFrame) -> DataFrame:
 def _compare_windows(docs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
     """Windows ``doc, place`` of the rows to compare that occur before."""
     wanted = rows.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("wanted"))
-    if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if rows.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
