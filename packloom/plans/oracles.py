@@ -586,6 +586,12 @@ outcomes AS (
 ORACLES["row_outcomes"] = ctes(DOC_TRIPLETS, _OUTCOME) + " SELECT outcome, count(*) AS n_rows FROM outcomes GROUP BY outcome"
 ORACLES["resume_shuffled"] = ctes(DOC_TRIPLETS, _OUTCOME) + """
 SELECT doc_id, 1::BIGINT AS n_used FROM outcomes WHERE outcome = 'sample'"""
+ORACLES["recursive_discovery"] = "SELECT doc_id, md5(text) AS anchor, '' AS negative FROM documents"
+ORACLES["saved_table"] = "SELECT lang, count(*) AS n_rows FROM documents GROUP BY lang"
+ORACLES["latest_checkpoint"] = """
+SELECT 0::INTEGER AS shard_index, last AS row_index FROM (
+  SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type
+) ORDER BY n DESC, 'step-' || n || '-' || event_type DESC LIMIT 1"""
 ORACLES["jsonl_positions"] = "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents"
 ORACLES["jsonl_triplets"] = ctes(DOC_TRIPLETS, _LINES) + """,
 read AS (
@@ -603,6 +609,11 @@ sharded AS (
     row_number() OVER (ORDER BY source, doc_id) AS rn
   FROM documents
 )"""
+ORACLES["resume_explicit"] = ctes(SHARDED) + """
+SELECT doc_id, shard_index, row_index FROM sharded WHERE shard_index > 9 OR (shard_index = 9 AND row_index >= 5)"""
+ORACLES["saved_states"] = ctes(SHARDED) + """
+SELECT source AS name, shard_index, count(*) AS row_index, (min(rn) - 1)::INTEGER AS step, 1::INTEGER AS epoch
+FROM sharded GROUP BY source, shard_index"""
 ORACLES["sample_positions"] = ctes(SHARDED) + " SELECT doc_id, shard_index, row_index FROM sharded"
 ORACLES["shard_count"] = ctes(SHARDED) + " SELECT lang, count(DISTINCT shard_index) AS n_shards FROM sharded GROUP BY lang"
 ORACLES["shard_select"] = ctes(SHARDED) + """

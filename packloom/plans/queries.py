@@ -29,7 +29,15 @@ from packloom.operators.triplets import (
 from packloom.plans import flows, pipeline
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, joined
 from packloom.sources import jsonl
-from packloom.sources.state import ResumeState, load_state, save_state, with_checkpoint_step
+from packloom.sources.state import (
+    ResumeState,
+    initial_state,
+    load_latest_checkpoint_state,
+    load_state,
+    save_checkpoint_state,
+    save_state,
+    with_checkpoint_step,
+)
 from packloom.sources.tables import document_triplets, load, over_all_cores, save
 from packloom.streaming.ingest import run_available, stream_triplets
 from packloom.streaming.packer import lane_of, open_packs, pack_stream
@@ -608,6 +616,16 @@ def row_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return pipeline.outcomes(rows, CHAT)
 
 
+@query
+def recursive_discovery(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of data files in folders below the one given, a folder for each source."""
+    texts = load(spark, folder, "documents").select("doc_id", F.col("text").alias("anchor"), "source")
+    path = new_path(spark, "nested")
+    texts.write.partitionBy("source").option("compression", "none").json(path)
+    rows = jsonl.parse_triplets(jsonl.read_lines(spark, path, recursive=True), extras=DOC_ID)
+    return rows.select("doc_id", F.md5("anchor").alias("anchor"), F.col("negatives")[0].alias("negative"))
+
+
 RESUMED = CHAT.with_(shuffle=True, seed=SEED, batch_size=4)
 
 
@@ -676,6 +694,48 @@ def _sharded_documents(spark: SparkSession, folder: str) -> DataFrame:
 RESUME = ResumeState(shard_index=7, row_index=20)
 
 
+@query
+def resume_explicit(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows from an explicit start on, which wins over the saved one."""
+    rows = resume.resume_from(_sharded_documents(spark, folder), RESUME, 9, 5)
+    return rows.select("doc_id", "shard_index", "row_index")
+
+
+@query
+def saved_states(spark: SparkSession, folder: str) -> DataFrame:
+    """A state for each dataset (source), moved to its end, saved, loaded and taken apart again."""
+    state = initial_state([])
+    for shard in _source_shards(load(spark, folder, "documents")).collect():
+        own = ResumeState().moved(shard["shard_index"], shard["n_rows"], step=shard["first_pos"]).stamped(shard["first_pos"], 1)
+        entry = {"shard_index": own.shard_index, "row_index": own.row_index, "step": own.step, "epoch": own.epoch}
+        state.dataset_states[shard["shard_name"]] = entry
+    path = new_path(spark, "states")
+    save_state(spark, state.moved(1, 2).rewound(), path)
+    loaded = load_state(spark, path)
+    rows = [(name, own.shard_index, own.row_index, own.step, own.epoch) for name in loaded.dataset_states if (own := loaded.of_dataset(name))]
+    return spark.createDataFrame(rows, "name string, shard_index int, row_index long, step int, epoch int")
+
+
+@query
+def latest_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
+    """The state in the newest of several checkpoints, one for each type of event, named by their number."""
+    counts = load(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    path = new_path(spark, "checkpoints")
+    for row in counts.collect():
+        save_checkpoint_state(spark, ResumeState(row_index=row["last"]), f"{path}/step-{row['n']}-{row['event_type']}")
+    newest = load_latest_checkpoint_state(spark, path)
+    return spark.createDataFrame([(newest.shard_index, newest.row_index)], "shard_index int, row_index long")
+
+
+@query
+def saved_table(spark: SparkSession, folder: str) -> DataFrame:
+    """A table that replaces another one under the same path."""
+    documents, path = load(spark, folder, "documents"), new_path(spark, "table")
+    save(documents.groupBy("source").agg(F.count("*").alias("n_rows")), path)
+    save(documents.groupBy("lang").agg(F.count("*").alias("n_rows")), path, overwrite=True)
+    return spark.read.parquet(path)
+
+
 @query
 def sample_positions(spark: SparkSession, folder: str) -> DataFrame:
     return quality.sample_positions(_sharded_documents(spark, folder), "doc_id")
