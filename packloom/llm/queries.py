@@ -41,6 +41,29 @@ def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), words=4, share=(85, 100))
 
 
+ORACLES["op1_ngram_join"] = r"""
+WITH RECURSIVE said AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s
+  FROM said),
+tokens AS MATERIALIZED (SELECT doc_id, t AS shingle FROM (SELECT doc_id, unnest(s) AS t FROM sets)),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (
+  SELECT x, y FROM pairs JOIN sets a ON a.doc_id = x JOIN sets b ON b.doc_id = y
+  WHERE 100 * n >= 85 * (len(a.s) + len(b.s) - n)),
+both_ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id AS node, doc_id AS root FROM sets
+  UNION
+  SELECT both_ways.y, reach.root FROM reach JOIN both_ways ON both_ways.x = reach.node)
+SELECT sets.doc_id, len(s) AS n_shingles, min(root) AS component_id
+FROM sets JOIN reach ON reach.node = sets.doc_id GROUP BY sets.doc_id, len(s)
+"""
+
+
 @query
 def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     """Main text of all pages."""
@@ -53,6 +76,32 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return span_digests(table(spark, folder, "documents"))
 
 
+ORACLES["op3_suffix_dedup"] = r"""
+WITH raw AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS data, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, start, array_slice(data, start + 1, start + 100) AS said
+  FROM (SELECT doc_id, data, unnest(range(0, n - 99)) AS start FROM raw)),
+again AS MATERIALIZED (
+  SELECT doc_id, start FROM windows
+  QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, start) > 1),
+runs AS (
+  SELECT doc_id, start, sum(CASE WHEN start <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run
+  FROM (SELECT *, lag(start) OVER (PARTITION BY doc_id ORDER BY start) AS before FROM again)),
+spans AS MATERIALIZED (SELECT doc_id, min(start) AS low, max(start) + 100 AS high FROM runs GROUP BY doc_id, run),
+gaps AS (
+  SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS low, low AS high FROM spans
+  UNION ALL
+  SELECT raw.doc_id, coalesce(max(spans.high), 0), any_value(n) FROM raw LEFT JOIN spans USING (doc_id) GROUP BY raw.doc_id),
+kept AS (
+  SELECT doc_id, string_agg(hex(array_slice(data, low + 1, gaps.high)), '' ORDER BY low) FILTER (gaps.high > low) AS bytes
+  FROM gaps JOIN raw USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(bytes, ''))) AS kept_sha256
+FROM raw JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id) USING (doc_id)
+"""
+
+
 @query
 def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents, of their edited texts, and how alike they are."""
@@ -118,9 +167,9 @@ def op9_topk_search(spark: SparkSession, folder: str) -> DataFrame:
 
 ORACLES["op9_topk_search"] = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS vec
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS vec
   FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scores AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.vec, c.vec)::BIGINT AS score
   FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
