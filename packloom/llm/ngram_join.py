@@ -10,9 +10,11 @@ In a bucket the classes form a signature tree: leaves hold bitmaps of the sets'
 OR-combined and the range of set sizes. The tree is traversed against itself; a pair of nodes is left
 where the sizes, or the most tokens their bitmaps could share, rule out every link between them. What
 remains joins classes to clusters, and each cluster's whole sets go through a second tree with an exact
-check at the leaves. A bucket or cluster too large for one task is cut into slots, and pairs of slots
-are traversed in tasks of their own. No step lists the pairs of a group: edges lead to the smallest
-member of what hangs together.
+check at the leaves. A bucket too large for one task is cut into slots, and pairs of slots are traversed
+in tasks of their own. A cluster too large is cut into slots as well: each is traversed alone and
+against the first one, and what the links leave outside of the cluster's largest component, usually
+little, then meets every slot. No step lists the pairs of a group: edges lead to the smallest member of
+what hangs together.
 
 Set elements are 64-bit hashes of shingles.
 
@@ -94,18 +96,26 @@ class _Node:
 
 
 def traverse(
-    sizes: np.ndarray, bitmaps: list[np.ndarray], share: tuple[int, int], linked: Callable[[int, int], bool] | None = None, side: np.ndarray | None = None
+    sizes: np.ndarray,
+    bitmaps: list[np.ndarray],
+    share: tuple[int, int],
+    linked: Callable[[int, int], bool] | None = None,
+    side: np.ndarray | None = None,
+    known: np.ndarray | None = None,
 ) -> np.ndarray:
     """Component numbers (the least member) of sets linked by a dual traversal of their signature tree.
 
     Members must be sorted by size. A pair of sets that no bound rules out is linked if ``linked`` says so,
-    or at once without it. With ``side``, pairs of one side are known or looked at elsewhere if the sides
-    differ at all.
+    or at once without it. With ``side``, pairs of one side are looked at elsewhere; with ``known``, members
+    of equal labels are linked from the start.
     """
     part, whole = share
     n = len(sizes)
     sizes = sizes.astype(np.int64)
     component = np.arange(n)
+    if known is not None:
+        _, first, label = np.unique(known, return_index=True, return_inverse=True)
+        component = first[label]
 
     def node(first: int, last: int) -> _Node:
         words = min(len(b) for b in bitmaps[first:last])
@@ -366,11 +376,11 @@ def near_duplicates(
     # Whole sets, once for each class that has a candidate; the tree of each cluster ends in exact checks.
     members = nodes.select("node", "n").join(clusters, "node")
     totals = members.groupBy("component").agg(F.sum("n").alias("elements"))
-    slots = F.ceil(F.col("elements") / ELEMENTS)
-    members = stage(members.join(totals, "component").select("node", "component", slots.cast("int").alias("slots")), "members")
+    slots = F.ceil(F.col("elements") / ELEMENTS).cast("int")
+    slot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("slots")).cast("int")
+    members = members.join(totals, "component").select("node", "component", slots.alias("slots")).withColumn("slot", slot)
+    members = stage(members.select("node", "component", "slots", "slot", F.col("node").alias("label")), "members")
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))
-    rows = _slots(texts.join(joinable(members), "node"), "component", F.col("slots"), "text")
-    rows = rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
@@ -379,7 +389,7 @@ def near_duplicates(
             order = np.argsort(sizes, kind="stable")
             order = order[sizes[order] > 0]
             tokens = [tokens[i] for i in order]
-            slot = group.column("slot").to_numpy()[order]
+            slot, label = (group.column(c).to_numpy()[order] for c in ("slot", "label"))
 
             def linked(x: int, y: int, tokens: list = tokens) -> bool:
                 a, b = tokens[x], tokens[y]
@@ -387,12 +397,33 @@ def near_duplicates(
                 common = int((b[spots] == a).sum())
                 return common >= _needed(len(a) + len(b), share)
 
-            # The pair of a slot with itself looks at the slot alone; other pairs at what lies between two slots.
+            # Two slots that meet have been, or are, traversed alone: only what lies between them is open.
             side = slot if len(slot) and slot.min() != slot.max() else None
-            component = traverse(sizes[order], [bitmap(t, 4) for t in tokens], share, linked, side)
+            component = traverse(sizes[order], [bitmap(t, 4) for t in tokens], share, linked, side, label)
             yield _edges([_stars(group.column("node").to_numpy()[order], component)])
 
-    links = rows.select("component", "i", "j", "slot", "node", "text").mapInArrow(check, "a long, b long")
+    def checked(placed: DataFrame) -> DataFrame:
+        """Links found in each group ``component, i, j`` of ``node, slot, label`` rows."""
+        rows = texts.join(joinable(stage(placed, "placed")), "node").select("component", "i", "j", "slot", "label", "node", "text")
+        rows = rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+        return stage(rows.mapInArrow(check, "a long, b long"), "linked")
+
+    alone = F.struct(F.col("slot").alias("i"), F.col("slot").alias("j"))
+    first = F.struct(F.lit(0).alias("i"), F.col("slot").alias("j"))
+    all_others = F.transform(F.sequence(F.lit(1), F.col("slots") - 1), lambda j: F.struct(F.lit(0).alias("i"), j.alias("j")))
+    meets = F.when(F.col("slots") == 1, F.array(alone)).when(F.col("slot") > 0, F.array(alone, first)).otherwise(F.concat(F.array(alone), all_others))
+    placed = members.withColumn("at", F.explode(meets)).select("node", "component", "slot", "label", "at.*")
+    links = checked(placed)
+    large = members.where("slots > 1")
+    if not large.isEmpty():
+        # A link that is still missing has an end outside of its cluster's largest component.
+        reached = stage(components(links), "reached").withColumnRenamed("component", "reached")
+        large = large.drop("label").join(reached, "node", "left").withColumn("label", F.coalesce("reached", "node"))
+        large = stage(large.drop("reached"), "labelled")
+        main = large.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        every = F.when(F.col("label") == F.col("main"), F.array("slot")).otherwise(F.sequence(F.lit(0), F.col("slots") - 1))
+        placed = large.join(main, "component").withColumn("i", F.explode(every))
+        links = links.unionByName(checked(placed.select("node", "component", F.lit(0).alias("slot"), "label", "i", F.col("i").alias("j"))))
     found = stage(components(links), "components").withColumnRenamed("component", "reached")
     groups = classes.join(joinable(found), "node", "left").select("c1", "c2", F.coalesce("reached", "node").alias("component_id"))
     return (
