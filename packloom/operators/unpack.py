@@ -11,7 +11,7 @@ from packloom.functions.numbers import floor_div
 
 def _check_slots(num_slots: int) -> None:
     if num_slots <= 0:
-        raise ValueError(f"num_slots must be positive, got {num_slots}")
+        raise ValueError(f"a sample has at least one slot, not {num_slots}")
 
 
 def sample_of(segment: Column, num_slots: int) -> Column:
