@@ -3,8 +3,8 @@
 Documents of equal sets are one class. Linked sets share a token among their first tokens by hash (the
 prefix of |s| - needed overlap + 1 tokens), so classes meet in a bucket for each such token. Tokens that
 more than ``HOT`` classes have are passed over: a class with k of them reaches k tokens further, which
-leaves every linked pair a shared token that is not hot; only classes that consist mostly of hot tokens
-meet at those. Buckets with the same members are visited once.
+leaves every linked pair a shared token that is not hot; only classes that consist mostly of hot tokens,
+or have fewer others than their prefix needs, meet at those. Buckets with the same members are visited once.
 
 In a bucket the classes form a signature tree: leaves hold bitmaps of the sets' tokens, nodes the bitmaps
 OR-combined and the range of set sizes. The tree is traversed against itself; a pair of nodes is left
@@ -297,15 +297,17 @@ def buckets(nodes: DataFrame, share: tuple[int, int], hot: int = HOT) -> DataFra
     part, whole = share
     # As in _prefix and _further, in whole numbers.
     prefix = F.col("n") - F.expr(f"({part} * n + {whole - 1}) div {whole}") + 1
-    rows = nodes.select("node", prefix.cast("int").alias("prefix"), F.posexplode("head").alias("pos", "token"))
+    rows = nodes.select("node", "n", prefix.cast("int").alias("prefix"), F.posexplode("head").alias("pos", "token"))
     counts = rows.groupBy("token").count().where("count > 1")
     shared = stage(rows.join(counts, "token"), "shared")
     # Positions of hot tokens: each one below the cut moves the cut on by one.
-    heavy = shared.where(F.col("count") > hot).groupBy("node", "prefix").agg(F.sort_array(F.collect_list("pos")).alias("hots"))
+    heavy = shared.where(F.col("count") > hot).groupBy("node", "n", "prefix").agg(F.sort_array(F.collect_list("pos")).alias("hots"))
     room = F.expr("(16 + prefix div 4) * 4 div 5 - 1")
     cut = F.aggregate("hots", F.col("prefix"), lambda c, x: F.when(x < c, c + 1).otherwise(c))
-    heavy = stage(heavy.select("node", cut.alias("cut"), (cut - F.col("prefix") > room).alias("mostly")), "heavy")
-    rows = shared.join(joinable(heavy), "node", "left")
+    # A cut beyond the last token: fewer plain tokens than the prefix has, so linked sets may share hot ones only.
+    mostly = (cut - F.col("prefix") > room) | (cut > F.col("n"))
+    heavy = stage(heavy.select("node", cut.alias("cut"), mostly.alias("mostly")), "heavy")
+    rows = shared.drop("n").join(joinable(heavy), "node", "left")
     plain = F.col("count") <= hot
     kept = (
         F.when(F.col("cut").isNull(), plain & (F.col("pos") < F.col("prefix")))

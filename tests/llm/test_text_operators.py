@@ -92,6 +92,17 @@ def test_join_equals_brute_force(spark, words, share, hot):
     assert sorted(map(tuple, got.collect())) == linked_groups(rows, words, share)
 
 
+@pytest.mark.parametrize(("words", "share"), [(4, (85, 100)), (5, (80, 100))])
+def test_join_of_short_texts_of_hot_shingles(spark, words, share):
+    """More than ``HOT`` texts of six or seven shingles that have all but one in common."""
+    same = " ".join(f"w{i}" for i in range(words + 5))
+    rows = [(i, f"{same} other{i}" if i else same) for i in range(ngram_join.HOT + 10)]
+    got = ngram_join.near_duplicates(frame(spark, rows), words, share)
+    want = linked_groups(rows, words, share)
+    assert {group for _, _, group in want} == {0}
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_join_in_slots(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BUCKET", 20)
     monkeypatch.setattr(ngram_join, "ELEMENTS", 2000)
