@@ -12,8 +12,9 @@ where the sizes, or the most tokens their bitmaps could share, rule out every li
 remains joins classes to clusters, and each cluster's whole sets go through a second tree with an exact
 check at the leaves. A bucket too large for one task is cut into slots, and pairs of slots are traversed
 in tasks of their own. A cluster too large is cut into slots as well: each is traversed alone and
-against the first one, and what the links leave outside of the cluster's largest component, usually
-little, then meets every slot. No step lists the pairs of a group: edges lead to the smallest member of
+against the first one. What the links leave outside of the cluster's largest component, usually little, is
+then cut into slots anew, and so is that component: pairs of slots with one outside are traversed, so that no
+task holds more than two slots. No step lists the pairs of a group: edges lead to the smallest member of
 what hangs together.
 
 Set elements are 64-bit hashes of shingles.
@@ -334,6 +335,24 @@ def _slots(rows: DataFrame, group: str, slots, *others: str) -> DataFrame:
     )
 
 
+def _outside(large: DataFrame, main: DataFrame) -> DataFrame:
+    """Rows ``node, component, i, j, slot, label``: what lies outside of the main components meets itself and these.
+
+    Both are cut into slots of their own, those of the main component last, and go to pairs of slots of which
+    the first is outside.
+    """
+    rows = large.select("node", "component", "label").join(main, "component")
+    outside = F.col("label") != F.col("main.label")
+    rows = rows.withColumn("away", F.ceil((F.col("elements") - F.col("main.elements")) / ELEMENTS).cast("int")).where("away > 0")
+    rows = rows.withColumn("home", F.ceil(F.col("main.elements") / ELEMENTS).cast("int"))
+    place = F.xxhash64("node", F.lit(7))
+    slot = F.when(outside, F.pmod(place, F.col("away"))).otherwise(F.col("away") + F.pmod(place, F.col("home")))
+    rows = rows.withColumn("slot", slot.cast("int"))
+    others = F.col("away") + F.when(outside, F.col("home")).otherwise(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), others - 1)))
+    return rows.select("node", "component", F.least("slot", "other").alias("i"), F.greatest("slot", "other").alias("j"), "slot", "label")
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
@@ -380,8 +399,8 @@ def near_duplicates(
     totals = members.groupBy("component").agg(F.sum("n").alias("elements"))
     slots = F.ceil(F.col("elements") / ELEMENTS).cast("int")
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("slots")).cast("int")
-    members = members.join(totals, "component").select("node", "component", slots.alias("slots")).withColumn("slot", slot)
-    members = stage(members.select("node", "component", "slots", "slot", F.col("node").alias("label")), "members")
+    members = members.join(totals, "component").select("node", "n", "component", slots.alias("slots")).withColumn("slot", slot)
+    members = stage(members.select("node", "n", "component", "slots", "slot", F.col("node").alias("label")), "members")
     texts = docs.select(F.col(id_column).cast("long").alias("node"), F.col(text_column).cast("string").alias("text"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,7 +418,7 @@ def near_duplicates(
                 common = int((b[spots] == a).sum())
                 return common >= _needed(len(a) + len(b), share)
 
-            # Two slots that meet have been, or are, traversed alone: only what lies between them is open.
+            # Two slots that meet have been, or are, traversed alone, or are linked: only what lies between them is open.
             side = slot if len(slot) and slot.min() != slot.max() else None
             component = traverse(sizes[order], [bitmap(t, 4) for t in tokens], share, linked, side, label)
             yield _edges([_stars(group.column("node").to_numpy()[order], component)])
@@ -422,10 +441,11 @@ def near_duplicates(
         reached = stage(components(links), "reached").withColumnRenamed("component", "reached")
         large = large.drop("label").join(reached, "node", "left").withColumn("label", F.coalesce("reached", "node"))
         large = stage(large.drop("reached"), "labelled")
-        main = large.groupBy("component", "label").count().groupBy("component").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-        every = F.when(F.col("label") == F.col("main"), F.array("slot")).otherwise(F.sequence(F.lit(0), F.col("slots") - 1))
-        placed = large.join(main, "component").withColumn("i", F.explode(every))
-        links = links.unionByName(checked(placed.select("node", "component", F.lit(0).alias("slot"), "label", "i", F.col("i").alias("j"))))
+        labels = large.groupBy("component", "label").agg(F.count("*").alias("count"), F.sum("n").alias("elements"))
+        main = labels.groupBy("component").agg(
+            F.max_by(F.struct("label", "elements"), F.struct("count", "label")).alias("main"), F.sum("elements").alias("elements")
+        )
+        links = links.unionByName(checked(_outside(large, main)))
     found = stage(components(links), "components").withColumnRenamed("component", "reached")
     groups = classes.join(joinable(found), "node", "left").select("c1", "c2", F.coalesce("reached", "node").alias("component_id"))
     return (

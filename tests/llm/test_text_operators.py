@@ -111,6 +111,36 @@ def test_join_in_slots(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == linked_groups(rows, 4, (85, 100))
 
 
+def test_tasks_of_a_cluster_without_links_hold_two_slots(spark, monkeypatch):
+    """Texts alike enough to be one cluster and too little to be linked."""
+    monkeypatch.setattr(ngram_join, "ELEMENTS", 800)
+    r, placed, stage = random.Random(5), [], ngram_join.stage
+
+    def watched(rows, name):
+        out = stage(rows, name)
+        placed.extend([out] if name == "placed" else [])
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", watched)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(90):
+        words = list(base)
+        for at in (r.randrange(0, 20), r.randrange(20, 40), r.randrange(40, 60)) if i % 15 else ():
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join([*words, f"end{i}"])))
+    got = ngram_join.near_duplicates(frame(spark, rows), 4, (80, 100), hot=1000)
+    want = linked_groups(rows, 4, (80, 100))
+    assert sorted(map(tuple, got.collect())) == want
+    sizes = dict((key, n) for key, n, _ in want)
+    assert len(placed) == 2
+    for held in placed:
+        groups = collections.Counter()
+        for x in held.collect():
+            groups[x["component"], x["i"], x["j"]] += sizes[x["node"]]
+        # Slots are filled by hash: 90 texts of about 58 elements over about seven slots.
+        assert max(groups.values()) < sum(sizes.values()) / 2
+
+
 def test_join_of_documents(spark, folder, texts):
     got = QUERIES["op1_ngram_join"](spark, folder).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, got.collect())) == linked_groups(texts, 4, (85, 100))
