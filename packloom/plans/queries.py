@@ -804,6 +804,8 @@ def resume_latest(spark: SparkSession, folder: str) -> DataFrame:
 
 MAX_SAMPLES = 3
 ROW_TOKENS = 40
+#: Samples that a row of ``_token_table`` holds: segments 0 to 11, three slots each.
+ROW_SAMPLES = 4
 
 
 def _token_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -981,8 +983,8 @@ def anchor_losses(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def evaluate_packed(spark: SparkSession, folder: str) -> DataFrame:
-    """Token vectors of packed rows to metrics: pool, normalise, project, normalise, score."""
-    pooled = pooling.last_token_vectors(_token_table(spark, folder), MAX_SAMPLES)
+    """Token vectors of packed rows to metrics: pool, normalise, project, normalise, score. All samples of a row."""
+    pooled = pooling.last_token_vectors(_token_table(spark, folder), ROW_SAMPLES)
     unit = pooled.withColumn("vec", normalize("vec"))
     projected = pooling.project(unit, projection_layers([VECTOR_SIZE, 32])).withColumn("vec", normalize("vec"))
     vectors = projected.select(

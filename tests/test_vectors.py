@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from packloom.functions.vectors import cosine, dot, normalize
 from packloom.operators import contrastive, pooling, vocabulary
-from packloom.plans.queries import projection_layers
+from packloom.plans.queries import evaluate_packed, projection_layers
 from pyspark.sql import functions as F
 
 
@@ -208,3 +208,11 @@ def test_release_deletes_staged_tables(spark):
     staged = stage(spark.range(4), "y")
     assert staged.count() == 4 and release(spark) >= 2
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_evaluation_takes_all_samples_of_a_row(spark, tmp_path):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=64).tolist()) for i in range(160)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    # Four rows of twelve segments are one batch of sixteen samples.
+    assert [(x["batch_id"], x["valid_samples"]) for x in evaluate_packed(spark, str(tmp_path)).collect()] == [(0, 16)]
