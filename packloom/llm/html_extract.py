@@ -8,7 +8,9 @@ is kept. The potentials are counts over labelled pages (``html_labels``).
 
 Defined cases: a null or empty page, or one without content, has an empty text. Unclosed and stray tags
 are repaired as browsers do for block elements; a page that breaks off ends there. Script, style and
-other elements that show no text are left out with their content. White space is what str.split()
+other elements that show no text are left out with their content. Raw text and templates without an end
+tag reach to the end of the page; the others end where an element around them does, drawings and formulas
+also at the next block tag. A head has no text of its own but what a browser would move to the body. White space is what str.split()
 takes for it. Repeated rows are pages of their own, an empty table gives an empty result, other columns
 are left out.
 """
@@ -36,8 +38,12 @@ _BLOCKS = set(
     "caption label button".split()
 )
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_UNSEEN = set("script style noscript template head title iframe svg math select textarea object canvas audio video datalist".split())
+_UNSEEN = set("script style noscript template title iframe svg math select textarea object canvas audio video datalist".split())
 _RAW = set("script style title textarea noscript iframe".split())
+# Unseen elements that end with an element around them; in drawings and formulas only some hold blocks.
+_ENCLOSED = _UNSEEN - _RAW - {"template"}
+_DRAWN = {"svg", "math"}
+_HOLDS_BLOCKS = set("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _ENDS_P = _BLOCKS - {"html", "body", "label", "button"}
 # A start tag closes an open element of these kinds, looked for up to the nearest element of the second set.
 _SIBLINGS = {
@@ -118,6 +124,62 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 return False
         return False
 
+    def closes_open(tag: str, inner: Counter) -> bool:
+        """True if a start tag closes an open element without an end tag, with no element of ``inner`` in between."""
+        for kinds, stop in ([_SIBLINGS["p"]] if tag in _ENDS_P else []) + ([_SIBLINGS[tag]] if tag in _SIBLINGS else []):
+            if any(inner[kind] for kind in kinds | stop):
+                continue
+            for i in reversed(stack):
+                if nodes[i].tag in kinds:
+                    return True
+                if nodes[i].tag in stop:
+                    break
+        return False
+
+    def beyond(tag: str, at: int) -> int:
+        """Where an enclosed element ends whose start tag ends at ``at``.
+
+        That is after its end tag, unless an element around it ends before; then it is where the first tag stands
+        that could not be inside.
+        """
+        opened: list[str] = []
+        inner: Counter = Counter()
+        around = Counter(nodes[i].tag for i in stack)
+        first = -1
+        while (at := page.find("<", at)) >= 0:
+            token = _TOKEN.match(page, at)
+            if token is None:
+                at += 1
+                continue
+            closing, name, attributes = token.group(1, 2, 3) if token.group(2) else token.group(4, 5, 6)
+            name = (name or "").lower()
+            if name and closing:
+                if inner[name]:
+                    while (last := opened.pop()) != name:
+                        inner[last] -= 1
+                    inner[name] -= 1
+                elif name == tag:
+                    return token.end()
+                elif around[name]:
+                    return first if first >= 0 else at
+                elif first < 0:
+                    first = at
+            elif name:
+                if first >= 0 and name == tag:
+                    return first
+                bare = tag not in _DRAWN or any(inner[kind] for kind in _HOLDS_BLOCKS)
+                if first < 0 and ((not bare and name in _BLOCKS) or closes_open(name, inner)):
+                    first = at
+                if name in _RAW and tag not in _DRAWN:
+                    over = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, token.end())
+                    at = over.end() if over else end
+                    continue
+                if name not in _VOID and not attributes.endswith("/"):
+                    opened.append(name)
+                    inner[name] += 1
+            at = token.end()
+        return first if first >= 0 else end
+
     at, end = 0, len(page)
     while at < end:
         mark = page.find("<", at)
@@ -144,10 +206,11 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in _UNSEEN:
             if not attributes.endswith("/") or tag in _RAW:
                 pieces.append(" ")
-                over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                if tag == "head" and over is None:
-                    over = re.compile(r"(?=<body[\s>])", re.I).search(page, at)
-                at = over.end() if over else end
+                if tag in _ENCLOSED:
+                    at = beyond(tag, at)
+                else:
+                    over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    at = over.end() if over else end
             continue
         if tag == "a":
             state[0] = 1

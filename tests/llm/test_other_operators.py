@@ -82,6 +82,43 @@ def test_broken_pages(model, page):
     assert isinstance(html_extract.main_text(page, model), str)
 
 
+SAID = "The harbour was rebuilt over eleven years, and each of its walls was measured twice before it was let into the sea."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html><head><title>t</title><p>{}</html>",
+        "<html><head><meta charset=x><link rel=y href=z><style>p {{}}</style><p>{}<p>More.</html>",
+        "<body><article><p><svg viewBox='0 0 1 1'><path d='M0'></p><p>{}</p></article><p><svg><path/></svg></p></body>",
+        "<body><article><svg><path d='M0'><p>{}</p></article></body>",
+        "<body><article><div><video src=a><p>none</div><p>{}</p></article><video src=b></video></body>",
+        "<body><article><div><audio src=a></div><p>{}</p></article></body>",
+        "<body><article><div><canvas></div><p>{}</p><div><canvas></canvas></div></article></body>",
+        "<body><article><div><span><video><source src=a></span></div><p>{}</p></article></body>",
+        "<body><ul><li><svg><title>a</title><li>{}</ul></body>",
+    ],
+)
+def test_open_elements_do_not_swallow_the_page(page):
+    blocks = [text for _, text in html_extract.parse(page.format(SAID))[1]]
+    assert SAID in blocks
+    assert not {"t", "a", "p {}"} & set(blocks)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><svg><foreignObject><div>none</div></foreignObject><text>none</text></svg><p>{}</p></body>",
+        "<body><p><video src=a><p>none</p><div>none</div></video></p><p>{}</p></body>",
+        "<body><select><option>none<option>none</select><p>{}</p><object><p>none</p><object>none</object></object></body>",
+        "<head><title>none</title><script>'<p>none'</script></head><body><p>{}</p><script>none",
+        "<p>{}</p><div><canvas><script>'</div>none'</script>none</canvas></div><template><p>none",
+    ],
+)
+def test_unseen_elements_are_left_out_whole(page):
+    assert [text for _, text in html_extract.parse(page.format(SAID))[1]] == [SAID]
+
+
 def test_odd_pages(spark, model):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article><p>x</p></article>"), (2, "u", "<article><p>" + "y " * 200_000 + "</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
