@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass, replace
 
-# Defaults and the stand-in for "no sample cap".
+# Defaults and the least stand-in for "no sample cap" (a pack has no more samples than tokens).
 DEFAULT_SEQ_LENGTH = 32768
 DEFAULT_MAX_SAMPLES = 128
 DEFAULT_MAX_SAMPLE_LENGTH = 5120
@@ -59,7 +59,7 @@ class PackConfig:
 
     @property
     def sample_cap(self) -> int:
-        return NO_SAMPLE_CAP if self.max_samples is None else self.max_samples
+        return max(NO_SAMPLE_CAP, self.seq_length) if self.max_samples is None else self.max_samples
 
     @property
     def shuffle_buffer(self) -> int | None:

@@ -98,3 +98,7 @@ def test_parameters():
     with pytest.raises(ValueError):
         PackConfig(eos_token_id=1, strategy="best")
     assert PackConfig(eos_token_id=1, max_samples=None).sample_cap == 1_000_000
+
+
+def test_no_sample_cap_in_long_rows():
+    assert PackConfig(eos_token_id=1, seq_length=3_000_000, max_samples=None).sample_cap >= 3_000_000
