@@ -11,7 +11,9 @@ from packloom.llm.bin_packing import pack_documents
 from packloom.llm.chat_format import chat_digests, format_chats
 from packloom.llm.common import stage, table
 from packloom.llm.html_extract import extract
+from packloom.llm.merkle_manifest import audit
 from packloom.llm.ngram_join import near_duplicates
+from packloom.llm.prefix_trie import family_trie
 from packloom.llm.quality_fm import score, train
 from packloom.llm.sharding import shard
 from packloom.llm.source_mixing import count_words, mix
@@ -206,3 +208,109 @@ SELECT conv_id, count(*) AS n_turns,
   sum(length('### ') + role_chars + length(': ') + text_chars + length('</turn>') + 1)::BIGINT AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: list_transform(range(0, 8), lambda k: ((ascii(({text})[i]) >> k) & 1)::BIGINT)))"
+    step = "xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the trie of all conversations, families of twenty sharing up to three first turns."""
+    return family_trie(table(spark, folder, "conversations"))
+
+
+ORACLES["op11_prefix_trie"] = rf"""
+WITH said AS MATERIALIZED (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+ids AS MATERIALIZED (
+  SELECT conv_id, conv_id - conv_id % 20 AS head, {crc32_sql("conv_id::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM said)),
+turns AS (
+  SELECT ids.conv_id, place, said, words FROM ids JOIN said ON said.conv_id = ids.head AND place < h
+  UNION ALL
+  SELECT ids.conv_id, place, said, words FROM ids JOIN said ON said.conv_id = ids.conv_id AND place >= h),
+paths AS MATERIALIZED (
+  SELECT ids.conv_id, coalesce(list(said ORDER BY place) FILTER (place IS NOT NULL), []) AS path, list(words ORDER BY place) AS words
+  FROM ids LEFT JOIN turns ON turns.conv_id = ids.conv_id GROUP BY ids.conv_id),
+members AS (SELECT conv_id, d, path[1:d] AS key, len(path) = d AS ends, words[d] AS words FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)),
+nodes AS MATERIALIZED (
+  SELECT key, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(any_value(words) FILTER (d > 0), 0) AS saved,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM members GROUP BY key, d),
+counted AS MATERIALIZED (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children
+  FROM nodes n LEFT JOIN (SELECT key[1:d - 1] AS key, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL) c ON c.d = n.d AND c.key = n.key),
+subtrees AS (
+  SELECT key[1:up] AS key, up AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM counted) GROUP BY ALL)
+SELECT n.conv_id, n.d AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s ON s.d = n.d AND s.key = n.key LEFT JOIN nodes p ON p.d = n.d - 1 AND p.key = n.key[1:n.d - 1]
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and whether a copy still belongs to the tree."""
+    return audit(table(spark, folder, "documents"))
+
+
+def _merkle_sql(floors: int = 6) -> str:
+    """Trees of up to 16 ** floors leaves, floor by floor."""
+
+    def leaf(text: str) -> str:
+        values = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    def grown(name: str) -> str:
+        parts = []
+        for k in range(1, floors + 1):
+            over = "OVER (PARTITION BY tree, place // 16 ORDER BY place ROWS BETWEEN"
+            before = f"string_agg(digest, '') {over} UNBOUNDED PRECEDING AND 1 PRECEDING)"
+            after = f"string_agg(digest, '') {over} 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+            parts.append(
+                f"{name}_run{k} AS MATERIALIZED (SELECT tree, place, n > 1 AS used, CASE WHEN n > 1 THEN coalesce({before}, '') ELSE '' END AS l, "
+                f"CASE WHEN n > 1 THEN coalesce({after}, '') ELSE '' END AS r FROM {name}{k - 1})"
+            )
+            parts.append(
+                f"{name}{k} AS MATERIALIZED (SELECT tree, place // 16 AS place, CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY place)) "
+                f"ELSE any_value(digest) END AS digest, (n + 15) // 16 AS n FROM {name}{k - 1} GROUP BY tree, place // 16, n)"
+            )
+        return ",\n".join(parts)
+
+    def climb(name: str, tree: str, place: str, rows: str) -> str:
+        joins = " ".join(
+            f"JOIN {name}_run{k} r{k} ON r{k}.tree = {tree} AND r{k}.place = {place} // {16 ** (k - 1)}" for k in range(1, floors + 1)
+        )
+        fold = "folded"
+        for k in range(1, floors + 1):
+            fold = f"CASE WHEN r{k}.used THEN sha256(r{k}.l || {fold} || r{k}.r) ELSE {fold} END" if k == 1 else f"(SELECT CASE WHEN r{k}.used THEN sha256(r{k}.l || x || r{k}.r) ELSE x END FROM (SELECT {fold} AS x))"
+        proof = " || ".join(f"r{k}.l || r{k}.r" for k in range(1, floors + 1))
+        return f"SELECT x0.* EXCLUDE (folded, proof), {fold} AS folded, proof || {proof} AS proof FROM {rows} x0 {joins}"
+
+    copied = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    tampered = f"doc_id IS NOT NULL AND {crc32_sql('doc_id::VARCHAR')} % 5 = 0"
+    return f"""
+WITH hashed AS MATERIALIZED (
+  SELECT doc_id, source, {leaf('text')} AS leaf, CASE WHEN {tampered} THEN {leaf(copied)} ELSE {leaf('text')} END AS claim FROM documents),
+ranked AS MATERIALIZED (
+  SELECT doc_id, leaf, claim, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+own0 AS MATERIALIZED (SELECT tree, place, leaf AS digest, n FROM ranked),
+{grown('own')},
+top0 AS MATERIALIZED (SELECT 0 AS tree, tree AS place, digest, count(*) OVER () AS n FROM own{floors}),
+{grown('top')},
+asked AS (SELECT doc_id, leaf, ranked.tree, ranked.place, claim AS folded, '' AS proof FROM ranked),
+half AS MATERIALIZED ({climb('own', 'x0.tree', 'x0.place', 'asked')}),
+full_way AS MATERIALIZED ({climb('top', '0', 'x0.tree', 'half')})
+SELECT doc_id, leaf, own{floors}.digest AS subroot, top{floors}.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = top{floors}.digest AS verified
+FROM full_way JOIN own{floors} USING (tree) CROSS JOIN top{floors}
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _merkle_sql()
