@@ -19,6 +19,7 @@ from packloom.llm.sharding import shard
 from packloom.llm.source_mixing import count_words, mix
 from packloom.llm.suffix_dedup import span_digests
 from packloom.llm.topk_search import top_k, whole
+from packloom.llm.window_dedup import window_digests
 from packloom.llm.winnowing import compare_with_next
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -314,3 +315,21 @@ FROM full_way JOIN own{floors} USING (tree) CROSS JOIN top{floors}
 
 
 ORACLES["op12_merkle_manifest"] = _merkle_sql()
+
+
+@query
+def op13_window_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Windows of twenty words that occur before, in all documents: how much goes, and a digest of the rest."""
+    return window_digests(table(spark, folder, "documents"))
+
+
+ORACLES["op13_window_dedup"] = r"""
+WITH words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS said FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM words)),
+again AS MATERIALIZED (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY said ORDER BY doc_id, i) > 1),
+gone AS MATERIALIZED (SELECT DISTINCT doc_id, i + k AS spot FROM again, range(0, 20) AS r(k)),
+spoken AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM words),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY spot) AS said FROM spoken ANTI JOIN gone USING (doc_id, spot) GROUP BY doc_id)
+SELECT words.doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(said, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
+"""
