@@ -186,15 +186,16 @@ SEGMENT, ONE_WINDOW, REPEAT = 0, 1, 2
 
 def _rows(kind: int, h1=None, h2=None, doc=None, start=None, n=None, parts=None) -> pa.RecordBatch:
     size = len(doc)
-    none = lambda k: pa.nulls(size, k)
+    if h1 is None:  # nothing to group by: any task will do
+        h1 = mix(doc.view(np.uint64) * _GOLDEN + start.view(np.uint64))
     columns = [
         pa.array(np.full(size, kind, np.int32)),
-        none(pa.int64()) if h1 is None else pa.array(h1.view(np.int64)),
-        none(pa.int32()) if h2 is None else pa.array(h2),
+        pa.array(h1.view(np.int64)),
+        pa.nulls(size, pa.int32()) if h2 is None else pa.array(h2),
         pa.array(doc),
         pa.array(start),
-        none(pa.int64()) if n is None else pa.array(n),
-        none(pa.binary()) if parts is None else pa.array(parts, pa.binary()),
+        pa.nulls(size, pa.int64()) if n is None else pa.array(n),
+        pa.nulls(size, pa.binary()) if parts is None else pa.array(parts, pa.binary()),
     ]
     return pa.RecordBatch.from_arrays(columns, ["kind", "h1", "h2", "doc", "start", "n", "bytes"])
 
@@ -262,21 +263,35 @@ def _segments(docs: DataFrame, bits, cells: int, window: int, gram: int) -> Data
     return docs.select("doc", "text").mapInArrow(read, _KEYED)
 
 
+def _by_key(rows: DataFrame) -> DataFrame:
+    """Rows to group by key and place, and behind them those known to be repeated."""
+    return rows.repartition("h1").sortWithinPartitions("kind", "h1", "h2", "doc", "start")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.RecordBatch]]:
+    """Of each batch of ``_by_key``: rows to group, which of them are the first of their key, rows known to be repeated."""
+    last = None
+    for batch in batches:
+        known = batch.column("kind").to_numpy() == REPEAT
+        keyed = batch.filter(pa.array(~known))
+        h1, h2 = (keyed.column(c).to_numpy() for c in ("h1", "h2"))
+        new = _changes(h1, h2)
+        if len(new):
+            new[0] = last != (h1[0], h2[0])
+            last = (h1[-1], h2[-1])
+        yield keyed, new, batch.filter(pa.array(known))
+
+
 def _first_windows(rows: DataFrame, window: int) -> DataFrame:
     """Windows of the first segment of each kind (the first of equal ones in a batch), and what is repeated."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h1, h2, doc, start, n = (batch.column(c).to_numpy() for c in ("h1", "h2", "doc", "start", "n"))
-            new = _changes(h1, h2)
-            new[0] = last != (h1[0], h2[0])
-            last = (h1[-1], h2[-1])
+        for keyed, new, known in _grouped(batches):
+            yield known
+            doc, start, n = (keyed.column(c).to_numpy() for c in ("doc", "start", "n"))
             yield _rows(REPEAT, doc=doc[~new], start=start[~new], n=n[~new])
             own = np.flatnonzero(new)
-            for at, _, data, offsets in sections(batch.column("bytes").take(pa.array(own))):
+            for at, _, data, offsets in sections(keyed.column("bytes").take(pa.array(own))):
                 words = _Words(data, offsets)
                 begins = np.searchsorted(words.rows, np.arange(len(offsets)))
                 first = np.flatnonzero(words.rows[: max(len(words.rows) - window + 1, 0)] == words.rows[window - 1 :])
@@ -290,27 +305,19 @@ def _first_windows(rows: DataFrame, window: int) -> DataFrame:
                 yield _rows(REPEAT, doc=d, start=s, n=count)
                 yield _rows(ONE_WINDOW, w1[kept], w2[kept], doc[owner[kept]], where[kept])
 
-    rows = rows.repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start")
-    return rows.select("h1", "h2", "doc", "start", "n", "bytes").mapInArrow(read, _KEYED)
+    return _by_key(rows).mapInArrow(read, _KEYED)
 
 
 def _later_windows(rows: DataFrame) -> DataFrame:
-    """All but the first of equal windows, as runs ``doc, start, n``."""
+    """All but the first of equal windows, and what is known to be repeated, as runs ``doc, start, n``."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            h1, h2, doc, start = (batch.column(c).to_numpy() for c in ("h1", "h2", "doc", "start"))
-            new = _changes(h1, h2)
-            new[0] = last != (h1[0], h2[0])
-            last = (h1[-1], h2[-1])
-            columns = _joined(doc[~new], start[~new])
+        for keyed, new, known in _grouped(batches):
+            yield known.select(["doc", "start", "n"])
+            columns = _joined(*(keyed.column(c).to_numpy()[~new] for c in ("doc", "start")))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "start", "n"])
 
-    rows = rows.select("h1", "h2", "doc", "start").repartition("h1").sortWithinPartitions("h1", "h2", "doc", "start")
-    return rows.mapInArrow(read, "doc long, start long, n long")
+    return _by_key(rows.drop("bytes")).mapInArrow(read, "doc long, start long, n long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most_cells: int = MOST_CELLS) -> DataFrame:
@@ -325,10 +332,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, mo
     while cells < size // 8 and cells < most_cells:  # some five cells for an anchor
         cells *= 2
     bits = spark.sparkContext.broadcast(sketch(docs, cells, window, gram))
-    segments = stage(_segments(docs, bits, cells, window, gram), "segments")
-    windows = stage(_first_windows(segments.where(F.col("kind") == SEGMENT), window), "windows")
-    runs = [rows.where(F.col("kind") == REPEAT).select("doc", "start", "n") for rows in (segments, windows)]
-    return runs[0].unionByName(runs[1]).unionByName(_later_windows(windows.where(F.col("kind") == ONE_WINDOW)))
+    segments = _segments(docs, bits, cells, window, gram)
+    return _later_windows(_first_windows(segments, window))
 
 
 def _kept(text: np.ndarray, starts: np.ndarray, n: np.ndarray, window: int) -> tuple[int, int, bytes]:
