@@ -11,6 +11,7 @@ from packloom.plans.queries import (
     ORDERS,
     RANDOM_SEED,
     RESUME,
+    ROW_SAMPLES,
     ROW_TOKENS,
     SEED,
     SMALL_WINDOW,
@@ -645,7 +646,11 @@ ORACLES["resume_latest"] = ctes(CHECKPOINTS) + " SELECT checkpoint_step, name FR
 
 # --- vectors ------------------------------------------------------------------------------------
 
-TOKEN_TABLE = f"""
+
+
+def token_table(samples: int) -> str:
+    """Token vectors of the rows, and the last one of each segment of their first ``samples`` samples."""
+    return f"""
 token_rows AS (
   SELECT vec_id // {ROW_TOKENS} AS pack_id, (vec_id % {ROW_TOKENS})::INTEGER AS pos,
     CASE WHEN vec_id % {ROW_TOKENS} < 36 THEN ((vec_id % {ROW_TOKENS}) // 3)::INTEGER ELSE -1 END AS segment_id,
@@ -654,10 +659,13 @@ token_rows AS (
 ),
 pooled AS (
   SELECT pack_id, segment_id, (segment_id // 3)::INTEGER AS sample_id, (segment_id % 3)::INTEGER AS slot, arg_max(vec, pos) AS vec
-  FROM token_rows WHERE attended AND segment_id >= 0 AND segment_id < {MAX_SAMPLES * 3} GROUP BY pack_id, segment_id
+  FROM token_rows WHERE attended AND segment_id >= 0 AND segment_id < {samples * 3} GROUP BY pack_id, segment_id
 )"""
 
 
+TOKEN_TABLE = token_table(MAX_SAMPLES)
+
+
 def unit(vector: str) -> str:
     return f"""list_transform({vector}, lambda x: x / sqrt(greatest(list_dot_product({vector}, {vector}), 1e-8)))"""
 
@@ -796,7 +804,7 @@ ORACLES["anchor_losses"] = ctes(slot_vectors(1, 32), losses([0.07], [1], 1)) + "
 SELECT batch_id, sample_key, round(pos_sim, 6) AS pos_sim, round(neg_max, 6) AS neg_max, round(neg_lse, 6) AS neg_lse, round(loss, 6) AS loss
 FROM anchor_loss"""
 ORACLES["evaluate_packed"] = ctes(
-    TOKEN_TABLE,
+    token_table(ROW_SAMPLES),
     f"""
 scaled AS (SELECT pack_id || '-' || segment_id AS id, pack_id, sample_id, slot, {unit("vec")} AS vec FROM pooled),
 each AS (SELECT id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS dim FROM scaled)""",

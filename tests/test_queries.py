@@ -37,12 +37,17 @@ def rows(frame: pd.DataFrame) -> list:
     return sorted(values, key=repr)
 
 
+def kind(column: pd.Series) -> str:
+    """Type of a column; numbers with nulls are floats to one side and nullable whole numbers to the other."""
+    return "number" if column.isna().any() and str(column.dtype) in ("float64", "Int64") else str(column.dtype)
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = queries()[name](spark, FOLDER).toPandas()
     want = duck.execute(oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert [str(got[c].dtype) for c in sorted(got)] == [str(want[c].dtype) for c in sorted(want)] or not len(got)
+    assert [kind(got[c]) for c in sorted(got)] == [kind(want[c]) for c in sorted(want)] or not len(got)
     assert rows(got) == rows(want)
 
 
