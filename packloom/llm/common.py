@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packloom.operators.positions import dense_positions
 from packloom.workspace import ship_package, stage
 
-__all__ = ["begin", "fresh", "joinable", "sections", "stage", "table", "unique_ids", "word_spans"]
+__all__ = ["begin", "fresh", "joinable", "lean", "numbered", "sections", "stage", "table", "unique_ids", "word_spans"]
 
 # Rows of two or three longs that may be broadcast: about 100 MB in an executor. Larger sides are joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -49,6 +51,35 @@ def unique_ids(df: DataFrame, id_column: str = "doc_id") -> bool:
     return rows == ids
 
 
+def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Distinct ``id, text`` rows with ``doc``: their places in the order of ids (null last), then texts.
+
+    For tables whose ids are null or not unique; the numbers are unique, whatever an id occurs with.
+    """
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text")).distinct()
+    rows = dense_positions(rows, F.col("id").isNull(), F.col("id"), F.xxhash64("text"), F.col("text"), name="doc")
+    return stage(rows.select("id", "text", F.col("doc").cast("long").alias("doc")), "numbered")
+
+
+def lean(read: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``read`` of a mapInArrow, at whose end the worker gives back memory it only keeps for later.
+
+    Workers go on from stage to stage; without this, each holds what the largest task so far needed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from read(batches)
+        finally:
+            _powers.clear()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string (UTF-8) or binary column and the offsets of its rows; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

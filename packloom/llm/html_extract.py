@@ -4,7 +4,8 @@ Every block-level element is a variable: content, other, or the frame around bot
 words of class, id and role, share of linked text, amount of own text) give a potential for each state,
 parent and child share a potential that depends on what kind of element the child is. Sum-product messages run upwards and then
 downwards, which gives the exact marginals of the tree; text of elements whose marginal reaches one half
-is kept. The potentials are counts over labelled pages (``html_labels``).
+is kept. The potentials are counts over labelled pages (``html_labels``). Text that stands right in the body, or
+next to block elements, is an anonymous paragraph, as in a browser, and so a variable of its own.
 
 Defined cases: a null or empty page, or one without content, has an empty text. Unclosed and stray tags
 are repaired as browsers do for block elements; a page that breaks off ends there. Script, style and
@@ -55,6 +56,8 @@ _SIBLINGS = {
     "tr": ({"tr"}, {"table", "tbody", "thead", "tfoot"}),
     "p": ({"p"}, {"td", "th", "li", "div", "article", "section", "table", "button", "blockquote"}),
 }
+# Elements whose own text is no part of them.
+_BARE = {"#page", "html", "body"}
 _FLOW = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tbody thead tr td th caption figcaption".split())
 
 _TOKEN = re.compile(
@@ -88,8 +91,10 @@ def _names(attributes: str) -> tuple[str, ...]:
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block-level elements, parents first, and the text blocks in page order with the element they lie in."""
     nodes = [Node("#page", -1, (), 0)]
-    blocks: list[tuple[int, str]] = []
+    runs: list[tuple[int, str, int]] = []  # element, text, linked characters
     stack = [0]
+    open_tags: Counter = Counter()
+    last_ends: dict[str, int] = {}
     pieces: list[str] = []
     state = [0, 0]  # open links, linked characters of the block
 
@@ -98,11 +103,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             text = " ".join("".join(pieces).split())
             pieces.clear()
             if text:
-                node = nodes[stack[-1]]
-                blocks.append((stack[-1], text))
-                node.own += len(text)
-                node.chars += len(text)
-                node.linked += min(state[1], len(text))
+                runs.append((stack[-1], text, min(state[1], len(text))))
         state[1] = 0
 
     def say(raw: str) -> None:
@@ -113,10 +114,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 state[1] += len(text)
 
     def close(kinds: set[str], stop: set[str] | frozenset = frozenset()) -> bool:
+        if not any(open_tags[kind] for kind in kinds):
+            return False
         for depth in range(len(stack) - 1, 0, -1):
             tag = nodes[stack[depth]].tag
             if tag in kinds:
                 flush()
+                for i in stack[depth:]:
+                    open_tags[nodes[i].tag] -= 1
                 del stack[depth:]
                 state[0] = 0
                 return True
@@ -127,7 +132,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     def closes_open(tag: str, inner: Counter) -> bool:
         """True if a start tag closes an open element without an end tag, with no element of ``inner`` in between."""
         for kinds, stop in ([_SIBLINGS["p"]] if tag in _ENDS_P else []) + ([_SIBLINGS[tag]] if tag in _SIBLINGS else []):
-            if any(inner[kind] for kind in kinds | stop):
+            if any(inner[kind] for kind in kinds | stop) or not any(open_tags[kind] for kind in kinds):
                 continue
             for i in reversed(stack):
                 if nodes[i].tag in kinds:
@@ -144,9 +149,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         """
         opened: list[str] = []
         inner: Counter = Counter()
-        around = Counter(nodes[i].tag for i in stack)
         first = -1
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", page, re.I)), default=-1)
         while (at := page.find("<", at)) >= 0:
+            if first >= 0 and at > last_ends[tag]:
+                return first  # no end tag follows
             token = _TOKEN.match(page, at)
             if token is None:
                 at += 1
@@ -160,7 +168,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     inner[name] -= 1
                 elif name == tag:
                     return token.end()
-                elif around[name]:
+                elif open_tags[name]:
                     return first if first >= 0 else at
                 elif first < 0:
                     first = at
@@ -229,7 +237,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         marked = CONTENT if "data-main" in attributes else OTHER if "data-other" in attributes else parent.label
         nodes.append(Node(tag, stack[-1], _names(attributes) if attributes else (), marked))
         stack.append(len(nodes) - 1)
+        open_tags[tag] += 1
     flush()
+    blocks = []
+    mixed = {node.parent for node in nodes} | {i for i, node in enumerate(nodes) if node.tag in _BARE}
+    for at, text, linked in runs:
+        if at in mixed:
+            nodes.append(Node("p", at, (), nodes[at].label))
+            at = len(nodes) - 1
+        blocks.append((at, text))
+        nodes[at].own += len(text)
+        nodes[at].chars += len(text)
+        nodes[at].linked += linked
     for node in reversed(nodes[1:]):
         nodes[node.parent].chars += node.chars
         nodes[node.parent].linked += node.linked

@@ -20,9 +20,10 @@ what hangs together.
 Set elements are 64-bit hashes of shingles.
 
 Defined cases: null and empty texts, and texts without a word, have an empty set and no link; texts with
-fewer words than a shingle have one element. Rows that share a doc_id are documents of their own with
-one node. A null doc_id takes part, and stands for its group only if there is no other. An empty table
-gives an empty result. Other columns are left out.
+fewer words than a shingle have one element. Rows that share a doc_id are documents of their own, which
+their texts alone can link; repeated rows are one document and each get its result. A null doc_id takes part
+like any other, and stands for its group only if there is no other. An empty table gives an empty result.
+Other columns are left out.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.common import begin, fresh, joinable, lower_ascii, mix, sections, stage, unique_ids, word_hashes
+from packloom.llm.common import begin, fresh, joinable, lean, lower_ascii, mix, numbered, sections, stage, unique_ids, word_hashes
 from packloom.llm.graph import components
 
 # A token of more classes is hot.
@@ -287,7 +288,7 @@ def signatures(docs: DataFrame, words: int, share: tuple[int, int], id_column: s
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n", "c1", "c2", "head", "bits"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(read, "doc_id long, n long, c1 long, c2 long, head array<long>, bits binary")
+    return rows.mapInArrow(lean(read), "doc_id long, n long, c1 long, c2 long, head array<long>, bits binary")
 
 
 def buckets(nodes: DataFrame, share: tuple[int, int], hot: int = HOT) -> DataFrame:
@@ -367,8 +368,23 @@ def near_duplicates(
     ``component_id`` is the smallest doc_id that links reach.
     """
     begin(docs)
+    if unique_ids(docs, id_column):
+        return _linked(docs, words, share, hot, id_column, text_column)
+    # Ids that are null or not unique: the distinct rows are numbered in the order of ids, a null last.
+    rows = numbered(docs, id_column, text_column)
+    found = stage(_linked(rows, words, share, hot, "doc", "text"), "linked")
+    found = found.withColumnRenamed("doc_id", "doc").withColumnRenamed("component_id", "first")
+    found = found.join(rows.select(F.col("doc").alias("first"), F.col("id").alias("component_id")), "first")
+    found = found.join(rows, "doc").select("id", F.col("text").alias("own"), "n_shingles", "component_id")
+    each = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & F.col("text").eqNullSafe(F.col("own"))
+    return each.join(found, same).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked(docs: DataFrame, words: int, share: tuple[int, int], hot: int, id_column: str, text_column: str) -> DataFrame:
+    """``near_duplicates`` of documents with unique ids."""
     sets = stage(signatures(docs, words, share, id_column, text_column), "signatures")
-    classes = stage(sets.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"), "classes")
+    classes = stage(sets.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("node")), "classes")
     leaders = joinable(classes.select("c1", "c2", F.col("node").alias("doc_id")))
     nodes = sets.where("n > 0").join(leaders, ["c1", "c2", "doc_id"], "left_semi")
     nodes = nodes.withColumnRenamed("doc_id", "node")
@@ -392,7 +408,7 @@ def near_duplicates(
                 found = []
         yield _edges(found)
 
-    clusters = stage(components(rows.mapInArrow(cluster, "a long, b long")), "clusters")
+    clusters = stage(components(rows.mapInArrow(lean(cluster), "a long, b long")), "clusters")
 
     # Whole sets, once for each class that has a candidate; the tree of each cluster ends in exact checks.
     members = nodes.select("node", "n").join(clusters, "node")
@@ -427,7 +443,7 @@ def near_duplicates(
         """Links found in each group ``component, i, j`` of ``node, slot, label`` rows."""
         rows = texts.join(joinable(stage(placed, "placed")), "node").select("component", "i", "j", "slot", "label", "node", "text")
         rows = rows.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-        return stage(rows.mapInArrow(check, "a long, b long"), "linked")
+        return stage(rows.mapInArrow(lean(check), "a long, b long"), "linked")
 
     alone = F.struct(F.col("slot").alias("i"), F.col("slot").alias("j"))
     first = F.struct(F.lit(0).alias("i"), F.col("slot").alias("j"))
@@ -465,8 +481,10 @@ def keep_one(docs: DataFrame, groups: DataFrame, *, id_column: str = "doc_id") -
     if unique_ids(docs, id_column):
         first = stage(groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)), "first")
         return docs.join(joinable(first), same, "left_semi")
-    first = groups.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(first, same, "left_semi")
-    order = Window.partitionBy(id_column).orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != id_column))
-    kept = kept.withColumn(place, F.row_number().over(order))
-    return kept.where((F.col(place) == 1) | F.col(id_column).isNull()).drop(place)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    kept = docs.where(F.col(id_column).isNotNull()).join(first, same, "left_semi")
+    # Combined before the shuffle: an id of very many rows is one row a task.
+    others = [F.col(f"`{c}`") for c in docs.columns if c != id_column]
+    kept = kept.groupBy(id_column).agg(F.min(F.struct(*others)).alias(place))
+    kept = kept.select(*(F.col(f"`{c}`") if c == id_column else F.col(place)[c].alias(c) for c in docs.columns))
+    return kept.unionByName(docs.where(F.col(id_column).isNull()))

@@ -5,8 +5,8 @@ structure statistics (letter case, digits, marks, lengths, repetition of words a
 score is the logistic of bias + w.x + sum of pairwise interactions <v_i, v_j> x_i x_j, where the
 interactions cost linear time: half of the sum over factors of (sum v x)^2 - sum (v x)^2.
 
-It is fitted on at most ``SAMPLE`` labelled rows, those with the smallest hash of their id; that is the
-only bound. Every row of a table is scored, whole.
+It is fitted on at most ``SAMPLE`` labelled documents, those with the smallest hash of their id, and of the
+rows that share an id on one (the text with the smallest hash); that is the only bound. Every row of a table is scored, whole.
 
 Defined cases: a null text is scored as an empty one, an empty text has the bins of its statistics and no
 word. Labels that are null or belong to no document are not used; a document with several labels
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packloom.llm.common import begin, lower_ascii, prefix_hash, sections, span_hash, word_spans
+from packloom.llm.common import begin, lean, lower_ascii, prefix_hash, sections, span_hash, word_spans
 
 #: Labelled rows the model is fitted on, at most.
 SAMPLE = 12_000
@@ -169,6 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # One text an id, however many rows have it: combined before the shuffle, of at most ``sample`` ids.
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    texts = texts.groupBy("doc_id").agg(least, F.first("quality").alias("quality")).select("doc_id", "quality", "least.text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,14 +187,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             for key, label, index, weight in zip(*batch.columns, strict=True):
                 i, w = (np.asarray(x.values.to_numpy(zero_copy_only=False)) for x in (index, weight))
                 rows.append((key.as_py(), i.tolist(), w.tolist(), i, w, min(max(label.as_py(), 0), 1)))
+        if len(rows) > sample:
+            raise ValueError(f"{len(rows)} rows to fit, more than {sample}")
         rows.sort(key=lambda r: r[:3])  # the same model whatever order rows come in
         model = fit([r[3:] for r in rows])
         yield pa.RecordBatch.from_arrays([pa.array([model.packed()], pa.binary())], ["model"])
 
     described = texts.select("doc_id", "quality", "text").mapInArrow(
-        describe, "key string, quality int, index array<long>, weight array<double>"
+        lean(describe), "key string, quality int, index array<long>, weight array<double>"
     )
-    found = described.repartition(1).mapInArrow(learn, "model binary").collect()
+    found = described.repartition(1).mapInArrow(lean(learn), "model binary").collect()
     return Model.unpacked(found[0]["model"])
 
 
@@ -210,7 +215,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, *, id_column: s
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out(id_column).alias("held_out"), F.col(text_column).cast("string").alias("text"))
-    return rows.mapInArrow(read, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(read), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, *, text_column: str = "text") -> DataFrame:
@@ -224,4 +229,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, *, text_col
             good = [shared.value.score(i, w) >= threshold for i, w in features(batch.column(at))]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(read, docs.schema)
+    return docs.mapInArrow(lean(read), docs.schema)

@@ -5,7 +5,8 @@ form an annulus, stored as blocks. For a query q and a block around pivot p with
 the triangle inequality gives |q - x| >= max(d(q, p) - high, low - d(q, p), 0), and with
 2 q.x = |q|^2 + |x|^2 - |q - x|^2 an upper bound of every score in it. A first round expands the
 annuli a query lies in; the k-th score found there stops most of the rest. All scores are whole numbers
-and exact; bounds have slack for rounding.
+and exact; bounds have slack for rounding. Components and scores beyond 64 bits are held at the largest or
+smallest value, and rank by it.
 
 Pivots are a sample of at most ``PIVOTS`` vectors (those with the smallest hash of their id). They shape
 the index only, every vector is indexed and no result depends on them.
@@ -35,11 +36,14 @@ QUERIES = 4096
 ANNULUS_ROWS = 50_000
 
 
+_MOST = (1 << 63) - 1
+
+
 def whole(vector: Column, factor: float) -> Column:
-    """floor(factor * x) of each component as longs; null for vectors that take no part."""
+    """floor(factor * x) of each component as longs, within +-(2^63 - 1); null for vectors that take no part."""
     x = vector.cast("array<double>")
     fine = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
-    return F.when(fine, F.transform(x, lambda v: F.floor(v * F.lit(factor)).cast("long")))
+    return F.when(fine, F.transform(x, lambda v: F.greatest(F.floor(v * F.lit(factor)).cast("long"), F.lit(-_MOST))))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -60,11 +64,19 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products as longs; by floating point where that is exact."""
-    bound = np.abs(a).max(initial=0) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
+    """Inner products as longs; by floating point where that is exact, and held within 64 bits."""
+    bound = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
     if bound < 2.0**52:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
+    scores = a @ b.T  # right modulo 2^64
+    if bound >= 2.0**62:
+        # Rounding of a sum of terms that may cancel: in doubt, whole numbers of any size decide.
+        rough = a.astype(np.float64) @ b.astype(np.float64).T
+        doubt = np.abs(rough) + bound * 2.0**-40 >= 2.0**63
+        for i, j in np.argwhere(doubt):
+            exact = sum(int(x) * int(y) for x, y in zip(a[i], b[j], strict=True))
+            scores[i, j] = min(max(exact, -_MOST), _MOST)
+    return scores
 
 
 def build_index(vectors: DataFrame, pivots: int = PIVOTS, block: int = BLOCK_ROWS) -> tuple[DataFrame, np.ndarray]:
@@ -151,6 +163,7 @@ def _search(blocks: DataFrame, centres: np.ndarray, ids: np.ndarray, x: np.ndarr
             gap = np.maximum(np.maximum(away - high, low - away), 0)
             ceiling = np.minimum((square[:, None] + norm**2 - gap**2) / 2, np.sqrt(square)[:, None] * norm)
             ceiling += 1 + 1e-9 * (square[:, None] + norm**2)
+            ceiling = np.maximum(ceiling, -(2.0**63))  # where scores are held
             inside = (nearest[:, None] == pivot) & (gap == 0) if home else None
             for j in np.argsort(-ceiling.max(0), kind="stable"):
                 active = np.flatnonzero(inside[:, j] if home else ceiling[:, j] >= limit)

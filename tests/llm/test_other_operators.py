@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import corpus_pipeline
@@ -119,6 +120,29 @@ def test_unseen_elements_are_left_out_whole(page):
     assert [text for _, text in html_extract.parse(page.format(SAID))[1]] == [SAID]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><body>" + f"{SAID} " * 20, " ".join([SAID] * 20)),
+        ("<h1>T</h1>text<br>more<p>para</p>tail", "T\ntext more\npara\ntail"),
+        (f"<article><p>{SAID}</p>tail text</article>", f"{SAID}\ntail text"),
+        (f"{SAID} {SAID}", f"{SAID} {SAID}"),
+        (f"<b>{SAID}</b> and <i>{SAID}</i>", f"{SAID} and {SAID}"),
+        (f"<body><nav><a href=x>Menu</a><a href=y>Other</a></nav>{SAID}<p>{SAID}</p>", f"{SAID}\n{SAID}"),
+        (f"<body><nav>Go to<ul><li><a href=x>Menu</a></ul></nav><article>{SAID}<ul><li>one</ul></article>", f"{SAID}\none"),
+    ],
+)
+def test_text_outside_of_blocks(model, page, text):
+    assert html_extract.main_text(page, model) == text
+
+
+@pytest.mark.parametrize("page", ["<section>" * 30_000 + "</div>" * 30_000, "<div><svg>" * 30_000, "<div>" * 30_000 + "x", "<p><canvas>" * 30_000])
+def test_parsing_takes_linear_time(page):
+    began = time.process_time()
+    html_extract.parse(page)
+    assert time.process_time() - began < 3
+
+
 def test_odd_pages(spark, model):
     rows = [(1, None, None), (1, None, None), (None, "u", "<article><p>x</p></article>"), (2, "u", "<article><p>" + "y " * 200_000 + "</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
@@ -183,6 +207,15 @@ def test_odd_documents_quality(spark, odd_documents):
     assert quality_fm.keep_good(empty, model).count() == 0
 
 
+def test_one_text_of_an_id_is_learned_from(spark):
+    """However many rows an id has, a sample of n labelled ids fits n rows; more raise in the task."""
+    docs = spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.range(2, 40).select(F.col("id").cast("int").alias("doc_id"), F.lit("other words").alias("text")))
+    labels = spark.range(1, 40).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    first = quality_fm.train(docs, labels, sample=20)
+    assert first.packed() == quality_fm.train(docs.repartition(7), labels, sample=20).packed()
+
+
 # --- sharding
 
 
@@ -259,6 +292,21 @@ def test_search_with_large_values(spark):
     assert sorted(map(tuple, got.collect())) == best([(i, np.asarray(v, dtype=object)) for i, v in rows], 10)
 
 
+def test_search_beyond_64_bits(spark):
+    """Scores out of range are held at its ends; those in range are exact though their terms are not."""
+    big = 1e17
+    rows = [(0, [big, 1.0]), (1, [big, 0.0]), (2, [-big, 0.0]), (3, [0.0, 5.0]), (4, [1e-14, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, vector array<double>").select("vec_id", topk_search.whole(F.col("vector"), 1024.0).alias("vec"))
+    whole = {r["vec_id"]: r["vec"] for r in frame.collect()}
+    most = 2**63 - 1
+    assert whole[1] == [most, 0] and whole[2] == [-most, 0]
+    want = sorted(((i, max(-most, min(most, sum(a * b for a, b in zip(whole[0], v, strict=True))))) for i, v in whole.items() if i), key=lambda x: (-x[1], x[0]))
+    got = topk_search.top_k(frame, frame.where("vec_id = 0"), 10).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == want
+    a, b = np.asarray([[2**40, -(2**40), 3]]), np.asarray([[2**30, 2**30, 5], [2**30, -(2**30), 0], [-(2**30), 2**30, 0]])
+    assert topk_search._scores(a, b).tolist() == [[15, most, -most]]
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (1, None), (2, [None, 1.0]), (3, [nan, 1.0]), (4, [-inf, 1.0]), (5, []), (6, [0.5]), (7, [-0.0001, 3.0])]

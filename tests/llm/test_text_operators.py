@@ -185,6 +185,28 @@ def test_odd_documents_join(spark, odd_documents):
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([1, 2, 3, 5, 6, 7, 9, None, None], key=str)
 
 
+def test_null_and_repeated_ids_link_by_their_texts(spark):
+    """Against documents with ids of their own; ids are put back afterwards, a null after all others."""
+    r = random.Random(8)
+    texts = [t for _, t in near_texts(250, 4)]
+    ids = [r.choice([None, None, 5, i]) for i in range(len(texts))]
+    rows = list(zip(ids, texts, strict=True)) + [(None, texts[0]), (5, texts[1]), (5, texts[1])]
+    order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0))
+    own = {row: i for i, row in enumerate(order)}
+    plain = {i: (n, least) for i, n, least in linked_groups([(i, t) for i, (_, t) in enumerate(order)], 4, (85, 100))}
+    want = [(row[0], plain[own[row]][0], order[plain[own[row]][1]][0]) for row in rows]
+    got = ngram_join.near_duplicates(frame(spark, rows), 4, (85, 100)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_a_null_id_bridges_and_is_linked(spark):
+    words = [f"w{i}" for i in range(61)]
+    text = lambda *changed: " ".join("x" if i in changed else w for i, w in enumerate(words))
+    rows = [(7, text(60)), (None, text()), (3, text(0)), (None, "other words of no document"), (None, "other words of no document")]
+    got = ngram_join.near_duplicates(frame(spark, rows), 4, (93, 100)).collect()
+    assert sorted(((r["doc_id"], r["component_id"]) for r in got), key=repr) == [(3, 3), (7, 3), (None, 3), (None, None), (None, None)]
+
+
 # --- suffix-array deduplication
 
 
