@@ -10,6 +10,7 @@ from packloom.plans.queries import (
     MAX_SAMPLES,
     ORDERS,
     RANDOM_SEED,
+    RESERVOIR,
     RESUME,
     ROW_SAMPLES,
     ROW_TOKENS,
@@ -236,13 +237,13 @@ extended AS (
   FROM chat_words WHERE token NOT IN (SELECT token FROM base)
 )"""
 ORACLES["vocab_extend"] = ctes(_EXTENDED) + " SELECT token, token_id FROM extended"
-ORACLES["vocab_joint_extend"] = ctes(_EXTENDED) + """
-SELECT (SELECT count(*) FROM extended) AS n_tokens, (SELECT max(token_id) FROM extended) AS max_id,
-  (SELECT count(*) FROM base)::INTEGER AS old_size, (SELECT count(*) FROM extended)::INTEGER AS new_size,
-  (SELECT count(*) FROM extended) AS n_vectors,
-  round((SELECT sum(token_id) FROM base)
-    + ((SELECT count(*) FROM extended) - (SELECT count(*) FROM base)) * (SELECT avg(token_id) FROM base), 3) AS first_sum"""
 _DIMS = "SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings"
+ORACLES["vocab_joint_extend"] = ctes(_EXTENDED) + f"""
+SELECT token, token_id, millionths
+FROM extended CROSS JOIN (
+  SELECT string_agg(round(x * 1000000)::BIGINT::VARCHAR, ',' ORDER BY dim) AS millionths FROM (
+    SELECT dim, avg(x) AS x FROM base JOIN ({_DIMS}) ON vec_id = token_id % (SELECT count(*) FROM embeddings) GROUP BY dim))
+WHERE token_id >= (SELECT count(*) FROM base)"""
 _NEW_IDS = "(SELECT (SELECT count(*) FROM embeddings) + row_number() OVER () - 1 AS token_id FROM benchmark)"
 ORACLES["vocab_vectors_average"] = f"""
 SELECT token_id::INTEGER AS token_id, dim::INTEGER AS dim, round(x, 6) AS x
@@ -412,6 +413,14 @@ SELECT pack_id, row_number() OVER (ORDER BY {_KEY}, pack_id) - 1 AS pack_seq FRO
 ORACLES["shuffle_buffer"] = ctes(order_packs()) + f"""
 SELECT pack_id, row_number() OVER (ORDER BY pack_id // 100, {_KEY}, pack_id) - 1 AS pack_seq FROM {_PACK_IDS}"""
 
+ORACLES["shuffle_reservoir"] = ctes(order_packs()) + f""",
+drawn AS (
+  SELECT pack_id, CASE WHEN pack_id < {RESERVOIR} THEN pack_id
+    ELSE ('0x' || md5('{SEED}:place:' || pack_id)[1:15])::BIGINT % {RESERVOIR} END AS place FROM {_PACK_IDS}),
+put_out AS (SELECT pack_id, lead(pack_id) OVER (PARTITION BY place ORDER BY pack_id) AS leaves FROM drawn)
+SELECT pack_id, row_number() OVER (ORDER BY leaves NULLS LAST, CASE WHEN leaves IS NULL THEN md5('{SEED}:rest:' || pack_id) END, pack_id) - 1 AS pack_seq
+FROM put_out"""
+
 
 def batched(order: str, drop_last: bool) -> str:
     keep = f"WHERE pack_seq // {BATCH} < (SELECT count(*) FROM packs) // {BATCH}" if drop_last else ""
@@ -615,6 +624,15 @@ SELECT doc_id, shard_index, row_index FROM sharded WHERE shard_index > 9 OR (sha
 ORACLES["saved_states"] = ctes(SHARDED) + """
 SELECT source AS name, shard_index, count(*) AS row_index, (min(rn) - 1)::INTEGER AS step, 1::INTEGER AS epoch
 FROM sharded GROUP BY source, shard_index"""
+ORACLES["state_history"] = """
+SELECT step - 1 AS entry, count * step // 5 AS row_index, step::INTEGER AS step, step = 5 AS newest
+FROM (SELECT count(*) AS count FROM documents), range(1, 6) AS r(step)"""
+ORACLES["stream_then_batch"] = """
+SELECT doc_id, CASE WHEN pos < n // 3 THEN 'stream' ELSE 'batch' END AS "by"
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents)"""
+ORACLES["seek_open_at_row"] = """
+SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, count(*) OVER () AS n FROM documents) WHERE pos >= n // 2"""
+ORACLES["undeclared_fields"] = "SELECT doc_id, lang, n_chars, source AS tag FROM documents"
 ORACLES["sample_positions"] = ctes(SHARDED) + " SELECT doc_id, shard_index, row_index FROM sharded"
 ORACLES["shard_count"] = ctes(SHARDED) + " SELECT lang, count(DISTINCT shard_index) AS n_shards FROM sharded GROUP BY lang"
 ORACLES["shard_select"] = ctes(SHARDED) + """

@@ -25,6 +25,8 @@ from packloom.workspace import stage
 
 # Fixed value: the field that names where a sample comes from.
 SOURCE_FIELD = "__source__"
+# Buckets whose offsets are sent to every task when packs are numbered.
+MAX_BUCKETS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -144,7 +146,9 @@ def pack_dataset(
     else:
         assigned = stage(assign_by_strategy(samples, config), "assigned")
         ids = assigned.select("pack_id").distinct()
-        ids = ids.withColumn("window", floor_div("pack_id", WINDOW_ROWS))
+        # Neighbouring windows share a bucket, so that the table of offsets stays within ``MAX_BUCKETS`` rows.
+        windows = (ids.agg(F.max("pack_id")).first()[0] or 0) // WINDOW_ROWS + 1
+        ids = ids.withColumn("window", floor_div("pack_id", WINDOW_ROWS * -(-windows // MAX_BUCKETS)))
         numbers = stage(number_rows(ids, "window", "pack_id", name="number"), "pack-numbers")
         n_packs = numbers.count()
         dense = assigned.join(numbers.select("pack_id", "number"), "pack_id")

@@ -18,6 +18,8 @@ from packloom.operators import batches, contrastive, pooling, quality, resume, u
 from packloom.operators.assembly import assemble_packs
 from packloom.operators.packing import plan_packs
 from packloom.operators.positions import dense_positions
+from packloom.operators.records import pack_records
+from packloom.operators.reservoir import reservoir_order
 from packloom.operators.strategies import WINDOW_ROWS, assign_by_strategy
 from packloom.operators.triplets import (
     rejected,
@@ -28,7 +30,7 @@ from packloom.operators.triplets import (
 )
 from packloom.plans import flows, pipeline
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, joined
-from packloom.sources import jsonl
+from packloom.sources import jsonl, seek, state_log
 from packloom.sources.state import (
     ResumeState,
     initial_state,
@@ -234,18 +236,14 @@ def vocab_vectors_random(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def vocab_joint_extend(spark: SparkSession, folder: str) -> DataFrame:
-    """Sizes after extending the benchmark vocabulary and its vectors by the chats' words."""
-    base = _benchmark_vocabulary(spark, folder)
-    vectors = base.select("token_id", F.array_repeat(F.col("token_id").cast("double"), 4).alias("vec"))
-    tokens, more, before, after = vocabulary.extend_both(base, vectors, _chat_words(spark, folder), "average")
-    sizes = tokens.agg(F.count("*").alias("n_tokens"), F.max("token_id").alias("max_id"))
-    rows = more.agg(F.count("*").alias("n_vectors"), F.round(F.sum(F.col("vec")[0]), 3).alias("first_sum"))
-    return sizes.withColumns({"old_size": F.lit(before), "new_size": F.lit(after), "one": F.lit(1)}).join(
-        rows.withColumn("one", F.lit(1)), "one"
-    ).drop("one")
-
-
-# --- packing ------------------------------------------------------------------------------------
+    """Tokens and vectors the chats' words add to the benchmark vocabulary, whose vectors are those of ``embeddings``."""
+    base, known = _benchmark_vocabulary(spark, folder), load(spark, folder, "embeddings")
+    rows = known.select(F.col("vec_id").alias("row"), F.col("embedding").alias("vec"))
+    vectors = base.select("token_id", F.pmod("token_id", F.lit(known.count())).cast("long").alias("row")).join(rows, "row")
+    tokens, more, before, _ = vocabulary.extend_both(base, vectors.select("token_id", "vec"), _chat_words(spark, folder), "average")
+    added = tokens.where(F.col("token_id") >= before).join(more, "token_id")
+    spelled = F.transform("vec", lambda x: F.round(x * 1_000_000).cast("long").cast("string"))
+    return added.select("token", "token_id", F.array_join(spelled, ",").alias("millionths"))
 
 
 @query
@@ -383,11 +381,21 @@ def shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
     return batches.shuffled_order(spark, _order_plan(spark, folder), SEED)
 
 
+#: Packs the reservoir holds.
+RESERVOIR = 100
+
+
 @query
 def shuffle_buffer(spark: SparkSession, folder: str) -> DataFrame:
     return batches.shuffled_order(spark, _order_plan(spark, folder), SEED, buffer=100)
 
 
+@query
+def shuffle_reservoir(spark: SparkSession, folder: str) -> DataFrame:
+    """Packs in the order in which they leave a reservoir of a hundred."""
+    return reservoir_order(spark, _order_plan(spark, folder), RESERVOIR, SEED)
+
+
 @query
 def batch_assign(spark: SparkSession, folder: str) -> DataFrame:
     packs, n = _chat_packs(spark, folder)
@@ -716,6 +724,55 @@ def saved_states(spark: SparkSession, folder: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, shard_index int, row_index long, step int, epoch int")
 
 
+@query
+def state_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Five saves at fifths of the documents, all of which a log keeps, and which one is the newest."""
+    n, path = load(spark, folder, "documents").count(), new_path(spark, "state-log")
+    for step in range(1, 6):
+        state_log.append(spark, ResumeState(row_index=n * step // 5, step=step), path)
+    newest = state_log.latest(spark, path)
+    return state_log.history(spark, path).select("entry", "row_index", "step", (F.col("step") == newest.step).alias("newest"))
+
+
+@query
+def seek_open_at_row(spark: SparkSession, folder: str) -> DataFrame:
+    """The second half of the lines of data files, opened at a row through the index of byte offsets."""
+    index = seek.build_index(spark, _written_triplets(spark, folder) + "/*.txt")
+    n = spark.read.parquet(index).agg(F.sum("n_rows")).first()[0]
+    return seek.open_at(spark, index, seek.state_at(spark, index, n // 2)).select(_doc_id())
+
+
+@query
+def stream_then_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream that stops inside of a file, goes on and stops again, and a batch from its position to the end."""
+    index = seek.build_index(spark, _written_triplets(spark, folder) + "/*.txt")
+    n = spark.read.parquet(index).agg(F.sum("n_rows")).first()[0]
+    sink, checkpoint = new_path(spark, "lines-read"), new_path(spark, "lines-state")
+    for part in (5, 3):
+        stop = seek.state_at(spark, index, n // part)
+        run_available(seek.stream_from(spark, index, end=(stop.shard_index, stop.row_index)), checkpoint, sink)
+    rest = seek.open_at(spark, index, seek.stream_state(spark, checkpoint))
+    both = spark.read.parquet(sink).withColumn("by", F.lit("stream")).unionByName(rest.withColumn("by", F.lit("batch")))
+    return both.select(_doc_id(), "by")
+
+
+@query
+def undeclared_fields(spark: SparkSession, folder: str) -> DataFrame:
+    """Nested fields of the lines that no schema names, read back from the packs of their samples."""
+    documents = load(spark, folder, "documents")
+    meta = F.struct("lang", "n_chars", F.array("source", "lang").alias("tags"))
+    line = F.to_json(F.struct(F.col("text").alias("anchor"), F.lit("p").alias("positive"), "doc_id", meta.alias("meta")))
+    path = new_path(spark, "records")
+    documents.select(line.alias("value")).write.option("compression", "none").format("text").save(path)
+    rows = jsonl.parse_triplets(jsonl.with_positions(jsonl.read_lines(spark, path + "/*.txt")), record="record")
+    samples = rows.select("pos", F.coalesce(F.length("anchor"), F.lit(0)).alias("n_tokens"), "record")
+    packs = pack_records(stage(samples, "recorded"), DOCS)
+    record = packs.select(F.explode("records").alias("line")).select(F.parse_json("line").alias("record"))
+    found = {"doc_id": "$.doc_id", "lang": "$.meta.lang", "n_chars": "$.meta.n_chars", "tag": "$.meta.tags[0]"}
+    kinds = {"doc_id": "long", "lang": "string", "n_chars": "long", "tag": "string"}
+    return record.select(*(jsonl.other_field("record", path, kinds[name]).alias(name) for name, path in found.items()))
+
+
 @query
 def latest_checkpoint(spark: SparkSession, folder: str) -> DataFrame:
     """The state in the newest of several checkpoints, one for each type of event, named by their number."""

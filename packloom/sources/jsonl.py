@@ -142,10 +142,13 @@ def parse_triplets(
     extras: T.StructType | None = None,
     column: str = "value",
     mark_corrupt: bool = False,
+    record: str | None = None,
 ) -> DataFrame:
     """Parse JSON lines to ``anchor, positive, negatives`` and the ``extras`` fields.
 
-    ``mark_corrupt`` adds ``corrupt``, true for lines that are no JSON object.
+    ``mark_corrupt`` adds ``corrupt``, true for lines that are no JSON object. ``record`` names a VARIANT column
+    for the whole line: what fields it has need not be known (``other_field``). It is null for lines that are no
+    JSON or have a key twice.
 
     A negative may be a text or a list of texts. Only an absent key takes the default of
     ``num_negatives`` empty texts; a null stays null and is dropped later as an empty field.
@@ -173,9 +176,16 @@ def parse_triplets(
             *[one.getField(f.name).alias(f.name) for f in (extras or [])],
         )
 
+    if record is not None:
+        lines = lines.withColumn(record, F.try_parse_json(column))
     rest = [c for c in lines.columns if c != column]
     names = ["anchor", "positive", "negatives", *(["corrupt"] if mark_corrupt else [])]
     names += [f.name for f in (extras or [])]
     # Bound, so that a line is parsed once however many fields are taken from it.
     parsed = lines.select(*rest, bind(F.from_json(column, schema), fields).alias("__parsed"))
     return parsed.select(*rest, *[F.col("__parsed").getField(n).alias(n) for n in names])
+
+
+def other_field(record: Column | str, path: str, kind: str) -> Column:
+    """A field of a ``record`` nobody declared, as type ``kind``; null if it is not there or of another kind."""
+    return F.try_variant_get(F.col(record) if isinstance(record, str) else record, path, kind)
