@@ -413,6 +413,7 @@ SELECT pack_id, row_number() OVER (ORDER BY {_KEY}, pack_id) - 1 AS pack_seq FRO
 ORACLES["shuffle_buffer"] = ctes(order_packs()) + f"""
 SELECT pack_id, row_number() OVER (ORDER BY pack_id // 100, {_KEY}, pack_id) - 1 AS pack_seq FROM {_PACK_IDS}"""
 
+ORACLES["pack_first_fit_levels"] = "SELECT o_orderkey AS pos, o_custkey % 500 + 1 AS n_tokens, true AS fits FROM orders"
 ORACLES["shuffle_reservoir"] = ctes(order_packs()) + f""",
 drawn AS (
   SELECT pack_id, CASE WHEN pack_id < {RESERVOIR} THEN pack_id

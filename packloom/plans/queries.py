@@ -16,6 +16,7 @@ from packloom.functions.text import codepoints, words
 from packloom.functions.vectors import cosine, normalize
 from packloom.operators import batches, contrastive, pooling, quality, resume, unpack, vocabulary
 from packloom.operators.assembly import assemble_packs
+from packloom.operators.levels import assign_first_fit
 from packloom.operators.packing import plan_packs
 from packloom.operators.positions import dense_positions
 from packloom.operators.records import pack_records
@@ -381,6 +382,16 @@ def shuffle_order(spark: SparkSession, folder: str) -> DataFrame:
     return batches.shuffled_order(spark, _order_plan(spark, folder), SEED)
 
 
+@query
+def pack_first_fit_levels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every sample of a first fit in levels, its tokens, and whether its pack holds no more than it may."""
+    samples = _order_samples(spark, folder).select("pos", F.col("n_tokens").cast("long").alias("n_tokens"))
+    placed = stage(assign_first_fit(samples, ORDERS, 64), "levelled").join(samples, "pos")
+    packs = placed.groupBy("pack_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("held"), F.max("sample_ord").alias("last"))
+    fits = (F.col("used") <= ORDERS.seq_length) & (F.col("held") <= ORDERS.sample_cap) & (F.col("last") == F.col("held") - 1)
+    return placed.join(packs.select("pack_id", fits.alias("fits")), "pack_id").select("pos", "n_tokens", "fits")
+
+
 #: Packs the reservoir holds.
 RESERVOIR = 100
 
