@@ -16,9 +16,9 @@ from packloom.plans.queries import (
     ROW_TOKENS,
     SEED,
     SMALL_WINDOW,
-    STREAM_LANES,
     VECTOR_SIZE,
 )
+from packloom.streaming.packer import LANE_ROWS, MIN_LANES
 
 ORACLES: dict[str, str] = {}
 
@@ -840,10 +840,11 @@ slot_vectors AS (
 # --- streams ------------------------------------------------------------------------------------
 
 
-def stream_packs(length: int, cap: int, lanes: int) -> str:
+def stream_packs(length: int, cap: int) -> str:
     """Greedy packing lane by lane; the pack open at the end of a lane comes after all others."""
     fits = f"w.held > 0 AND w.used + s.len <= {length} AND w.held + 1 <= {cap}"
     text = "list_concat(list_concat({}, {}), {})".format(*(POINTS.format(c) for c in ("text", "lang", "source")))
+    lanes = f"(SELECT greatest({MIN_LANES}, ceil(count(*) / {LANE_ROWS}))::BIGINT FROM documents)"
     return f"""
 items AS (
   SELECT doc_id, source, lane, ids, len(ids) AS len, len(ids) > {length} AS big, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS rn
@@ -879,10 +880,12 @@ given AS (
 )"""
 
 
-ORACLES["stream_pack"] = ctes(stream_packs(DOCS.seq_length, DOCS.max_samples, STREAM_LANES)) + f"""
+ORACLES["stream_pack"] = ctes(stream_packs(DOCS.seq_length, DOCS.max_samples)) + f"""
 SELECT lane, pack_no, count(*)::INTEGER AS num_segments, {text_of("list(doc_id ORDER BY rn)")} AS sample_keys,
   {text_of(f"list_resize(flatten(list(ids ORDER BY rn))[1:{DOCS.seq_length}], {DOCS.seq_length}, 0)")} AS input_ids,
   md5(string_agg(source, ',' ORDER BY rn)) AS source_ids
 FROM given GROUP BY lane, pack_no"""
+# Where the batch ends and the stream begins leaves no trace.
+ORACLES["stream_after_batch"] = ORACLES["stream_pack"]
 ORACLES["stream_ingest"] = ctes(DOC_TRIPLETS, USABLE) + """
 SELECT doc_id, length(anchor)::INTEGER AS anchor_chars, length(negative)::INTEGER AS negative_chars FROM usable"""

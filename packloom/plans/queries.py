@@ -42,8 +42,9 @@ from packloom.sources.state import (
     with_checkpoint_step,
 )
 from packloom.sources.tables import document_triplets, load, over_all_cores, save
+from packloom.streaming.carry import carried, closed_packs, continue_lanes, left_open, pack_lanes, rocksdb_state
 from packloom.streaming.ingest import run_available, stream_triplets
-from packloom.streaming.packer import lane_of, open_packs, pack_stream
+from packloom.streaming.packer import lane_of, lanes_for, open_packs, pack_stream
 from packloom.workspace import new_path, ship_package, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1067,32 +1068,30 @@ def evaluate_packed(spark: SparkSession, folder: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------
 
 
-#: Open packs of the stream at a time, and files of one micro-batch.
-STREAM_LANES = 32
+#: Files of one micro-batch.
 STREAM_FILES = 64
 
 
-@query
-def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as a stream over lanes; all packs, those still open when the input is used up as well."""
+def _document_feed(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream."""
     table = load(spark, folder, "documents")
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", STREAM_FILES)
     # The table is a folder of files, or one file that is named like it.
     if any(name.endswith("/documents.parquet") for name in table.inputFiles()):
-        rows = reader.option("pathGlobFilter", "documents.parquet").parquet(folder)
-    else:
-        rows = reader.parquet(f"{folder}/documents.parquet")
-    samples = rows.select(
-        lane_of(F.lit("documents"), F.col("doc_id"), STREAM_LANES).alias("lane"),
+        return reader.option("pathGlobFilter", "documents.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/documents.parquet")
+
+
+def _lane_samples(documents: DataFrame, lanes: int) -> DataFrame:
+    return documents.select(
+        lane_of(F.lit("documents"), F.col("doc_id"), lanes).alias("lane"),
         F.col("doc_id").alias("sample_key"),
         F.array(codepoints("text"), codepoints("lang"), codepoints("source")).alias("slots"),
         F.col("source").alias("source_id"),
     )
-    sink, checkpoint = new_path(spark, "stream-packs"), new_path(spark, "stream-state")
-    run_available(pack_stream(samples, DOCS), checkpoint, sink)
-    finished = spark.read.parquet(sink) if table.take(1) else None
-    left = open_packs(spark, checkpoint, DOCS)
-    packs = left if finished is None else finished.unionByName(left)
+
+
+def _lane_packs(packs: DataFrame) -> DataFrame:
     return packs.select(
         "lane",
         "pack_no",
@@ -1103,6 +1102,33 @@ def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def stream_pack(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as a stream over lanes; all packs, those still open when the input is used up as well."""
+    lanes = lanes_for(load(spark, folder, "documents").count())
+    sink, checkpoint = new_path(spark, "stream-packs"), new_path(spark, "stream-state")
+    stream = pack_stream(_lane_samples(_document_feed(spark, folder), lanes), DOCS)
+    run_available(stream, checkpoint, sink)
+    packs = spark.read.schema(stream.schema).parquet(sink).unionByName(open_packs(spark, checkpoint, DOCS))
+    return _lane_packs(packs)
+
+
+@query
+def stream_after_batch(spark: SparkSession, folder: str) -> DataFrame:
+    """The lower half of the documents packed as a batch, the upper half by a stream that begins with the open packs."""
+    table = load(spark, folder, "documents")
+    low, high, n = table.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+    lanes, middle = lanes_for(n), ((low or 0) + (high or 0)) // 2
+    packed = pack_lanes(_lane_samples(over_all_cores(table.where(F.col("doc_id") <= middle), "doc_id"), lanes), DOCS)
+    later = _document_feed(spark, folder).where(F.col("doc_id") > middle)
+    stream = continue_lanes(_lane_samples(later, lanes), DOCS, stage(carried(packed), "open-packs"))
+    sink, checkpoint = new_path(spark, "stream-packs"), new_path(spark, "stream-state")
+    with rocksdb_state(spark):
+        run_available(stream, checkpoint, sink)
+    streamed = spark.read.schema(stream.schema).parquet(sink).unionByName(left_open(spark, checkpoint, DOCS))
+    return _lane_packs(closed_packs(packed, DOCS).unionByName(streamed))
+
+
 @query
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Triplet files read as a stream, two files at a time, into a table."""

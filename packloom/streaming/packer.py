@@ -20,6 +20,16 @@ _PACK = (
 _STATE = _PACK.removeprefix("lane string, ")
 
 
+#: Rows of a lane that are sorted at once, if lanes follow the size of the input.
+LANE_ROWS = 10_000
+MIN_LANES = 32
+
+
+def lanes_for(n_rows: int) -> int:
+    """Lanes for an input of so many rows: they grow with it, what one lane holds does not."""
+    return max(MIN_LANES, -(-n_rows // LANE_ROWS))
+
+
 def lane_of(group: Column, key: Column, lanes: int) -> Column:
     """A group's samples over ``lanes`` independent open packs, so a hot group is not one task."""
     digits = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
@@ -32,6 +42,19 @@ def _cut(sizes: list[int], limit: int) -> list[int]:
     return np.diff(ends, prepend=0).tolist()
 
 
+def in_key_order(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], str]]:
+    """Samples of a lane's share of a micro-batch by key. Each batch is reduced to flat arrays as it comes."""
+    keys, lengths, tokens, sources = [], [], [], []
+    for rows in batches:
+        for key, slots, source in zip(rows["sample_key"].tolist(), rows["slots"], rows["source_id"], strict=True):
+            keys.append(key)
+            lengths.append(np.fromiter((len(slot) for slot in slots), np.int32, len(slots)))
+            tokens.append(np.concatenate(list(slots)).astype(np.int32))
+            sources.append(source)
+    for i in np.argsort(np.asarray(keys, dtype=np.int64), kind="stable"):
+        yield keys[i], np.split(tokens[i], np.cumsum(lengths[i])[:-1]), sources[i]
+
+
 def _packer(seq_length: int, cap: int, flush_after_ms: int | None):
     """Close packs as the samples of one lane arrive. State: number and content of the open pack,
     at most ``seq_length`` tokens."""
@@ -54,8 +77,7 @@ def _packer(seq_length: int, cap: int, flush_after_ms: int | None):
                 close(keys, parts, sizes, sources)
             keys, parts, sizes, sources = [], [], [], []
         else:
-            rows = pd.concat(list(batches), ignore_index=True).sort_values("sample_key")
-            for sample, slots, source in zip(rows["sample_key"].tolist(), rows["slots"], rows["source_id"]):
+            for sample, slots, source in in_key_order(batches):
                 lengths = [len(slot) for slot in slots]
                 new = sum(lengths)
                 if new > seq_length:
@@ -87,8 +109,8 @@ def pack_stream(
     Samples of a lane are taken in key order within a micro-batch and in arrival order across them.
     The open pack of a lane stays in the state store until later samples close it, until the lane has
     been idle for ``flush_after_ms``, or until ``open_packs`` gives it out at the end of the input.
-    What a task holds is a lane's share of one micro-batch: bound that by the source's
-    ``maxFilesPerTrigger``, and the lanes by the tasks there are.
+    What a task holds is a lane's share of one micro-batch, as flat arrays: bound that by the source's
+    ``maxFilesPerTrigger``, and take ``lanes_for`` the input.
 
     An optional ``source_id`` names where a sample comes from.
     """
