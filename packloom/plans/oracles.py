@@ -889,3 +889,11 @@ FROM given GROUP BY lane, pack_no"""
 ORACLES["stream_after_batch"] = ORACLES["stream_pack"]
 ORACLES["stream_ingest"] = ctes(DOC_TRIPLETS, USABLE) + """
 SELECT doc_id, length(anchor)::INTEGER AS anchor_chars, length(negative)::INTEGER AS negative_chars FROM usable"""
+
+# --- other ways to the same rows ----------------------------------------------------------------
+
+ORACLES["missing_ids_bitmaps"] = ORACLES["missing_ids"]
+ORACLES["first_token_overlap_bitmaps"] = f"SELECT DISTINCT first_token FROM ({ORACLES['first_token_overlap']})"
+ORACLES["bucketed_sample_info"] = ORACLES["batch_sample_info"]
+ORACLES["bucketed_infonce"] = ORACLES["infonce_metrics"]
+ORACLES["stream_once"] = ORACLES["stream_ingest"]

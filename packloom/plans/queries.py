@@ -14,7 +14,7 @@ from packloom.functions.arrays import each_element
 from packloom.functions.numbers import floor_div
 from packloom.functions.text import codepoints, words
 from packloom.functions.vectors import cosine, normalize
-from packloom.operators import batches, contrastive, pooling, quality, resume, unpack, vocabulary
+from packloom.operators import batches, contrastive, id_bitmaps, pooling, quality, resume, unpack, vocabulary
 from packloom.operators.assembly import assemble_packs
 from packloom.operators.levels import assign_first_fit
 from packloom.operators.packing import plan_packs
@@ -32,6 +32,7 @@ from packloom.operators.triplets import (
 from packloom.plans import flows, pipeline
 from packloom.plans.flows import CHAT, CHAT_CAPPED, DOCS, joined
 from packloom.sources import jsonl, seek, state_log
+from packloom.sources.buckets import save_bucketed
 from packloom.sources.state import (
     ResumeState,
     initial_state,
@@ -42,6 +43,7 @@ from packloom.sources.state import (
     with_checkpoint_step,
 )
 from packloom.sources.tables import document_triplets, load, over_all_cores, save
+from packloom.streaming import ledger
 from packloom.streaming.carry import carried, closed_packs, continue_lanes, left_open, pack_lanes, rocksdb_state
 from packloom.streaming.ingest import run_available, stream_triplets
 from packloom.streaming.packer import lane_of, lanes_for, open_packs, pack_stream
@@ -68,6 +70,13 @@ def query(function: Query) -> Query:
 # --- triplets -----------------------------------------------------------------------------------
 
 
+def _bucketed(rows: DataFrame, label: str, *sort: str) -> DataFrame:
+    """``rows`` stored in as many buckets of ``batch_id`` as a shuffle has partitions."""
+    path = new_path(rows.sparkSession, label)
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return save_bucketed(rows, path.rsplit("/", 1)[-1].replace("-", "_"), path, "batch_id", buckets, *sort)
+
+
 @query
 def triplet_build(spark: SparkSession, folder: str) -> DataFrame:
     return flows.chat_triplets(spark, folder).select(
@@ -484,6 +493,15 @@ def batch_sample_info(spark: SparkSession, folder: str) -> DataFrame:
     return _bounds(unpack.sample_info(batched, by="batch_id"), "batch_id")
 
 
+@query
+def bucketed_sample_info(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``batch_sample_info``, from a table in buckets of the batch."""
+    packs, n = _chat_packs(spark, folder)
+    batched = batches.assign_batches(batches.order_packs(packs, n, CHAT), n, BATCH, drop_last=False)
+    stored = _bucketed(batched, "packs", "pack_seq")
+    return _bounds(unpack.sample_info(stored, by="batch_id"), "batch_id")
+
+
 @query
 def split_samples(spark: SparkSession, folder: str) -> DataFrame:
     packs, _ = _chat_packs(spark, folder)
@@ -552,6 +570,13 @@ def missing_ids(spark: SparkSession, folder: str) -> DataFrame:
     return quality.id_differences(chats, flows.chat_samples(spark, folder), "conv_id")
 
 
+@query
+def missing_ids_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``missing_ids``, by comparing bitmaps."""
+    chats = load(spark, folder, "conversations").select("conv_id")
+    return id_bitmaps.id_differences(chats, flows.chat_samples(spark, folder), "conv_id")
+
+
 @query
 def coverage_check(spark: SparkSession, folder: str) -> DataFrame:
     expected = load(spark, folder, "documents").count()
@@ -581,6 +606,15 @@ def first_token_overlap(spark: SparkSession, folder: str) -> DataFrame:
     return quality.repeated_first_tokens(before, after)
 
 
+@query
+def first_token_overlap_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``first_token_overlap``, each token once, by comparing bitmaps."""
+    before, _ = flows.packed(flows.chat_samples(spark, folder), CHAT)
+    after, _ = _chat_packs(spark, folder)
+    first = F.col("input_ids")[0].alias("first_token")
+    return id_bitmaps.common_ids(before.select(first), after.select(first), "first_token")
+
+
 @query
 def generated_triplets(spark: SparkSession, folder: str) -> DataFrame:
     """Test triplets made from all documents."""
@@ -1020,6 +1054,13 @@ def infonce_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return _metrics(result, "batch_id")
 
 
+@query
+def bucketed_infonce(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``infonce_metrics``, from a table in buckets of the batch."""
+    stored = _bucketed(_slot_vectors(spark, folder, 1, 32), "vectors", "sample_key")
+    return _metrics(contrastive.infonce(stored, 1, VECTOR_SIZE, [0.07]), "batch_id")
+
+
 @query
 def infonce_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Large batches over many small blocks each."""
@@ -1140,3 +1181,22 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     run_available(stream_triplets(spark, path, 2, extras=DOC_ID), new_path(spark, "feed-state"), sink)
     rows = spark.read.parquet(sink)
     return usable(rows).select("doc_id", F.length("anchor").alias("anchor_chars"), F.length(F.col("negatives")[0]).alias("negative_chars"))
+
+
+@query
+def stream_once(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``stream_ingest``, with every micro-batch run twice over a sink in which it counts once."""
+    texts = document_triplets(load(spark, folder, "documents"), load(spark, folder, "labels"))
+    path, table = new_path(spark, "feed"), new_path(spark, "ledger")
+    select_fields(texts).select("doc_id", "anchor", "positive", F.col("negatives")[0].alias("negative")).write.json(
+        path, ignoreNullFields=False
+    )
+    stream, sink = stream_triplets(spark, path, 2, extras=DOC_ID), ledger.once(table, "triplets")
+
+    def again(rows: DataFrame, number: int) -> None:
+        sink(rows, number)
+        sink(rows, number)
+
+    run_available(stream, new_path(spark, "feed-state"), again)
+    rows = ledger.read(spark, table, stream.schema)
+    return usable(rows).select("doc_id", F.length("anchor").alias("anchor_chars"), F.length(F.col("negatives")[0]).alias("negative_chars"))

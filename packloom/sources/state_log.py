@@ -45,26 +45,33 @@ def write_aside(spark: SparkSession, state: ResumeState, path: str) -> str:
     return name
 
 
-def commit(spark: SparkSession, name: str, path: str) -> int:
-    """Second half of ``append``: what ``write_aside`` wrote becomes the next entry; its number."""
+def rename_once(spark: SparkSession, path: str, name: str, to: str) -> bool:
+    """Rename ``name`` in the folder ``path`` to ``to``; False, and nothing changed, if that is there already."""
     system, place = _files(spark, path)
-    if not system.exists(place(name)):
-        raise FileNotFoundError(f"{name} is not in {path}")
     context = spark.sparkContext
+    source, target = (system.makeQualified(place(n)) for n in (name, to))
     # A rename that fails where the target exists; FileSystem's own would move into it.
-    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.makeQualified(place(name)).toUri(), context._jsc.hadoopConfiguration())
+    files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), context._jsc.hadoopConfiguration())
     kinds = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
     options = context._gateway.new_array(kinds, 1)
     options[0] = kinds.NONE
+    try:
+        files.rename(source, target, options)
+    except Py4JJavaError:
+        if not system.exists(target):
+            raise
+        return False
+    return True
+
+
+def commit(spark: SparkSession, name: str, path: str) -> int:
+    """Second half of ``append``: what ``write_aside`` wrote becomes the next entry; its number."""
+    system, place = _files(spark, path)
+    if not system.exists(place(name)):
+        raise FileNotFoundError(f"{name} is not in {path}")
     while True:
         number = max(entries(spark, path), default=-1) + 1
-        target = system.makeQualified(place(f"{_ENTRY}{number:0{_DIGITS}d}"))
-        try:
-            files.rename(system.makeQualified(place(name)), target, options)
-        except Py4JJavaError:
-            if not system.exists(target):
-                raise
-        else:
+        if rename_once(spark, path, name, f"{_ENTRY}{number:0{_DIGITS}d}"):
             return number
 
 
