@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packloom.llm.bin_packing import pack_documents
@@ -181,6 +181,37 @@ FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC
 """
 
 
+def _chat_log(turns: DataFrame) -> DataFrame:
+    """The log a chat client could have left of ``turns(conv_id, turn, role, text)``, numbered within the conversation.
+
+    A message opens with a draft and a delta; then it is edited or started over, and once more the other way; what is
+    streamed last, in pieces, makes up its text. Only the fold of all its events gives the text.
+    """
+    role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
+    order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
+    turns = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    turns = turns.withColumn("message", F.row_number().over(order).cast("long"))
+    third = F.floor(F.length("text") / 3).cast("int")
+    first, second = F.substring("text", F.lit(1), third), F.substring("text", third + 1, third)
+    rest = F.substring("text", 2 * third + 1, F.length("text"))
+    odd, none = F.pmod("message", F.lit(2)) == 1, F.lit("")
+    steps = [
+        (F.lit("message"), rest),
+        (F.lit("delta"), first),
+        (F.when(odd, "regenerate").otherwise("edit"), F.when(odd, none).otherwise(second)),
+        (F.lit("delta"), second),
+        (F.when(odd, "edit").otherwise("regenerate"), F.when(odd, first).otherwise(none)),
+        (F.lit("delta"), F.when(odd, none).otherwise(first)),
+        (F.lit("delta"), second),
+        (F.lit("delta"), rest),
+    ]
+    seq = F.col("message") * len(steps)
+    events = [F.struct((seq + i).alias("seq"), kind.alias("kind"), said.alias("text")) for i, (kind, said) in enumerate(steps)]
+    return turns.select("conv_id", "message", "role", F.explode_outer(F.array(*events)).alias("e")).select(
+        "conv_id", "e.seq", "message", "e.kind", "role", "e.text"
+    )
+
+
 @query
 def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """What can be read back from all formatted conversations, and from one that tries to forge marks."""
@@ -188,8 +219,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     role = F.when(F.col("id") == 0, "user").otherwise("assistant")
     forged = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(forged)
-    events = rows.select("conv_id", F.col("turn").alias("seq"), F.col("turn").alias("message"), F.lit("message").alias("kind"), "role", "text")
-    return chat_digests(format_chats(events))
+    return chat_digests(format_chats(_chat_log(rows)))
 
 
 ORACLES["op10_chat_format"] = r"""
