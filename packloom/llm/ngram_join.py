@@ -41,9 +41,10 @@ from packloom.llm.graph import components
 
 # A token of more classes is hot.
 HOT = 64
-# Classes of a bucket, and set elements of a cluster, that one task traverses.
+# Classes of a bucket, and set elements and classes of a cluster, that one task traverses.
 BUCKET = 4096
 ELEMENTS = 4_000_000
+MEMBERS = 8192
 LEAF = 24
 FANOUT = 6
 
@@ -336,6 +337,11 @@ def _slots(rows: DataFrame, group: str, slots, *others: str) -> DataFrame:
     )
 
 
+def _weight():
+    """Elements that a class of ``n`` counts for: as many small ones as ``MEMBERS`` fill a task as well."""
+    return F.greatest("n", F.lit(ELEMENTS // MEMBERS))
+
+
 def _outside(large: DataFrame, main: DataFrame) -> DataFrame:
     """Rows ``node, component, i, j, slot, label``: what lies outside of the main components meets itself and these.
 
@@ -412,7 +418,7 @@ def _linked(docs: DataFrame, words: int, share: tuple[int, int], hot: int, id_co
 
     # Whole sets, once for each class that has a candidate; the tree of each cluster ends in exact checks.
     members = nodes.select("node", "n").join(clusters, "node")
-    totals = members.groupBy("component").agg(F.sum("n").alias("elements"))
+    totals = members.groupBy("component").agg(F.sum(_weight()).alias("elements"))
     slots = F.ceil(F.col("elements") / ELEMENTS).cast("int")
     slot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("slots")).cast("int")
     members = members.join(totals, "component").select("node", "n", "component", slots.alias("slots")).withColumn("slot", slot)
@@ -457,7 +463,7 @@ def _linked(docs: DataFrame, words: int, share: tuple[int, int], hot: int, id_co
         reached = stage(components(links), "reached").withColumnRenamed("component", "reached")
         large = large.drop("label").join(reached, "node", "left").withColumn("label", F.coalesce("reached", "node"))
         large = stage(large.drop("reached"), "labelled")
-        labels = large.groupBy("component", "label").agg(F.count("*").alias("count"), F.sum("n").alias("elements"))
+        labels = large.groupBy("component", "label").agg(F.count("*").alias("count"), F.sum(_weight()).alias("elements"))
         main = labels.groupBy("component").agg(
             F.max_by(F.struct("label", "elements"), F.struct("count", "label")).alias("main"), F.sum("elements").alias("elements")
         )
