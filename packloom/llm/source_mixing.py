@@ -113,6 +113,11 @@ def balance(counts: DataFrame, goals: DataFrame, cap: float = CAP, tolerance: fl
     return state.select("source", "tilt", "mean")
 
 
+def _group(groups: Column) -> Column:
+    """The rounding group of a row. By size too: rows without id, or of one id, are not one group."""
+    return F.pmod(F.xxhash64("doc_id", "size"), groups)
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -148,10 +153,10 @@ def mix(
     )
     rate = F.lit(float(cap)) / (1.0 + F.exp(-F.col("tilt") * F.col("size") / F.col("mean")))
     rate = F.when(F.col("tilt") >= STEEPEST, float(cap)).when(F.col("tilt") <= -STEEPEST, 0.0).otherwise(rate)
-    # A hot source is rounded in groups by a hash of the id; each ends within a word or two of its share.
+    # A hot source is rounded in groups by a hash of id and size; each ends within a word or two of its share.
     groups = F.greatest(F.ceil(F.col("documents") / GROUP_ROWS), F.lit(1))
     joined = rows.join(joinable(parameters), rows["source"].eqNullSafe(F.col("__source"))).select(
-        "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64("doc_id"), groups).alias("group"), *(["row"] if keep else [])
+        "doc_id", "source", "size", "source_size", "target", rate.alias("rate"), _group(groups).alias("group"), *(["row"] if keep else [])
     )
     names = [c for c in joined.columns if c != "group"]
 
