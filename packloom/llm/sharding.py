@@ -6,7 +6,8 @@ from one limit to half of it splits shards without reshuffling the others.
 
 Defined cases: a null text has 0 bytes, a null id is hashed as an empty string. A single row above the
 limit is a shard of its own. Rows of one id cannot be told apart by any bit: if they exceed the limit
-together they are dealt to numbered parts of their bucket. An empty table gives an empty result.
+together they are dealt to numbered parts of their bucket, by several tasks if they are many. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from packloom.llm.common import joinable, stage
 BITS = 60
 # Bits beyond the expected depth that one round looks at.
 AHEAD = 4
+# Limits' worth of bytes of one bucket that are dealt to parts by one window; more are salted.
+RUN_LIMITS = 64
 
 
 def hash_bits(key: Column) -> Column:
@@ -83,6 +86,7 @@ def shard(
             F.col(id_column).alias("doc_id"),
             F.coalesce(F.octet_length(F.col(text_column).cast("string")), F.lit(0)).cast("long").alias("n_bytes"),
             hash_bits(F.col(id_column)).alias("bits"),
+            F.monotonically_increasing_id().alias("place"),
             *row,
         ),
         "keyed",
@@ -96,12 +100,16 @@ def shard(
     placed = tried.join(joinable(leaves), ["depth", "prefix"])
     name = F.when(F.col("depth") == 0, "").otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     columns = ["doc_id", "n_bytes", name.alias("shard"), F.col("depth").cast("int").alias("depth")]
+    # Rows of one id may be any share of the table: beyond RUN_LIMITS limits they are dealt by several windows.
+    runs = F.ceil(F.col("shard_bytes") / (RUN_LIMITS * limit))
+    placed = placed.withColumn("runs", runs).withColumn("run", F.pmod(F.xxhash64("place"), F.col("runs")))
     fitting = placed.where(F.col("shard_bytes") <= limit).select(*columns, F.lit(0).alias("part"), "shard_bytes", *carried)
     # Parts of half the limit by running size hold whole rows of at most half; larger rows stand alone.
     alone = F.col("n_bytes") > limit // 2
-    inside = Window.partitionBy("depth", "prefix", alone).orderBy("doc_id", "n_bytes")
+    inside = Window.partitionBy("depth", "prefix", "run", alone).orderBy("doc_id", "n_bytes", "place")
     running = F.sum("n_bytes").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n_bytes")
     part = F.when(alone, 2 * F.row_number().over(inside) - 2).otherwise(2 * F.floor(running / (limit - limit // 2)) + 1)
+    part = F.col("run") + F.col("runs") * part
     large = placed.where(F.col("shard_bytes") > limit).select(*columns, part.cast("int").alias("part"), *carried)
     sizes = large.groupBy("shard", "depth", "part").agg(F.sum("n_bytes").alias("shard_bytes"))
     large = large.join(sizes, ["shard", "depth", "part"]).select(*fitting.columns)
