@@ -32,6 +32,11 @@ MAX_CHUNKS = 1 << 18
 # Chunks of a small input: a few for every core, but not so short that starting them dominates.
 CHUNKS_PER_CORE = 4
 CHUNK_ROWS = (256, 65536)
+# Tokens of a chunk, about: its samples are sorted and packed by one task. Chunks of fewer rows than the least are
+# made for this only down to a sixteenth of it.
+CHUNK_TOKENS = 1 << 23
+# Chunks that one partition of the routed samples holds at most, about.
+CHUNKS_PER_TASK = 4
 # Summaries composed by one task, per level of the tree.
 FAN_IN = 256
 
@@ -211,14 +216,18 @@ class PackPlan:
     chunk_rows: int
     n_packs: int
     config: PackConfig
+    n_chunks: int = 1
 
     def chunk_of(self, pos: Column) -> Column:
         return floor_div(pos - F.lit(self.first_pos), self.chunk_rows)
 
 
-def rows_per_chunk(span: int, cores: int) -> int:
+def rows_per_chunk(span: int, cores: int, tokens: int = 0) -> int:
+    """Positions of a chunk, where ``span`` positions have so many tokens."""
     least, most = CHUNK_ROWS
     wanted = min(max(-(-span // (CHUNKS_PER_CORE * cores)), least), most)
+    if tokens > CHUNK_TOKENS:
+        wanted = min(wanted, max(span * CHUNK_TOKENS // tokens, least // 16))
     return max(wanted, -(-span // MAX_CHUNKS))
 
 
@@ -233,11 +242,12 @@ def plan_packs(
     """
     length, cap = config.seq_length, max(1, config.sample_cap)
     narrow = samples.select("pos", F.col("n_tokens").cast("long").alias("n_tokens"))
-    bounds = narrow.agg(F.min("pos").alias("low"), F.max("pos").alias("high")).first()
+    kept = F.sum(F.least("n_tokens", F.lit(length))).alias("tokens")
+    bounds = narrow.agg(F.min("pos").alias("low"), F.max("pos").alias("high"), kept).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     if chunk_rows is None:
         cores = samples.sparkSession.sparkContext.defaultParallelism
-        chunk_rows = rows_per_chunk(high - low + 1, cores)
+        chunk_rows = rows_per_chunk(high - low + 1, cores, bounds["tokens"] or 0)
     plan = PackPlan(None, low, chunk_rows, 0, config)
 
     def summarise(chunk: pd.DataFrame) -> pd.DataFrame:
@@ -249,7 +259,7 @@ def plan_packs(
     run = floor_div("unit", fan_in).alias("run")
     chunked = narrow.withColumn("chunk", plan.chunk_of(F.col("pos")))
     levels = [chunked.groupBy("chunk").applyInPandas(summarise, _SUMMARY)]
-    n_units = (high - low) // chunk_rows + 1
+    n_units = n_chunks = (high - low) // chunk_rows + 1
     while n_units > fan_in:
         # Needed on the way up and on the way down.
         levels[-1] = stage(levels[-1], "pack-summary")
@@ -276,7 +286,7 @@ def plan_packs(
     chunks = chunks.drop("entry_over", "starts", "over").join(
         F.broadcast(closing), "chunk", "left"
     ).fillna({"close_over": n_over})
-    return PackPlan(chunks, low, chunk_rows, (totals["packs"] or 0) + n_over, config)
+    return PackPlan(chunks, low, chunk_rows, (totals["packs"] or 0) + n_over, config, n_chunks)
 
 
 def route(samples: DataFrame, plan: PackPlan) -> DataFrame:
@@ -287,12 +297,16 @@ def route(samples: DataFrame, plan: PackPlan) -> DataFrame:
     """
     pos = F.col("pos")
     oversize = F.col("n_tokens") > plan.config.seq_length
+    # The default number of partitions does not follow the input.
+    default = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-plan.n_chunks // CHUNKS_PER_TASK)
+    dealt = (parts, "home") if parts > default else ("home",)
     stays = oversize | F.coalesce(pos >= F.col("entry_pos"), F.lit(False))
     return (
         samples.withColumn("chunk", plan.chunk_of(pos))
         .join(F.broadcast(plan.chunks), "chunk")
         .withColumn("home", F.when(stays, F.col("chunk")).otherwise(F.col("carry_home")))
         .drop("chunk", "entry_pos", "carry_home")
-        .repartition("home")
+        .repartition(*dealt)
         .sortWithinPartitions("home", "pos")
     )

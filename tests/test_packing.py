@@ -1,11 +1,14 @@
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pandas as pd
 import pytest
 from packloom.config import PackConfig
-from packloom.operators.assembly import assemble_packs, assign_packs, pack_samples, pad_packs
-from packloom.operators.packing import compose_units, plan_packs, route, rows_per_chunk, summarise_chunk, walk_units
+from packloom.operators.assembly import SLICE_TOKENS, _build_rows, _cut_stream, assemble_packs, assign_packs, pack_samples, pad_packs
+from packloom.operators.packing import CHUNK_TOKENS, compose_units, plan_packs, route, rows_per_chunk, summarise_chunk, walk_units
+from packloom.plans.flows import joined
 from packloom.workspace import stage
 from reference_model import greedy, packed_row
 
@@ -131,3 +134,34 @@ def test_chunk_count_is_bounded():
     for span in (1, 10**4, 10**8, 10**12, 1 << 62):
         for cores in (1, 8, 10_000):
             assert -(-span // rows_per_chunk(span, cores)) <= 1 << 18
+
+
+def test_what_a_worker_holds_does_not_grow_with_its_batch():
+    n, size = 3000, 900
+    slots = pa.array([[[5] * size, [6], []]] * n, pa.list_(pa.list_(pa.int32())))
+    columns = {"pos": range(n), "n_tokens": [size + 1] * n, "home": [0] * n, "packs_before": [0] * n, "over_before": [0] * n, "close_over": [0] * n}
+    batch = pa.RecordBatch.from_arrays(
+        [*map(pa.array, map(list, columns.values())), slots, pa.nulls(n, pa.string())], names=[*columns, "slots", "source_id"]
+    )
+    given = list(_cut_stream(_build_rows(3), 4096, 8)(iter([batch])))
+    assert max(len(out.column("input_ids").flatten()) for out in given) <= SLICE_TOKENS + 4096
+    assert sum(len(out.column("input_ids").flatten()) for out in given) == n * (size + 1)
+    assert [k for out in given for k in out.column("pack_id").to_pylist()] == list(range(n // 4))
+
+
+def test_chunks_and_partitions_follow_the_tokens(spark):
+    assert rows_per_chunk(1 << 20, 4, (1 << 20) * 8192) * 8192 <= CHUNK_TOKENS
+    rows = [(i, 1 << 17) for i in range(1500)]
+    samples = stage(spark.createDataFrame(rows, "pos long, n_tokens int"), "samples")
+    config = PackConfig(eos_token_id=1, seq_length=1 << 17, max_samples=None, max_sample_length=None)
+    routed = route(samples, plan_packs(samples, config))
+    assert routed.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert routed.groupBy("home").count().agg({"count": "max"}).first()[0] * (1 << 17) <= 2 * CHUNK_TOKENS
+
+
+def test_digests_leave_out_null_entries(spark):
+    values = [[3, None, -1], [], None, [None], [7], [1, 2, 30]]
+    rows = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    got = [r["d"] for r in rows.select(joined("v").alias("d")).collect()]
+    texts = [None if v is None else ",".join(str(x) for x in v if x is not None) for v in values]
+    assert got == [None if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts]
