@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,14 +69,22 @@ def _encode_by_lookup(df: DataFrame, word_slots: str, vocabulary: DataFrame, unk
         tokens, token_ids = shared.value
         inner = slots.flatten()
         words = inner.flatten()
-        # A miss has position -1, the entry after the last token.
-        found = token_ids[tokens.get_indexer(words.to_numpy(zero_copy_only=False))]
+        found = _ids_of(words, tokens, token_ids)
         encoded = pa.ListArray.from_arrays(_compact(inner), pa.array(found, type=pa.int32()))
         return pa.ListArray.from_arrays(_compact(slots), encoded)
 
     return df.withColumn("slots", encode(F.col(word_slots))).drop(word_slots)
 
 
+def _ids_of(words: pa.Array, tokens: pd.Index, token_ids: np.ndarray) -> np.ndarray:
+    """Id of every word; ``token_ids`` ends with that of unknown ones. Only distinct words become Python texts."""
+    coded = words.dictionary_encode()
+    # A miss has position -1, the entry after the last token.
+    of_word = token_ids[tokens.get_indexer(coded.dictionary.to_numpy(zero_copy_only=False))]
+    of_word = np.append(of_word, token_ids[-1])
+    return of_word[pc.fill_null(coded.indices, len(of_word) - 1).to_numpy(zero_copy_only=False)]
+
+
 def _compact(lists: pa.ListArray) -> pa.Array:
     """List offsets that start at 0, for use with the flattened values."""
     sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
