@@ -289,24 +289,29 @@ def plan_packs(
     return PackPlan(chunks, low, chunk_rows, (totals["packs"] or 0) + n_over, config, n_chunks)
 
 
-def route(samples: DataFrame, plan: PackPlan) -> DataFrame:
-    """Bring each pack's samples together: one shuffle of the samples by the chunk their pack
-    started in (an oversize sample by its own), sorted by position within it.
-
-    A destination holds one chunk and the rest of its last pack, so no key can grow hot.
-    """
+def with_homes(samples: DataFrame, plan: PackPlan) -> DataFrame:
+    """Add ``home``, the chunk in which each sample's pack started (an oversize sample has its own), and what was packed
+    before it."""
     pos = F.col("pos")
     oversize = F.col("n_tokens") > plan.config.seq_length
-    # The default number of partitions does not follow the input.
-    default = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = -(-plan.n_chunks // CHUNKS_PER_TASK)
-    dealt = (parts, "home") if parts > default else ("home",)
     stays = oversize | F.coalesce(pos >= F.col("entry_pos"), F.lit(False))
     return (
         samples.withColumn("chunk", plan.chunk_of(pos))
         .join(F.broadcast(plan.chunks), "chunk")
         .withColumn("home", F.when(stays, F.col("chunk")).otherwise(F.col("carry_home")))
         .drop("chunk", "entry_pos", "carry_home")
-        .repartition(*dealt)
-        .sortWithinPartitions("home", "pos")
     )
+
+
+def to_homes(rows: DataFrame, plan: PackPlan) -> DataFrame:
+    """Shuffle rows with ``home`` to it. A destination holds one chunk and the rest of its last pack, so no key can grow hot."""
+    # The default number of partitions does not follow the input.
+    default = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-plan.n_chunks // CHUNKS_PER_TASK)
+    return rows.repartition(*((parts, "home") if parts > default else ("home",)))
+
+
+def route(samples: DataFrame, plan: PackPlan) -> DataFrame:
+    """Bring each pack's samples together: one shuffle of the samples by the chunk their pack
+    started in (an oversize sample by its own), sorted by position within it."""
+    return to_homes(with_homes(samples, plan), plan).sortWithinPartitions("home", "pos")

@@ -6,7 +6,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 from packloom.config import PackConfig
-from packloom.operators.assembly import SLICE_TOKENS, _build_rows, _cut_stream, assemble_packs, assign_packs, pack_samples, pad_packs
+from packloom.operators.assembly import SLICE_TOKENS, _build_rows, _cut_stream, _place_stream, assemble_packs, assign_packs, pack_samples, pad_packs
 from packloom.operators.packing import CHUNK_TOKENS, compose_units, plan_packs, route, rows_per_chunk, summarise_chunk, walk_units
 from packloom.plans.flows import joined
 from packloom.workspace import stage
@@ -165,3 +165,45 @@ def test_digests_leave_out_null_entries(spark):
     got = [r["d"] for r in rows.select(joined("v").alias("d")).collect()]
     texts = [None if v is None else ",".join(str(x) for x in v if x is not None) for v in values]
     assert got == [None if t is None else hashlib.md5(t.encode()).hexdigest() for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_places_do_not_depend_on_how_numbers_are_cut_into_batches(seed):
+    random = np.random.default_rng(seed)
+    n, length, cap = 400, 20, int(random.integers(1, 6))
+    home, size = np.sort(random.integers(0, 4, n)), random.integers(1, 26, n)
+    size[np.searchsorted(home, range(4))] = 1  # a home's first pack ends the one before
+    n_over = [int((size[home == h] > length).sum()) for h in range(4)]
+    numbers = [home, home * 1000, np.cumsum([0, *n_over])[home], np.cumsum(n_over)[home], size]
+    cuts = [0, *np.sort(random.integers(0, n, 9)), n]
+    batches = [tuple(pa.array(c[a:b]) for c in numbers) for a, b in zip(cuts[:-1], cuts[1:])]
+    got = [(r["pack_id"], r["sample_ord"]) for out in _place_stream(length, cap)(iter(batches)) for r in out.to_pylist()]
+
+    want = [None] * n
+    for h in range(4):
+        packs, over, open_rows, used = h * 1000, sum(n_over[:h]), [], 0
+        for i in [*np.flatnonzero(home == h), None]:
+            if i is not None and size[i] > length:
+                want[i], over = (packs + over, 0), over + 1
+                continue
+            if i is None or not open_rows or used + size[i] > length or len(open_rows) == cap:
+                for k, row in enumerate(open_rows):
+                    want[row] = (packs + over, k)
+                packs, open_rows, used = packs + bool(open_rows), [], 0
+            if i is not None:
+                open_rows, used = [*open_rows, i], used + size[i]
+    assert got == want
+
+
+def test_no_tokens_go_to_workers_and_samples_move_once(spark):
+    rows = [(i, 3, [[5], [6], [7]]) for i in range(100)]
+    samples = stage(spark.createDataFrame(rows, "pos long, n_tokens int, slots array<array<int>>"), "samples")
+    config = PackConfig(eos_token_id=1, seq_length=8, max_sample_length=None)
+    packs = assemble_packs(samples, plan_packs(samples, config))
+    plan = packs._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
+    sent = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert len(sent) == 1 and "slots" not in sent[0]
+    assert plan.count("Exchange hashpartitioning") == 2  # the numbers, and the samples
+    assert "slots" in plan.split("Exchange hashpartitioning")[1]
+    assert packs.count() == 50
