@@ -8,7 +8,7 @@ import pytest
 from packloom.config import PackConfig
 from packloom.operators.assembly import SLICE_TOKENS, _build_rows, _cut_stream, _place_stream, assemble_packs, assign_packs, pack_samples, pad_packs
 from packloom.operators.packing import CHUNK_TOKENS, compose_units, plan_packs, route, rows_per_chunk, summarise_chunk, walk_units
-from packloom.plans.flows import joined
+from packloom.plans.flows import document_samples, joined
 from packloom.workspace import stage
 from reference_model import greedy, packed_row
 
@@ -207,3 +207,22 @@ def test_no_tokens_go_to_workers_and_samples_move_once(spark):
     assert plan.count("Exchange hashpartitioning") == 2  # the numbers, and the samples
     assert "slots" in plan.split("Exchange hashpartitioning")[1]
     assert packs.count() == 50
+
+
+def test_documents_are_stored_as_texts_with_the_sizes_of_their_tokens(spark, tmp_path):
+    texts = ["plain words", "é \U0001f469‍\U0001f52c", "\n\t \x00end", "x" * 10_000, "مرحبا", "last"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(3 * i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    samples = document_samples(spark, str(tmp_path))
+    got = {r["doc_id"]: r for r in samples.collect()}
+    assert sorted(got) == [0, 3, 6, 9]
+    for i in range(4):
+        assert got[3 * i]["slots"] == [[*map(ord, t), 1] for t in texts[i : i + 3]]
+        assert got[3 * i]["n_tokens"] == sum(len(t) + 1 for t in texts[i : i + 3])
+    # A reader's batch of nested arrays of whole texts does not fit an executor; lengths are read without the texts.
+    stored = spark.read.parquet(*samples.inputFiles())
+    assert not any("array<array" in kind for _, kind in stored.dtypes)
+    lengths = samples.select("pos", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "anchor" not in lengths.split("ReadSchema")[1]
