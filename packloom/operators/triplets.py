@@ -128,6 +128,20 @@ def limit_length(samples: DataFrame, config: PackConfig) -> DataFrame:
     return kept.withColumns({"n_tokens": F.least(total, F.lit(limit)), "slots": cut}).drop("slot_sizes")
 
 
+def needed_tokens(samples: DataFrame, config: PackConfig) -> DataFrame:
+    """Without the tokens that ``limit_length`` leaves out: those behind the limit, and all of a row that is no sample.
+
+    ``slot_sizes`` still counts them, so ``limit_length`` decides the same from it; what is stored in between is bounded.
+    """
+    slots, limit = F.col("slots"), config.max_sample_length
+    if limit is not None:
+        slots = cut_slots(slots, limit, config.num_slots)
+    used = length_reason(config).isNull()
+    if "reject_reason" in samples.columns:
+        used &= F.col("reject_reason").isNull()
+    return samples.withColumn("slots", F.when(used, slots))
+
+
 def outcome(config: PackConfig) -> Column:
     """What becomes of a tokenized row with ``reject_reason``: the reason it is left out, or ``sample``."""
     return F.coalesce("reject_reason", length_reason(config), F.lit("sample"))

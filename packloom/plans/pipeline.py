@@ -18,7 +18,7 @@ from packloom.operators.packing import plan_packs
 from packloom.operators.positions import number_rows
 from packloom.operators.resume import resume_from
 from packloom.operators.strategies import WINDOW_ROWS, assign_by_strategy
-from packloom.operators.triplets import CORRUPT_LINE, limit_length, outcome, reject_reason, tokenize_slots
+from packloom.operators.triplets import CORRUPT_LINE, limit_length, needed_tokens, outcome, reject_reason, tokenize_slots
 from packloom.sources import jsonl
 from packloom.sources.state import ResumeState
 from packloom.workspace import stage
@@ -83,6 +83,7 @@ def read_rows(
 ) -> DataFrame:
     """Every row of JSONL files, parsed and tokenized once and stored, with positions and ``reject_reason``.
 
+    ``slots`` has the tokens that samples need (``needed_tokens``), ``slot_sizes`` counts all.
     With ``resume``, finished files are not opened and rows before the saved position are left out;
     with ``shards``, only these files are opened.
     """
@@ -102,7 +103,8 @@ def read_rows(
             rows, *fields, num_negatives=config.num_negatives, extras=extras, mark_corrupt=True
         ).withColumnRenamed(SOURCE_FIELD, "source_id")
         reason = F.when(F.col("corrupt"), F.lit(CORRUPT_LINE)).otherwise(reject_reason(config.num_negatives))
-        return tokenize_slots(triplets.withColumn("reject_reason", reason).drop("corrupt"), tokenizer, config)
+        triplets = triplets.withColumn("reject_reason", reason).drop("corrupt")
+        return needed_tokens(tokenize_slots(triplets, tokenizer, config), config)
 
     rows = jsonl.with_positions(lines, first_shard=first_shard, then=prepare)
     if shards is not None:

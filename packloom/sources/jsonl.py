@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packloom.functions.arrays import bind
-from packloom.workspace import stage
+from packloom.workspace import stage, stage_texts
 
 # Fixed value: the file names taken from a data directory.
 DATA_FILE_GLOB = "*.{json,jsonl}"
@@ -101,7 +101,7 @@ def with_positions(
     has to keep every row.
     """
     names = shard_names(lines)
-    stored = stage(then(lines), "lines")
+    stored = stage_texts(then(lines), "lines")
     index = index_splits(stored)
     shards = list_shards(index, names)
     earlier = (
