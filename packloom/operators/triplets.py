@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +79,19 @@ def tokenize_slots(triplets: DataFrame, tokenizer: Tokenizer, config: PackConfig
     """
     texts = [F.col("anchor"), F.col("positive")]
     texts += [F.col("negatives")[i] for i in range(config.num_negatives)]
+    tokenized = triplets.withColumn("slots", token_slots(texts, tokenizer, config)).withColumn(
+        "slot_sizes", sizes_of("slots")
+    )
+    return tokenized.drop("anchor", "positive", "negatives")
+
+
+def token_slots(texts: Sequence[Column], tokenizer: Tokenizer, config: PackConfig) -> Column:
+    """Token arrays of the texts of one sample, EOS at each end."""
     slots = [tokenizer(t).cast("array<int>") for t in texts]
     if config.add_special_tokens:
         eos = F.array(F.lit(config.eos_token_id))
         slots = [F.concat(s, eos) for s in slots]
-    tokenized = triplets.withColumn("slots", F.array(*slots)).withColumn(
-        "slot_sizes", sizes_of("slots")
-    )
-    return tokenized.drop("anchor", "positive", "negatives")
+    return F.array(*slots)
 
 
 def sizes_of(slots: Column | str) -> Column:

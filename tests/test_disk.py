@@ -8,7 +8,7 @@ import pytest
 from packloom import PackConfig
 from packloom.functions.text import codepoints
 from packloom.operators.triplets import limit_length, needed_tokens, tokenize_slots
-from packloom.plans import queries
+from packloom.plans import flows, queries
 from packloom.plans.pipeline import read_rows, samples_of
 from packloom.sources.tables import document_triplets
 from packloom.workspace import shuffles_freed, stage_texts
@@ -110,3 +110,38 @@ def test_needed_tokens_change_no_sample(spark):
     for config in (LIMITED, LIMITED.with_(max_sample_length=None)):
         want, got = limit_length(rows, config), limit_length(needed_tokens(rows, config), config)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.fixture
+def documents(spark, tmp_path):
+    """A folder of documents: empty ones, one longer than a pack in each slot, and characters beyond 16 bits."""
+    texts = [f"{i} " + "wörd \U0001f600 " * (i % 9) for i in range(60)]
+    texts[7], texts[20], texts[21], texts[22], texts[40] = "", "x" * 20_000, "y\U0001f600" * 9_000, "z" * 8_191, "w" * 8_192
+    rows = [(5 * i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCUMENTS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_texts_go_to_packs_as_tokens_do(spark, documents):
+    want, _ = flows.packed(flows.document_samples(spark, documents), flows.DOCS)
+    got, _ = flows.packed_documents(spark, documents)
+    assert got.columns == want.columns and got.count() > 8
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_texts_are_shuffled_to_packs_in_place_of_tokens(spark, documents):
+    packs, _ = flows.packed_documents(spark, documents)
+    tree = packs._jdf.queryExecution().optimizedPlan().toString()
+    moved = tree.split("RepartitionByExpression")[1:]
+    assert len(moved) == 2 and not any("ascii" in part for part in moved) and "ascii" in tree.split("RepartitionByExpression")[0]
+
+
+def test_stored_texts_are_compressed_with_their_copies(spark, tmp_path):
+    words = F.concat_ws(" ", *[F.md5(F.concat(F.col("id"), F.lit(f"-{k}"))) for k in range(40)])
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), words.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    rows.write.option("compression", "none").parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    files = flows.document_samples(spark, str(tmp_path)).inputFiles()
+    size = sum(os.path.getsize(name.removeprefix("file://")) for name in files)
+    assert size < 500 * 40 * 33  # each text is in three samples
