@@ -4,12 +4,14 @@ import json
 import os
 import time
 
+import pyarrow.parquet as pq
 import pytest
 from packloom import PackConfig
 from packloom.functions.text import codepoints
 from packloom.operators.triplets import limit_length, needed_tokens, tokenize_slots
 from packloom.plans import flows, queries
 from packloom.plans.pipeline import read_rows, samples_of
+from packloom.sources import jsonl
 from packloom.sources.tables import document_triplets
 from packloom.workspace import shuffles_freed, stage_texts
 from pyspark.sql import functions as F
@@ -145,3 +147,16 @@ def test_stored_texts_are_compressed_with_their_copies(spark, tmp_path):
     files = flows.document_samples(spark, str(tmp_path)).inputFiles()
     size = sum(os.path.getsize(name.removeprefix("file://")) for name in files)
     assert size < 500 * 40 * 33  # each text is in three samples
+
+
+def codecs(files) -> set[str]:
+    found = [pq.ParquetFile(name.removeprefix("file://")).metadata for name in files]
+    return {m.row_group(g).column(c).compression for m in found for g in range(m.num_row_groups) for c in range(m.num_columns)}
+
+
+def test_lines_are_stored_compressed(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text("".join(json.dumps({"anchor": f"{i}"}) + "\n" for i in range(20)))
+    rows = jsonl.with_positions(jsonl.read_lines(spark, str(tmp_path)))
+    assert rows.count() == 20
+    lines = [name for name in rows.inputFiles() if "/lines-" in name]
+    assert lines and codecs(lines) == {"ZSTD"}
