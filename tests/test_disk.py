@@ -160,3 +160,10 @@ def test_lines_are_stored_compressed(spark, tmp_path):
     assert rows.count() == 20
     lines = [name for name in rows.inputFiles() if "/lines-" in name]
     assert lines and codecs(lines) == {"ZSTD"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
+def test_numbers_of_lines_are_stored_without_the_lines(spark):
+    files = queries.jsonl_positions(spark, FOLDER).inputFiles()
+    lines = [name.removeprefix("file://") for name in files if "/lines-" in name]
+    assert lines and all("value" not in pq.ParquetFile(name).schema_arrow.names for name in lines)
