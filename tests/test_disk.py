@@ -13,6 +13,7 @@ from packloom.plans import flows, queries
 from packloom.plans.pipeline import read_rows, samples_of
 from packloom.sources import jsonl
 from packloom.sources.tables import document_triplets
+from packloom.streaming.ingest import run_available, stream_triplets
 from packloom.workspace import shuffles_freed, stage_texts
 from pyspark.sql import functions as F
 
@@ -167,3 +168,29 @@ def test_numbers_of_lines_are_stored_without_the_lines(spark):
     files = queries.jsonl_positions(spark, FOLDER).inputFiles()
     lines = [name.removeprefix("file://") for name in files if "/lines-" in name]
     assert lines and all("value" not in pq.ParquetFile(name).schema_arrow.names for name in lines)
+
+
+def feed(folder, n=5):
+    folder.mkdir()
+    for i in range(n):
+        line = {"anchor": f"a{i}", "positive": "p", "negative": "n"}
+        (folder / f"f{i}.json").write_text(json.dumps(line) + "\n")
+    return str(folder)
+
+
+@pytest.mark.parametrize("delete", [False, True])
+def test_a_feed_may_be_deleted_as_it_is_read(spark, tmp_path, delete):
+    path, sink, state = feed(tmp_path / "feed"), str(tmp_path / "sink"), str(tmp_path / "state")
+    run_available(stream_triplets(spark, path, 1, delete_read=delete), state, sink)
+    rows = spark.read.parquet(sink)
+    assert sorted(r["anchor"] for r in rows.collect()) == [f"a{i}" for i in range(5)]
+    assert codecs(rows.inputFiles()) == {"ZSTD"}
+    until = time.time() + 10
+    while delete and len(os.listdir(path)) > 1 and time.time() < until:
+        time.sleep(0.2)
+    left = [name for name in os.listdir(path) if name.endswith(".json")]
+    assert len(left) <= 1 if delete else len(left) == 5
+    # Files that come later are read, and none a second time.
+    (tmp_path / "feed" / "later.json").write_text(json.dumps({"anchor": "later", "positive": "p", "negative": "n"}) + "\n")
+    run_available(stream_triplets(spark, path, 1, delete_read=delete), state, sink)
+    assert sorted(r["anchor"] for r in spark.read.parquet(sink).collect()) == [*(f"a{i}" for i in range(5)), "later"]
